@@ -1,9 +1,11 @@
 """Quality classifier by importance resampling: the ratio of two hashed n-gram models, sampled by Gumbel top-k.
 
 The target model is learned from labelled documents of good quality that are not toxic, the raw model from all
-documents. A feature is a word, a run of marks or a pair of neighbours, hashed to a bucket; a document has it once,
-and once more for each power of four that its count reaches, so one long junk text does not tilt the models. A
-document's importance is the product of target / raw over its features; a ratio counts where it is significant.
+documents. A feature is a word, a run of marks or a pair of neighbours; a document has it once, and once more for each
+power of four that its count reaches, so one long junk text does not tilt the models. Features are hashed to a bucket
+in each of two tables, and the ratio nearer to 1 is taken: features that merely share a bucket with a telling one do
+not add up in long texts. A document's importance is the product of target / raw over its features; a ratio counts
+where it is significant.
 
 The number to keep, k, is the number of documents whose importance reaches the level that all but ``clean_loss`` of
 the target documents reach. The k largest importances times Gumbel noise are then a sample of k without replacement.
@@ -24,10 +26,13 @@ from lexloom.llm.columns import id_text
 from lexloom.llm.words import mix
 from lexloom.plans.shared import stored
 
-BUCKETS = 1 << 17
+#: Buckets in each of the two tables.
+BUCKETS = 1 << 16
 #: Labelled target documents to learn from at most; of more, those with the smallest hash of their id.
 TARGET_ROWS = 20_000
 CLEAN_LOSS = 0.005
+#: The sample is drawn from importances to the power 1 / TEMPERATURE: noise is small against a telling feature.
+TEMPERATURE = 0.25
 #: A ratio counts if it is significant by this many standard deviations and by this factor, as a logarithm.
 DEVIATIONS, LEAST_RATIO, PRIOR_DOCS = 5.0, 1.0, 2.0
 #: Keys are ordered in steps of 2 ** -STEP_BITS between these bounds; what is below is equal.
@@ -48,11 +53,11 @@ class _Hashes(dict):
 _HASHES = _Hashes()
 
 
-def features(text: str, buckets: int = BUCKETS) -> np.ndarray:
-    """Distinct buckets of a text's features."""
+def features(text: str) -> np.ndarray:
+    """Hashes of a text's distinct features."""
     tokens = _TOKEN.findall(text.lower())
     if not tokens:
-        return np.empty(0, np.int64)
+        return np.empty(0, np.uint64)
     single = np.fromiter(map(_HASHES.__getitem__, tokens), np.uint64, len(tokens))
     pair = mix(single[:-1] * np.uint64(0x9E3779B97F4A7C15) + single[1:])
     pair[single[:-1] == single[1:]] = _SAME
@@ -61,18 +66,25 @@ def features(text: str, buckets: int = BUCKETS) -> np.ndarray:
     while len(more := found[counts >= least]):
         levels.append(mix(more + np.uint64(least)))
         least *= 4
-    return np.unique((mix(np.concatenate(levels)) % np.uint64(buckets)).astype(np.int64))
+    return mix(np.concatenate(levels))
+
+
+def places(found: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of features in the first and the second table; the second follows the first in one array."""
+    first = found % np.uint64(buckets)
+    second = (found >> np.uint64(32)) % np.uint64(buckets) + np.uint64(buckets)
+    return first.astype(np.int64), second.astype(np.int64)
 
 
 def _counted(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        raw, target = np.zeros(2 * buckets, np.int64), np.zeros(2 * buckets, np.int64)
         for batch in batches:
             for text, own in zip(batch.column("text"), batch.column("target").to_pylist()):
-                found = features(text.as_py(), buckets)
-                raw[found] += 1
+                at = np.unique(np.concatenate(places(features(text.as_py()), buckets)))
+                raw[at] += 1
                 if own:
-                    target[found] += 1
+                    target[at] += 1
         at = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(raw[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
 
@@ -80,23 +92,26 @@ def _counted(buckets: int):
 
 
 def _weighed(ratios: np.ndarray):
+    def weight(text: str) -> float:
+        one, two = (ratios[at] for at in places(features(text), len(ratios) // 2))
+        return float(np.where(np.abs(one) < np.abs(two), one, two).sum())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(t.as_py(), len(ratios)) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([float(ratios[f].sum()) for f in rows], pa.float64())], names=["id", "log_weight"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([weight(t.as_py()) for t in batch.column("text")], pa.float64())], names=["id", "log_weight"])
 
     return run
 
 
 def log_ratios(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
     """Significant log ratios of target to raw by bucket, from (bucket, raw, target): one row per bucket at most."""
-    raw, target = np.zeros(buckets), np.zeros(buckets)
-    for row in counts.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect():  # at most BUCKETS rows
+    raw, target = np.zeros(2 * buckets), np.zeros(2 * buckets)
+    for row in counts.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect():  # at most 2 * buckets rows
         raw[row[0]], target[row[0]] = row[1], row[2]
     expected = raw * target.sum() / max(raw.sum(), 1.0)
     ratio = np.log((target + PRIOR_DOCS) / (expected + PRIOR_DOCS))
-    counts_ = np.abs(target - expected) > DEVIATIONS * np.sqrt(expected + 1)
-    return np.where(counts_ & (np.abs(ratio) > LEAST_RATIO), ratio, 0.0)
+    telling = np.abs(target - expected) > DEVIATIONS * np.sqrt(expected + 1)
+    return np.where(telling & (np.abs(ratio) > LEAST_RATIO), ratio, 0.0)
 
 
 def kth_largest(df: DataFrame, key: str, k: int) -> int | None:
@@ -134,7 +149,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     ratios = log_ratios(marked.mapInArrow(_counted(buckets), "bucket bigint, raw bigint, target bigint"), buckets)
     weights = base.mapInArrow(_weighed(ratios.astype(np.float32)), "id bigint, log_weight double")
     noise = -F.log(-F.log((F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), F.coalesce("id", F.lit(0))), 12) + F.lit(0.5)) / F.lit(float(1 << 52))))
-    keyed = weights.withColumn("key", F.col("log_weight") + noise)
+    keyed = weights.withColumn("key", F.col("log_weight") / TEMPERATURE + noise)
     fixed = F.floor(F.greatest(F.least(F.col("key"), F.lit(float(HIGHEST))), F.lit(float(LOWEST))) * float(1 << STEP_BITS)).cast("bigint")
     scored = stored(keyed.withColumn("step", fixed), "weights")
     level = scored.join(F.broadcast(target), "id").agg(F.percentile("log_weight", clean_loss)).first()[0]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import decontam, html_text, pii, secrets, simhash, spans
+from lexloom.llm import decontam, html_text, jaccard, lm, pieces, pii, quality, secrets, simhash, spans
 from lexloom.llm.columns import count_kind, span_digest, span_text
 
 
@@ -32,6 +32,10 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_report(secrets.scan_secrets(_docs(spark, sf_dir)), secrets.KINDS[:3])
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _span_report(pii.find_pii(_docs(spark, sf_dir)), pii.KINDS[:4])
 
@@ -44,12 +48,27 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_docs(spark, sf_dir))
+
+
+def op8_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_texts(_docs(spark, sf_dir))
+
+
 def op9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.drop_repeats(_docs(spark, sf_dir))
 
 
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every text, and the digest of what they decode to."""
+    model = pieces.load_model()
+    both = pieces.decode(pieces.encode(_docs(spark, sf_dir), model), model)
+    return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_secrets, op4_pii, op5_html, op6_decontamination, op9_spans)}
+    return {f.__name__: f for f in (op1_simhash, op2_secrets, op3_quality, op4_pii, op5_html, op6_decontamination, op7_jaccard, op8_lm, op9_spans, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
