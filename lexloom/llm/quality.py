@@ -34,7 +34,7 @@ CLEAN_LOSS = 0.005
 #: The sample is drawn from importances to the power 1 / TEMPERATURE: noise is small against a telling feature.
 TEMPERATURE = 0.25
 #: A ratio counts if it is significant by this many standard deviations and by this factor, as a logarithm.
-DEVIATIONS, LEAST_RATIO, PRIOR_DOCS = 5.0, 1.0, 2.0
+DEVIATIONS, LEAST_RATIO, PRIOR_DOCS = 3.5, 1.0, 2.0
 #: Keys are ordered in steps of 2 ** -STEP_BITS between these bounds; what is below is equal.
 STEP_BITS, LOWEST, HIGHEST = 32, -4096, 4096
 
