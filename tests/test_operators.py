@@ -213,3 +213,22 @@ def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0], [0.0, 0.0])], "a array<double>, b array<double>")
     row = df.select(vector.cosine("a", "a").alias("c"), vector.cosine("a", "b").alias("z"), vector.squared_l2("a", "b").alias("d"), vector.l2_normalize("a").alias("n")).first()
     assert row.c == pytest.approx(1) and row.z is None and row.d == 25 and row.n == pytest.approx([0.6, 0.8])
+
+
+def test_threshold_groups(spark):
+    from lexloom.operators import clusters
+
+    rng = random.Random(8)
+    pairs = {(rng.randrange(30), rng.randrange(30)) for _ in range(45)}
+    linked = {(a, b) for a, b in pairs} | {(b, a) for a, b in pairs}
+    want, grouped = {}, set()
+    for i in range(30):
+        if i not in grouped:
+            members = {j for j in range(30) if j not in grouped and (j == i or (i, j) in linked)}
+            want |= dict.fromkeys(members, i)
+            grouped |= members
+    ids = spark.createDataFrame([(i,) for i in range(30)], "id long")
+    got = clusters.threshold_groups(ids, spark.createDataFrame(list(pairs), "a long, b long"))
+    assert dict(map(tuple, got.collect())) == want
+    none = spark.createDataFrame([], "a long, b long")
+    assert dict(map(tuple, clusters.threshold_groups(ids.limit(2), none).collect())) == {0: 0, 1: 1}
