@@ -47,8 +47,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256) of every document."""
-    model = pieces.load_model()
-    both = pieces.decode(pieces.encode(docs, model), model)
+    both = pieces.round_trip(docs, pieces.load_model())
     return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 

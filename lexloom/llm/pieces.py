@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,20 +29,35 @@ from lexloom.plans.shared import stored
 TOKENIZER_DIR = "/opt/tokenizers"
 MODEL = "piece_bpe_32k.model"
 CHUNK_CHARS = 32_768
+#: Words and pairs of pieces that a worker keeps.
 KEPT_WORDS = 400_000
+KEPT_PAIRS = 500_000
 SPACE = "▁"
 #: The state before the first character of a text.
 BEGIN = (1 << 30, 0)
 _WORD_START = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 
 
+class Words(dict):
+    """Ids, as 32-bit bytes, by word, whose leading space is left out; a missing word is segmented, and a full table
+    begun anew."""
+
+    def __init__(self, own: Pieces) -> None:
+        self.own = own
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= KEPT_WORDS:
+            self.clear()
+        found = self[word] = np.array(self.own.flat(self.own.whole(SPACE + word.replace(" ", SPACE))), np.int32).tobytes()
+        return found
+
+
 class Pieces:
     """A model's vocabulary and the rule for adjacent pieces. A character without a piece is the piece -1 - its code point."""
 
     def __init__(self, model: bytes) -> None:
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.ids: dict[str, int] = {}
-        self.scores: dict[str, float] = {}
         self.bytes: dict[int, int] = {}
         self.data: list[bytes] = []
         for i in range(sp.vocab_size()):
@@ -54,35 +68,35 @@ class Pieces:
             elif sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i):
                 self.data.append(b"")
             else:
-                self.ids[piece], self.scores[piece] = i, sp.get_score(i)
+                self.ids[piece] = i
                 self.data.append(piece.replace(SPACE, " ").encode())
         self.texts = {i: p for p, i in self.ids.items()}
+        self.joined = lambda text: sp.encode("\n" + text.replace(SPACE, " "))[2:]
+        self.tree: dict = {}  # characters to subtrees; under "" the piece that ends here
+        for piece, i in self.ids.items():
+            node = self.tree
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = i
         self.longest = max(map(len, self.ids))
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, list[int]] = {}
+        self.pairs: dict[int, bool] = {}
+        self.words = Words(self)
 
     def text(self, t: int) -> str:
         return self.texts[t] if t >= 0 else chr(-1 - t)
 
-    def merged(self, text: str) -> list[str]:
-        """The BPE segmentation by its definition: join the adjacent pair of the best score, the leftmost on a tie."""
-        parts = list(text)
-        while True:
-            best = max(((self.scores[a + b], -i) for i, (a, b) in enumerate(zip(parts, parts[1:])) if a + b in self.scores), default=None)
-            if best is None:
-                return parts
-            i = -best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-
     def valid(self, a: int | None, b: int) -> bool:
-        """Whether piece b may follow a, or start a text if a is None."""
-        key = (BEGIN[0] if a is None else a, b)
+        """Whether piece b may follow a, or start a text if a is None: the library segments the two, joined, as they are.
+
+        A line feed has no piece, so what follows one is segmented by itself, without a space before it.
+        """
+        key = ((BEGIN[0] if a is None else a) << 32) + b
         found = self.pairs.get(key)
         if found is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) >= KEPT_PAIRS:
                 self.pairs.clear()
-            one = [] if a is None else [self.text(a)]
-            found = self.pairs[key] = self.merged("".join([*one, self.text(b)])) == [*one, self.text(b)]
+            parts = [b] if a is None else [a, b]
+            found = self.pairs[key] = self.joined("".join(map(self.text, parts))) == self.flat(parts)
         return found
 
     def ending(self, text: str, i: int, least: int = 0) -> Iterator[tuple[int, int]]:
@@ -130,40 +144,39 @@ class Pieces:
 
     def whole(self, text: str) -> list[int]:
         """``segment`` of a text by itself, for the many short ones."""
-        ids, pairs, longest = self.ids.get, self.pairs.get, self.longest
-        piece: list[int | None] = [BEGIN[0]] + [None] * len(text)
-        start = [0] * len(piece)
-        for i in range(1, len(piece)):
-            for j in range(i - longest if i > longest else 0, i):
-                u = piece[j]
-                if u is None:
+        tree, pairs, n = self.tree, self.pairs.get, len(text)
+        piece: list[int | None] = [BEGIN[0]] + [None] * n
+        start = [0] * (n + 1)
+        for j in range(n):
+            u = piece[j]
+            if u is None:
+                continue
+            node = tree.get(text[j])
+            if node is None or "" not in node:  # a character without a piece
+                piece[j + 1], start[j + 1] = -1 - ord(text[j]), j
+                if node is None:
                     continue
-                t = ids(text[j:i])
-                if t is None:
-                    if j < i - 1:
-                        continue
-                    t = -1 - ord(text[j])
-                ok = pairs((u, t))
-                if ok is None:
-                    ok = self.valid(u if j else None, t)
-                if ok:
-                    piece[i], start[i] = t, j
+            i = j + 1
+            while True:
+                t = node.get("")
+                if t is not None and piece[i] is None:
+                    ok = pairs((u << 32) + t)
+                    if ok is None:
+                        ok = self.valid(u if j else None, t)
+                    if ok:
+                        piece[i], start[i] = t, j
+                if i == n:
+                    break
+                node = node.get(text[i])
+                if node is None:
                     break
-        out, i = [], len(text)
+                i += 1
+        out, i = [], n
         while i:
             out.append(piece[i])
             i = start[i]
         return out[::-1]
 
-    def word(self, word: str) -> list[int]:
-        """Ids of a word, whose leading space is left out."""
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= KEPT_WORDS:
-                self.words.clear()
-            found = self.words[word] = self.flat(self.whole(SPACE + word.replace(" ", SPACE)))
-        return found
-
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.empty(0, np.int32)
@@ -177,10 +190,11 @@ class Pieces:
                 else:
                     run += " "
             words = joined
-        return np.fromiter(chain.from_iterable(map(self.word, words)), np.int32)
+        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), np.int32)
 
-    def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.data.__getitem__, ids.tolist())).decode(errors="replace")[1:]
+    def decode(self, ids: np.ndarray, begins: bool = True) -> str:
+        """The text of ids; of those that begin a text the first space is left out."""
+        return b"".join(map(self.data.__getitem__, ids.tolist())).decode(errors="replace")[1 if begins else 0 :]
 
     # the scan
 
@@ -263,12 +277,13 @@ def _pieces(model: bytes) -> Pieces:
     return _LOADED[model]
 
 
-def _encoded(model: bytes):
+def _encoded(model: bytes, back: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _pieces(model)
         for batch in batches:
-            rows = pa.array([own.encode(t.as_py()) for t in batch.column("text")], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), rows], names=["id", "ids"])
+            rows = [own.encode(t.as_py()) for t in batch.column("text")]
+            texts = pa.array([own.decode(r) if back else None for r in rows], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, pa.list_(pa.int32())), texts], names=["id", "ids", "decoded"])
 
     return run
 
@@ -315,13 +330,15 @@ def _settled(table: pa.Table) -> pa.Table:
     return pa.table({"uid": pa.array([r["uid"] for r in rows], pa.int64()), "no": pa.array([r["no"] for r in rows], pa.int64()), "entry": pair(0), "exit": pair(1)})
 
 
-def _traced(model: bytes):
+def _traced(model: bytes, back: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _pieces(model)
         state = lambda s: (s["piece"], s["beyond"])
         for batch in batches:
             rows = [own.backtrace(r["left"], r["body"], r["right"], state(r["entry"]), state(r["exit"])) for r in batch.to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("id"), batch.column("no"), pa.array(rows, pa.list_(pa.int32()))], names=["uid", "id", "no", "part"])
+            # a chunk's ids are whole characters, so it is decoded by itself; only the first has the space before the text
+            texts = pa.array([own.decode(np.array(r, np.int32), no == 0) if back else None for r, no in zip(rows, batch.column("no").to_pylist())], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("id"), batch.column("no"), pa.array(rows, pa.list_(pa.int32())), texts], names=["uid", "id", "no", "part", "text"])
 
     return run
 
@@ -336,18 +353,27 @@ def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str
     """(doc_id, ids) for each input row: the ids of its whole text, without control pieces.
 
     Null and empty texts give no ids; repeated rows each give a row; a null id stays null; other columns are ignored;
-    an empty table gives no rows. Texts longer than ``chunk_chars`` are scanned in chunks that are tasks of their own.
+    an empty table gives no rows. Texts of ``chunk_chars`` and more are scanned in chunks that are tasks of their own.
     """
+    return _scan(docs, model, id_col, text_col, chunk_chars, False).select("doc_id", "ids")
+
+
+def round_trip(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """(doc_id, ids, text): as ``encode``, with the text that the ids decode to, made in the same pass."""
+    return _scan(docs, model, id_col, text_col, chunk_chars, True)
+
+
+def _scan(docs: DataFrame, model: bytes, id_col: str, text_col: str, chunk_chars: int, back: bool) -> DataFrame:
     base = id_text(docs, id_col, text_col).select(F.col("id").cast("bigint").alias("id"), "text")
-    plain = base.where(F.length("text") < chunk_chars).mapInArrow(_encoded(model), "id bigint, ids array<int>")
+    plain = base.where(F.length("text") < chunk_chars).mapInArrow(_encoded(model, back), "id bigint, ids array<int>, decoded string")
     around = 2 * _pieces(model).longest
     giant = base.where(F.length("text") >= chunk_chars).withColumn("uid", F.monotonically_increasing_id())
     chunks = stored(giant.select("uid", "id", "text").mapInArrow(_cut(chunk_chars, around), "uid bigint, id bigint, no bigint, last bigint, left string, body string, right string"), "chunks")
     matrices = chunks.mapInArrow(_matrices(model), f"uid bigint, no bigint, matrix array<struct<exit:{_STATE},entries:array<{_STATE}>>>")
-    states = matrices.groupBy("uid").applyInArrow(_settled, f"uid bigint, no bigint, entry {_STATE}, exit {_STATE}")
-    parts = chunks.join(states, ["uid", "no"]).mapInArrow(_traced(model), "uid bigint, id bigint, no bigint, part array<int>")
-    whole = parts.groupBy("uid").agg(F.first("id").alias("id"), F.array_sort(F.collect_list(F.struct("no", "part"))).alias("p"))
-    return plain.union(whole.select("id", F.flatten("p.part"))).select(F.col("id").alias("doc_id"), "ids")
+    states = stored(matrices.groupBy("uid").applyInArrow(_settled, f"uid bigint, no bigint, entry {_STATE}, exit {_STATE}"), "states")
+    parts = chunks.join(states, ["uid", "no"]).mapInArrow(_traced(model, back), "uid bigint, id bigint, no bigint, part array<int>, text string")
+    whole = parts.groupBy("uid").agg(F.first("id").alias("id"), F.array_sort(F.collect_list(F.struct("no", "part", "text"))).alias("p"))
+    return plain.union(whole.select("id", F.flatten("p.part"), F.array_join("p.text", ""))).select(F.col("id").alias("doc_id"), "ids", F.col("decoded").alias("text"))
 
 
 def decode(encoded: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

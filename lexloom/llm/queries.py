@@ -62,8 +62,7 @@ def op9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every text, and the digest of what they decode to."""
-    model = pieces.load_model()
-    both = pieces.decode(pieces.encode(_docs(spark, sf_dir), model), model)
+    both = pieces.round_trip(_docs(spark, sf_dir), pieces.load_model())
     return both.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
 
 
