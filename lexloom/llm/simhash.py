@@ -9,7 +9,6 @@ the bits of those blocks. Fingerprints within the radius differ in at most three
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -45,9 +44,11 @@ def fingerprints(df: DataFrame) -> DataFrame:
     halves = F.lit((1 << 32) | 1)
     sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(halves) * F.col("w")).alias(f"v{j}") for j in range(32)]
     counted = votes.groupBy("id").agg(F.sum("w").alias("w"), *sums)
-    low = [F.when(F.col(f"v{j}").bitwiseAND(F.lit((1 << 32) - 1)) * 2 > F.col("w"), F.lit(1 << j)).otherwise(F.lit(0)).cast("bigint") for j in range(32)]
-    high = [F.when(F.shiftrightunsigned(f"v{j}", 32) * 2 > F.col("w"), F.lit(_signed(1 << (j + 32)))).otherwise(F.lit(0)).cast("bigint") for j in range(32)]
-    return counted.select("id", reduce(lambda a, b: a.bitwiseOR(b), low + high).alias("fp"))
+    # one small loop per document, rather than 64 branches in compiled code
+    mask = F.lit((1 << 32) - 1)
+    bit = lambda votes, at: F.when(votes * 2 > F.col("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), at)).otherwise(F.lit(0).cast("bigint"))
+    bits = F.transform(F.array(*[f"v{j}" for j in range(32)]), lambda v, j: bit(v.bitwiseAND(mask), j).bitwiseOR(bit(F.shiftrightunsigned(v, 32), j + 32)))
+    return counted.select("id", F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(x)).alias("fp"))
 
 
 def as_hex(fp: Column) -> Column:
@@ -68,17 +69,16 @@ def _masks(blocks: tuple[int, ...], radius: int) -> list[int]:
 def within_radius(queries: DataFrame, table: DataFrame, radius: int = RADIUS, blocks: tuple[int, ...] = BLOCKS) -> DataFrame:
     """(query, fp, distance) of all pairs of different fingerprints (columns ``fp``) of both sides within the radius.
 
-    Each pair comes once, from the first table in which it meets. Copies cost nothing: both sides are made distinct.
+    Each pair comes once, though it may meet in several tables. Copies cost nothing: both sides are made distinct.
     """
     masks = _masks(blocks, radius)
     keyed = lambda df, name: df.select(F.col("fp").alias(name)).distinct().select(
         name, F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col(name).bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(masks)])).alias("k")
     ).select(name, "k.t", "k.key")
     apart = F.col("query").bitwiseXOR(F.col("fp"))
-    first = F.coalesce(*[F.when(apart.bitwiseAND(F.lit(m)) == 0, F.lit(t)) for t, m in enumerate(masks)])
     q, d = keyed(queries, "query").alias("q"), keyed(table, "fp").alias("d")
-    near = (F.col("q.t") == F.col("d.t")) & (F.col("q.key") == F.col("d.key")) & (apart != 0) & (F.bit_count(apart) <= radius) & (first == F.col("q.t"))
-    return q.join(d, near).select("query", "fp", F.bit_count(apart).alias("distance"))
+    near = (F.col("q.t") == F.col("d.t")) & (F.col("q.key") == F.col("d.key")) & (apart != 0) & (F.bit_count(apart) <= radius)
+    return q.join(d, near).select("query", "fp", F.bit_count(apart).alias("distance")).distinct()
 
 
 def next_lower(keys: DataFrame) -> DataFrame:
