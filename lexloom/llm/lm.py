@@ -13,8 +13,8 @@ automaton of its own with just the arcs that its texts can take, and exact corpu
 2. per range, counts of all chunks are added, and each chunk is sent its totals, in its own order;
 3. per chunk, text and totals meet; one traversal from left to right scores every text.
 
-A frequent n-gram is one entry per chunk, so no range is hot. N-grams are 64-bit hashes: two of them that collide
-would share a count.
+A frequent n-gram is one entry per chunk, so no range is hot. Words are 64-bit hashes and pairs 56-bit ones: two that
+collide would share a count.
 """
 
 from __future__ import annotations
@@ -39,6 +39,8 @@ CHUNK_BYTES = 4 << 20
 RANGE_BYTES = 2 << 20
 #: The weight m of the backoff distribution, in tokens.
 BACKOFF_TOKENS = 1000.0
+#: The bits of a pair's hash that are used; words use all 64.
+PAIR_BITS = np.uint64(0xFFFFFFFFFFFFFF00)
 START, END = np.uint64(0x53544152), np.uint64(0x454E44)
 
 _PIECE = "kind int, part int, chunk bigint, keys binary, counts binary, n bigint, v bigint"
@@ -47,12 +49,12 @@ UNIGRAM, BIGRAM, TEXTS, TOTALS = range(4)
 
 
 def _pack(values: np.ndarray) -> bytes:
-    """Numbers byte plane by byte plane: small ones leave planes of zeros, which shuffle files compress away."""
-    return np.ascontiguousarray(values, np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Numbers byte plane by byte plane, compressed: small ones leave planes of zeros."""
+    return zstandard.compress(np.ascontiguousarray(values, np.uint64).view(np.uint8).reshape(-1, 8).T.tobytes(), 3)
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel()
+    return np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel()
 
 
 def _delta(keys: np.ndarray) -> bytes:
@@ -70,7 +72,7 @@ class Chunk:
         before = np.roll(tokens, 1)
         before[self.starts] = START
         self.words, first, self.word_at = np.unique(tokens, return_index=True, return_inverse=True)
-        self.pairs, at, self.pair_at = np.unique(mix(before * np.uint64(0x9E3779B97F4A7C15) + tokens), return_index=True, return_inverse=True)
+        self.pairs, at, self.pair_at = np.unique(mix(before * np.uint64(0x9E3779B97F4A7C15) + tokens) & PAIR_BITS, return_index=True, return_inverse=True)
         # of each distinct pair: the index of its word, and of the word before it (-1: the start)
         self.pair_word = self.word_at[at]
         self.pair_before = np.where(np.isin(at, self.starts), -1, self.word_at[at - 1])
@@ -87,9 +89,11 @@ def _ranges(keys: np.ndarray, parts: int) -> np.ndarray:
 
 def _pieces(texts: list[bytes], ids: list[int | None], train: list[bool], name: int, parts: int) -> pa.RecordBatch:
     chunk = Chunk(texts, np.array(train))
+    # what is carried on is the tokens: words in lower case, single spaces
+    texts = [b" ".join(split_words(t)) for t in texts]
     sizes = struct.pack(f"<{len(texts)}q", *map(len, texts))
     flags = bytes([(i is None) * 2 + t for i, t in zip(ids, train)])
-    body = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+    body = zstandard.compress(b"".join(texts), 9)
     rows = [(TEXTS, name % parts, name, struct.pack(f"<{len(ids)}q", *[i or 0 for i in ids]) + sizes + flags, body, len(ids), 0)]
     for kind, keys, counts in ((UNIGRAM, chunk.words, chunk.word_counts), (BIGRAM, chunk.pairs, chunk.pair_counts)):
         edge = _ranges(keys, parts)
@@ -148,7 +152,7 @@ def _scored(n: int, v: int, backoff: float):
         texts = next(r for r in rows if r["kind"] == TEXTS)
         docs = texts["n"]
         ids, sizes, flags = struct.unpack(f"<{docs}q", texts["keys"][: 8 * docs]), struct.unpack(f"<{docs}q", texts["keys"][8 * docs : 16 * docs]), texts["keys"][16 * docs :]
-        body, ends = zstandard.ZstdDecompressor().decompress(texts["counts"], max_output_size=max(1, sum(sizes))), np.cumsum(sizes)
+        body, ends = zstandard.decompress(texts["counts"]), np.cumsum(sizes)
         chunk = Chunk([body[e - s : e] for e, s in zip(ends, sizes)], np.zeros(docs))
         words, pairs = (np.concatenate([_unpack(r["counts"]) for r in rows if r["kind"] == k]).astype(np.float64) for k in (UNIGRAM, BIGRAM))
         if len(words) != len(chunk.words) or len(pairs) != len(chunk.pairs):
