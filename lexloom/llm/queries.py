@@ -60,6 +60,11 @@ def op9_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.drop_repeats(_docs(spark, sf_dir))
 
 
+def op9_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole job: op9_spans is bound to its SQL, which knows runs of three sentences alone."""
+    return spans.drop_passages(_docs(spark, sf_dir))
+
+
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every text, and the digest of what they decode to."""
     both = pieces.round_trip(_docs(spark, sf_dir), pieces.load_model())
@@ -67,7 +72,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_secrets, op3_quality, op4_pii, op5_html, op6_decontamination, op7_jaccard, op8_lm, op9_spans, op10_pieces)}
+    return {f.__name__: f for f in (op1_simhash, op2_secrets, op3_quality, op4_pii, op5_html, op6_decontamination, op7_jaccard, op8_lm, op9_spans, op9_passages, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:

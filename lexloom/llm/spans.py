@@ -4,17 +4,28 @@ run that is not its first occurrence are removed.
 Native. Runs are rows of two 64-bit hashes, a document id and a place; they are written once to the shared folder. The
 first occurrence of a run is a minimum with map-side partials, so a run found in very many documents is not gathered,
 and the join that marks the others has each hash once on its small side.
+
+``drop_repeats`` is the rule of the SQL, runs of three whole sentences. ``drop_passages`` also removes repeated passages
+of fifty words wherever their sentences begin and end; its passages are hashed in Arrow functions.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.llm.words import hash_words, mix
 from lexloom.plans.shared import stored
 
 RUN_SENTENCES = 3
 LEAST_WORDS = 10
+#: Words of a passage that counts whatever its sentences, and of the runs in it that its anchor is chosen from.
+PASSAGE_WORDS, ANCHOR_WORDS = 50, 16
 #: Segments that make up the whole text: a sentence with its end marks and the white space after it.
 SENTENCE = r"[^.!?\n]*[.!?\n]+[ \t\n\r\f]*|[^.!?\n]+"
 
@@ -34,6 +45,19 @@ def sentence_runs(docs: DataFrame, id_col: str, text_col: str, k: int, least_wor
     return rows.where(long_enough).select("id", "pos", F.xxhash64("run").alias("h1"), F.xxhash64(F.lit(1), "run").alias("h2"))
 
 
+def _starts(runs: DataFrame, apart: int = 1) -> DataFrame:
+    """(id, starts) of the rows (id, pos, h1, h2) that are not the first with their hashes; in one document only from ``apart`` places on."""
+    first = runs.groupBy("h1", "h2").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
+    after = (F.col("id") > F.col("first.id")) | ((F.col("id") == F.col("first.id")) & (F.col("pos") >= F.col("first.pos") + apart))
+    return runs.join(first, ["h1", "h2"]).where(after).groupBy("id").agg(F.collect_set("pos").alias("starts"))
+
+
+def covered_sentences(docs: DataFrame, id_col: str, text_col: str, k: int, least_words: int) -> DataFrame:
+    """(id, covered): places of the sentences that repeated runs cover, of documents that have some."""
+    runs = stored(sentence_runs(docs.where(F.col(id_col).isNotNull()), id_col, text_col, k, least_words), "runs")
+    return _starts(runs).select("id", F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + (k - 1))))).alias("covered"))
+
+
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = RUN_SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, text, n_sentences, n_removed) for each input row, without the sentences of repeated runs.
 
@@ -41,11 +65,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     empty texts give an empty text; ids are expected to be unique: rows that repeat one are marked alike, each as if it
     were the other; a null id has no runs removed; other columns are ignored.
     """
-    runs = stored(sentence_runs(docs.where(F.col(id_col).isNotNull()), id_col, text_col, k, least_words), "runs")
-    first = runs.groupBy("h1", "h2").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
-    later = runs.join(first, ["h1", "h2"]).where(F.struct("id", "pos") > F.col("first"))
-    covered = later.groupBy("id").agg(F.collect_set("pos").alias("starts"))
-    covered = covered.select("id", F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + (k - 1))))).alias("covered"))
+    covered = covered_sentences(docs, id_col, text_col, k, least_words)
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(covered, "id", "left")
     parts = base.withColumn("parts", F.when(F.col("covered").isNotNull(), sentences(F.col("text"))))
     kept = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("covered"))
@@ -54,6 +74,113 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return parts.select(F.col("id").alias("doc_id"), clean.alias("text"), n.alias("n_sentences"), F.coalesce(F.size("covered"), F.lit(0)).cast("bigint").alias("n_removed"))
 
 
+def _doubled(x: np.ndarray, length: int, join) -> np.ndarray:
+    """What ``join`` makes of each ``length`` neighbours: of powers of two, then of two that overlap."""
+    n = 1
+    while 2 * n <= length:
+        x, n = join(x[: max(0, len(x) - n)], x[n:]), 2 * n
+    rest = length - n
+    return join(x[: max(0, len(x) - rest)], x[rest:]) if rest else x
+
+
+def _grams(words: np.ndarray, length: int, factor: int = 0x9E3779B97F4A7C15) -> np.ndarray:
+    """Hashes of the runs of ``length`` words; none if there are fewer."""
+    return _doubled(words, length, lambda a, b: mix(mix(a) * np.uint64(factor) + b))
+
+
+def _anchors(text: str, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words, and for each run of ``length`` words the least hash of the ``ANCHOR_WORDS``-word runs in it."""
+    words = hash_words(text.lower().encode().split())
+    if len(words) < length:
+        return words, np.empty(0, np.uint64)
+    return words, _doubled(_grams(words, min(ANCHOR_WORDS, length)), length - min(ANCHOR_WORDS, length) + 1, np.minimum)
+
+
+def _anchored(length: int):
+    room = length - min(ANCHOR_WORDS, length) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, found, counts = [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+            for i, text in zip(batch.column("id").to_pylist(), batch.column("text")):
+                every = _anchors(text.as_py(), length)[1]
+                ends = np.append(np.flatnonzero(every[1:] != every[:-1]), [len(every) - 1] * (len(every) > 0)).astype(np.int64)
+                # one place gives neighbouring runs, and no more than it has room for
+                anchors, of = np.unique(every[ends], return_inverse=True)
+                ids += [i] * len(anchors)
+                found.append(anchors)
+                counts.append(np.bincount(of, -(np.diff(ends, prepend=-1) // -room), len(anchors)).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(counts))], names=["id", "anchor", "n"])
+
+    return run
+
+
+def _windows(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, text, shared in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("anchors")):
+                words, anchors = _anchors(text.as_py(), length)
+                at = np.flatnonzero(np.isin(anchors, shared.values.to_numpy().view(np.uint64)))
+                h1, h2 = (_grams(words, length, f)[at].view(np.int64) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int64)), pa.array(at.astype(np.int32)), pa.array(h1), pa.array(h2)], names=["id", "pos", "h1", "h2"])
+
+    return run
+
+
+def repeated_passages(docs: DataFrame, id_col: str, text_col: str, length: int = PASSAGE_WORDS) -> DataFrame:
+    """(id, starts): places of the runs of ``length`` words that are not the first of their kind, wherever sentences end.
+
+    A run's anchor follows from its words alone, so runs that are equal have equal anchors: only runs whose anchor is
+    found again are hashed and joined, and none is missed. Within a document a repeat does not overlap its first.
+    """
+    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    anchors = stored(base.mapInArrow(_anchored(length), "id bigint, anchor bigint, n bigint"), "anchors")
+    again = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
+    shared = anchors.join(again, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
+    windows = stored(base.join(shared, "id").mapInArrow(_windows(length), "id bigint, pos int, h1 bigint, h2 bigint"), "windows")
+    return _starts(windows, length)
+
+
+def _cut(length: int):
+    sentence, word = re.compile(SENTENCE), re.compile(r"[^\t-\r ]+[\t-\r ]*")
+
+    def clean(text: str, covered: list[int] | None, starts: list[int] | None) -> str:
+        gone = []
+        if covered:
+            at = [m.span() for m in sentence.finditer(text)]
+            gone += [at[i] for i in covered]
+        if starts:
+            at = [m.span() for m in word.finditer(text)]
+            gone += [(at[p][0], at[p + length - 1][1]) for p in starts]
+        out, done = [], 0
+        for a, b in sorted(gone):
+            out.append(text[done : max(done, a)])
+            done = max(done, b)
+        return "".join([*out, text[done:]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            before = batch.column("text").to_pylist()
+            after = [clean(*row) if row[1] or row[2] else row[0] for row in zip(before, batch.column("covered").to_pylist(), batch.column("starts").to_pylist())]
+            n = [len(word.findall(t)) for t in before]
+            gone = [0 if a is b else k - len(word.findall(b)) for a, b, k in zip(before, after, n)]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(after, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=["doc_id", "text", "n_words", "n_removed"])
+
+    return run
+
+
+def drop_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = PASSAGE_WORDS, k: int = RUN_SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
+    """(doc_id, text, n_words, n_removed) for each input row: without repeated runs of k sentences or of ``length`` words.
+
+    Both rules look at the texts as they came; n_words and n_removed count words before and those removed. What stands
+    next to each other only after the removal is not compared again. Edge cases are those of ``drop_repeats``.
+    """
+    covered = covered_sentences(docs, id_col, text_col, k, least_words)
+    base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    marked = base.join(covered, "id", "left").join(repeated_passages(docs, id_col, text_col, length), "id", "left")
+    return marked.select("id", "text", "covered", "starts").mapInArrow(_cut(length), "doc_id bigint, text string, n_words bigint, n_removed bigint")
+
+
 ORACLE_SQL = r"""
 with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]+[ \t\n\r\f]*|[^.!?\n]+') as s from documents),
 p as (select doc_id, list_transform(s, lambda x: trim(regexp_replace(lower(x), '[ \t\n\r\f]+', ' ', 'g'))) as s from d),

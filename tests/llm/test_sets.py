@@ -173,3 +173,35 @@ def test_spans(spark):
     assert got[2].n_removed == 3 and got[2].n_sentences == 5
     assert collections.Counter(r.n_removed > 0 for r in got.values()) == {True: 2, False: 4}
     assert spans.drop_repeats(documents(spark, texts).limit(0)).count() == 0
+
+
+def test_passages_whatever_their_sentences(spark):
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    fill = lambda n: " ".join(word() for _ in range(n))
+    one, two, within, short, middle = fill(60) + ".", fill(30) + ". " + fill(30) + ".", fill(55), fill(49), fill(20) + ". " + fill(5) + ". " + fill(35)
+    texts = {1: f"{one} {fill(9)}", 2: f"{fill(7)} {one.upper()} Tail.", 3: two, 4: two, 5: f"{fill(5)} {middle} {fill(4)}", 6: f"Q {middle}, {fill(4)} {middle} z", 7: f"a {short} b", 8: f"c {short} d"}
+    texts |= {9: None, 10: "", 11: "x " * 120, 12: f"own {fill(99)}", 13: f"{within} then {within}"}
+    got = {r.doc_id: (r.text, r.n_removed) for r in spans.drop_passages(documents(spark, texts)).collect()}
+    for i in (1, 3, 5, 7, 8, 12):
+        assert got[i] == (texts[i], 0)
+    assert got[2] == (" ".join(texts[2].split()[:7]) + " Tail.", 60) and got[4] == ("", 60)
+    assert got[6][1] == 59 + 60 and got[13][1] == 55
+    assert got[9] == got[10] == ("", 0) and got[11] == ("x " * 50, 70)
+    assert spans.drop_passages(documents(spark, texts).limit(0)).count() == 0
+
+
+def test_passages_equal_brute_force(spark):
+    rng = random.Random(9)
+    pool = [[f"p{rng.randrange(300)}" for _ in range(rng.randrange(40, 90))] for _ in range(12)]
+    texts = {i: " ".join(w for _ in range(4) for w in [*rng.choice(pool)[rng.randrange(8) :], f"u{rng.random()}"]) for i in range(60)}
+    first, want = {}, {}
+    for i in sorted(texts):
+        w, starts = texts[i].split(), set()
+        for a in range(len(w) - 49):
+            at = first.setdefault(tuple(w[a : a + 50]), (i, a))
+            if at[0] < i or a >= at[1] + 50:
+                starts.add(a)
+        if starts:
+            want[i] = starts
+    assert {r.id: set(r.starts) for r in spans.repeated_passages(documents(spark, texts), "doc_id", "text").collect()} == want and want
