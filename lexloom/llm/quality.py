@@ -4,8 +4,9 @@ The target model is learned from labelled documents of good quality that are not
 documents. A feature is a word, a run of marks or a pair of neighbours; a document has it once, and once more for each
 power of four that its count reaches, so one long junk text does not tilt the models. Features are hashed to a bucket
 in each of two tables, and the ratio nearer to 1 is taken: features that merely share a bucket with a telling one do
-not add up in long texts. A document's importance is the product of target / raw over its features; a ratio counts
-where it is significant.
+not add up in long texts. A document's importance is the product of target / raw over its features. The log ratios are
+smoothed and shrunk by their variance; the document itself is left out of the counts it is judged by, so labelled
+documents are not favoured.
 
 The number to keep, k, is the number of documents whose importance reaches the level that all but ``clean_loss`` of
 the target documents reach. The k largest importances times Gumbel noise are then a sample of k without replacement.
@@ -27,14 +28,14 @@ from lexloom.llm.words import mix
 from lexloom.plans.shared import stored
 
 #: Buckets in each of the two tables.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 #: Labelled target documents to learn from at most; of more, those with the smallest hash of their id.
 TARGET_ROWS = 20_000
 CLEAN_LOSS = 0.005
 #: The sample is drawn from importances to the power 1 / TEMPERATURE: noise is small against a telling feature.
 TEMPERATURE = 0.25
-#: A ratio counts if it is significant by this many standard deviations and by this factor, as a logarithm.
-DEVIATIONS, LEAST_RATIO, PRIOR_DOCS = 3.5, 1.0, 2.0
+#: Documents added to both counts of a ratio, and the variances by which its square shrinks.
+PRIOR_DOCS, SHRINKAGE = 2.0, 4.0
 #: Keys are ordered in steps of 2 ** -STEP_BITS between these bounds; what is below is equal.
 STEP_BITS, LOWEST, HIGHEST = 32, -4096, 4096
 
@@ -78,10 +79,10 @@ def places(found: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _counted(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(2 * buckets, np.int64), np.zeros(2 * buckets, np.int64)
+        raw, target = np.zeros(2 * buckets + 1, np.int64), np.zeros(2 * buckets + 1, np.int64)
         for batch in batches:
             for text, own in zip(batch.column("text"), batch.column("target").to_pylist()):
-                at = np.unique(np.concatenate(places(features(text.as_py()), buckets)))
+                at = np.unique(np.concatenate([*places(features(text.as_py()), buckets), [2 * buckets]]))  # the last place counts documents
                 raw[at] += 1
                 if own:
                     target[at] += 1
@@ -91,27 +92,36 @@ def _counted(buckets: int):
     return run
 
 
-def _weighed(ratios: np.ndarray):
-    def weight(text: str) -> float:
+def _weighed(own: np.ndarray, others: np.ndarray):
+    def weight(text: str, ratios: np.ndarray) -> float:
         one, two = (ratios[at] for at in places(features(text), len(ratios) // 2))
         return float(np.where(np.abs(one) < np.abs(two), one, two).sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([weight(t.as_py()) for t in batch.column("text")], pa.float64())], names=["id", "log_weight"])
+            found = [weight(t.as_py(), own if of else others) for t, of in zip(batch.column("text"), batch.column("target").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.float64())], names=["id", "log_weight"])
 
     return run
 
 
-def log_ratios(counts: DataFrame, buckets: int = BUCKETS) -> np.ndarray:
-    """Significant log ratios of target to raw by bucket, from (bucket, raw, target): one row per bucket at most."""
-    raw, target = np.zeros(2 * buckets), np.zeros(2 * buckets)
-    for row in counts.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect():  # at most 2 * buckets rows
-        raw[row[0]], target[row[0]] = row[1], row[2]
-    expected = raw * target.sum() / max(raw.sum(), 1.0)
-    ratio = np.log((target + PRIOR_DOCS) / (expected + PRIOR_DOCS))
-    telling = np.abs(target - expected) > DEVIATIONS * np.sqrt(expected + 1)
-    return np.where(telling & (np.abs(ratio) > LEAST_RATIO), ratio, 0.0)
+def log_ratios(counts: DataFrame, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Shrunk log ratios of target to raw by bucket, from (bucket, raw, target): for target documents and for others.
+
+    Each is without the document that is judged: it has one less in raw and, if it is a target document, in target.
+    """
+    raw, target = np.zeros(2 * buckets + 1), np.zeros(2 * buckets + 1)
+    found = counts.groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).toArrow()  # at most 2 * buckets + 1 rows
+    at = found.column("bucket").to_numpy()
+    raw[at], target[at] = found.column("raw").to_numpy(), found.column("target").to_numpy()
+    share = target[-1] / max(raw[-1], 1.0)
+    expected = np.maximum(raw[:-1] - 1, 0) * share + PRIOR_DOCS
+
+    def shrunk(having: np.ndarray) -> np.ndarray:
+        ratio = np.log((having + PRIOR_DOCS) / expected)
+        return (ratio * np.maximum(0.0, 1 - SHRINKAGE / expected / np.maximum(ratio**2, 1e-12))).astype(np.float32)
+
+    return shrunk(np.maximum(target[:-1] - 1, 0)), shrunk(target[:-1])
 
 
 def kth_largest(df: DataFrame, key: str, k: int) -> int | None:
@@ -147,7 +157,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     base = id_text(docs, id_col, text_col).select(F.col("id").cast("bigint").alias("id"), "text")
     marked = base.join(F.broadcast(target), "id", "left").withColumn("target", F.coalesce("target", F.lit(False)))  # at most target_rows rows
     ratios = log_ratios(marked.mapInArrow(_counted(buckets), "bucket bigint, raw bigint, target bigint"), buckets)
-    weights = base.mapInArrow(_weighed(ratios.astype(np.float32)), "id bigint, log_weight double")
+    weights = marked.mapInArrow(_weighed(*ratios), "id bigint, log_weight double")
     noise = -F.log(-F.log((F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), F.coalesce("id", F.lit(0))), 12) + F.lit(0.5)) / F.lit(float(1 << 52))))
     keyed = weights.withColumn("key", F.col("log_weight") / TEMPERATURE + noise)
     fixed = F.floor(F.greatest(F.least(F.col("key"), F.lit(float(HIGHEST))), F.lit(float(LOWEST))) * float(1 << STEP_BITS)).cast("bigint")

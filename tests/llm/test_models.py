@@ -70,6 +70,16 @@ def test_quality_separates(spark):
     assert judged.count() == docs.count() and share[1, 0] >= 0.95 and share[0, 0] <= 0.5
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_quality_rejects_toxic_and_keeps_unseen_clean(spark, sf):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    unseen = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(10)) < 3
+    rows = quality.classify(docs, labels.where(~unseen)).join(labels, "doc_id").withColumn("unseen", unseen).collect()
+    share = lambda of: sum(r.keep for r in rows if of(r)) / sum(map(of, rows))
+    assert share(lambda r: r.toxic == 1) <= 0.36 and share(lambda r: r.toxic == 0 and r.quality == 0) <= 0.25
+    assert share(lambda r: r.unseen and r.quality == 1 and r.toxic == 0) >= 0.95
+
+
 def test_quality_edges(spark):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, None, None)], "doc_id long, quality int, toxic int")
     df = documents(spark, {1: "a b", 2: None, 3: ""}).withColumn("target", F.lit("clash"))
