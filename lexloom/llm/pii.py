@@ -15,6 +15,15 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.columns import id_text, prefix_sums
 
+#: Characters of an IBAN by country: printed in groups, only its length tells where it ends.
+IBAN_CHARS = {
+    15: "NO", 16: "BE", 18: "DK|FO|FI|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "HR|CH|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA",
+    23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HU|LB|NI|PL|SV",
+    29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+_PRINTED = "|".join(rf"(?:{of})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" [A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, of in IBAN_CHARS.items())
+#: Of other countries the longest run of groups is tried.
+_PRINTED += rf"|(?!{'|'.join(IBAN_CHARS.values())})[A-Z]{{2}}[0-9]{{2}}(?: [A-Z0-9]{{4}}){{2,7}}(?: [A-Z0-9]{{1,3}})?"
 #: Kinds in output order, their patterns, their prior scores and the context words that raise these.
 KINDS = ("email", "ip", "card", "phone", "iban")
 PATTERNS = {
@@ -22,7 +31,7 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?=(?:[ -]?[0-9]){13})[0-9 -]*?(?=[ -]{2}|[ -]?(?![0-9 -]))",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?:[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}|{_PRINTED})(?![A-Za-z0-9])",
 }
 PRIOR = {"email": 0.7, "ip": 0.5, "card": 0.7, "phone": 0.5, "iban": 0.8}
 CONTEXT = {
@@ -64,7 +73,7 @@ def _valid(kind: str, x: Column) -> Column:
     if kind == "phone":
         return F.length(F.regexp_replace(x, "[^0-9]", "")).between(10, 15)
     if kind == "iban":
-        return mod97(x)
+        return mod97(F.replace(x, F.lit(" "), F.lit("")))
     return F.lit(True)
 
 

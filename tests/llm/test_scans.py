@@ -124,6 +124,19 @@ def test_iban_score_and_redaction(spark):
     assert pii.redact(both).first().text.count("[") == 1
 
 
+def test_printed_ibans(spark):
+    good = ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "BE71 0961 2345 6769", "NO93 8601 1117 947", "FR14 2004 1010 0505 0001 3M02 606", "MT84 MALT 0110 0001 2345 MTLC AST0 01S", "DE89370400440532013000"]
+    bad = ["DE89 3704 0044 0532 0130 01", "DE89 3704 0044 0532 0130 000", "DE89  3704 0044 0532 0130 00", "XDE89 3704 0044 0532 0130 00", "GB82 WEST 1234"]
+    texts = [f"😀 pay {g}{end}" for g in good for end in ("", ".", " OK", " THEN IBAN", " GB82 WEST 1234 5698 7654 32")] + [f"pay {b} now" for b in bad]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.id: [r.text[s.start : s.end] for s in r.spans if s.kind == "iban"] for r in pii.find_pii(df).collect()}
+    for i, text in enumerate(texts[: -len(bad)]):
+        assert found[i] == [good[i // 5]] + ["GB82 WEST 1234 5698 7654 32"] * (i % 5 == 4), text
+    assert not any(found[i] for i in range(len(texts) - len(bad), len(texts)))
+    clean = dict((r.id, r.text) for r in pii.redact(df).collect())
+    assert all(clean[i].startswith("😀 pay [IBAN]") for i in range(len(texts) - len(bad)))
+
+
 PAGES = {
     '<body><nav><a href="/">Home</a></nav><article><h1>T</h1><p>a <b>b</b>c &amp; &lt;d&gt;\n e<br>f</p><p>g</article><footer>foot</footer>': "T\na bc & <d> e f\ng",
     '<header class="top"><h1>Site</h1></header><div id="cookie-notice"><p>We use cookies here and there and everywhere else.</p></div><main><h1>Ti</h1><p>Hello<div class=related><a href=x>foo</a></div><p>Second<section id=comments><article><p>user says</p></article></section></main><aside>side</aside>': "Ti\nHello\nSecond",
