@@ -1,11 +1,10 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search, verified by exact shingle containment.
+"""Benchmark decontamination: containment of benchmark items in documents, by an exact join of word shingles.
 
 A short item inside a long document has a tiny Jaccard similarity, so MinHash bands over whole documents would miss it.
-Instead an item's sketch is its bottom-m MinHash values with m = |Q| - ceil(t |Q|) + 1: a document that contains a
-share t of the item's shingles misses at most |Q| - ceil(t |Q|) of them and so holds a sketch value. The candidate
-search therefore loses nothing, whatever the document's length. Items and documents are partitioned by size: an item is
-looked up among documents long enough to contain it, and items shorter than a shingle use shingles of their own length.
-Candidates are verified with the shingles themselves, not their hashes.
+All shingles of items and documents are joined; equal hashes are verified with the shingles themselves. The bottom-m
+MinHash sketch of an item, m = |Q| - ceil(t |Q|) + 1, which any document with a share t of its shingles must meet, and
+the least size of a document are only tested on the joined rows: they lose nothing and save nothing. Items shorter than
+a shingle use shingles of their own length.
 """
 
 from __future__ import annotations
