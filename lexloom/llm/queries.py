@@ -19,6 +19,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_report(_docs(spark, sf_dir))
 
 
+def op1_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that op1_simhash counts in n_near, by class."""
+    return simhash.near_classes(_docs(spark, sf_dir))
+
+
 def _span_report(found: DataFrame, base: tuple[str, ...]) -> DataFrame:
     """Counts of the base kinds, the digest of their spans, and all spans in text form."""
     own = found.withColumn("base", F.filter("spans", lambda s: s["kind"].isin(*base)))
@@ -72,7 +77,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_secrets, op3_quality, op4_pii, op5_html, op6_decontamination, op7_jaccard, op8_lm, op9_spans, op9_passages, op10_pieces)}
+    return {f.__name__: f for f in (op1_simhash, op1_partners, op2_secrets, op3_quality, op4_pii, op5_html, op6_decontamination, op7_jaccard, op8_lm, op9_spans, op9_passages, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:

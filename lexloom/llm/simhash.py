@@ -139,3 +139,19 @@ def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         F.col("id").alias("doc_id"), "n_chars", "edited_sha256", as_hex(F.col("fp")).alias("fingerprint"), as_hex(F.col("efp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("nfp")).alias("near_next"), "n_near",
     )
+
+
+def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = 50, radius: int = RADIUS) -> DataFrame:
+    """(doc_id, class_id, near_class, distance): each document's class, and the classes near those of the queried ids.
+
+    A class has the documents of one fingerprint and is named by its smallest id. That document has a row for each
+    class within ``radius`` if an id of its own class is divisible by ``every``; all others have one row without a
+    near class. Edge cases are those of ``fingerprint_report``.
+    """
+    base = id_text(docs, id_col, text_col).where("id is not null").select(F.col("id").cast("bigint").alias("id"), "text")
+    own = stored(fingerprints(base), "prints")
+    classes = stored(own.groupBy("fp").agg(F.min("id").alias("class_id")), "classes")
+    found = within_radius(own.where(F.col("id") % every == 0), classes, radius)
+    named = found.join(classes.withColumnRenamed("class_id", "near_class"), "fp").select(F.col("query").alias("fp"), "near_class", "distance").join(classes, "fp")
+    pairs = named.select(F.col("class_id").alias("id"), "near_class", F.col("distance").cast("bigint").alias("distance"))
+    return own.join(classes, "fp").join(pairs, "id", "left").select(F.col("id").alias("doc_id"), "class_id", "near_class", "distance")

@@ -205,3 +205,22 @@ def test_passages_equal_brute_force(spark):
         if starts:
             want[i] = starts
     assert {r.id: set(r.starts) for r in spans.repeated_passages(documents(spark, texts), "doc_id", "text").collect()} == want and want
+
+
+def test_partners_are_those_counted(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    report = {r.doc_id: r for r in simhash.fingerprint_report(docs).collect()}
+    rows = simhash.near_classes(docs).collect()
+    members, near = collections.defaultdict(set), collections.defaultdict(set)
+    for r in rows:
+        members[r.class_id].add(r.doc_id)
+        if r.near_class is not None:
+            near[r.doc_id].add(r.near_class)
+            a, b = (int(report[i].fingerprint, 16) for i in (r.doc_id, r.near_class))
+            assert r.doc_id == r.class_id and r.distance == (a ^ b).bit_count()
+    of = {i: c for c, found in members.items() for i in found}
+    assert of.keys() == report.keys() and near and all(len({report[i].fingerprint for i in found}) == 1 for found in members.values())
+    for i, r in report.items():
+        if i % 50 == 0:
+            assert r.n_near == sum(len(members[c]) for c in near[of[i]] | {of[i]}) - 1
+    assert simhash.near_classes(docs.limit(0)).count() == 0
