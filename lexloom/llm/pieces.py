@@ -7,8 +7,8 @@ segmentation, and weights need one bit. From any start at most one piece ends va
 
 A text longer than a chunk is cut at fixed places. The state at a cut is the piece that covers the character before it
 and how far it reaches beyond; a chunk's transfer matrix says which states at its left cut lead to which at its right
-cut. Products of matrices combine associatively; they settle the states at all cuts, and each chunk is then backtraced
-by itself. No piece crosses the start of a word (a space after another character), so within a chunk only the cut words
+cut. Products of matrices combine associatively, block by block up a tree; on the way down they settle the states at all
+cuts, and each chunk is then backtraced by itself. No piece crosses the start of a word (a space after another character), so within a chunk only the cut words
 at its ends need the matrix, and words between are looked up in a table of words already segmented.
 """
 
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,11 @@ from lexloom.plans.shared import stored
 TOKENIZER_DIR = "/opt/tokenizers"
 MODEL = "piece_bpe_32k.model"
 CHUNK_CHARS = 32_768
-#: Words and pairs of pieces that a worker keeps.
-KEPT_WORDS = 400_000
-KEPT_PAIRS = 500_000
+#: Words, none longer than KEPT_CHARS, in each of the two tables of a task, and pairs of pieces that it keeps.
+KEPT_WORDS, KEPT_CHARS = 100_000, 64
+KEPT_PAIRS = 300_000
+#: Neighbouring chunks, or blocks of them, whose matrices one task multiplies.
+BLOCK = 16
 SPACE = "▁"
 #: The state before the first character of a text.
 BEGIN = (1 << 30, 0)
@@ -39,21 +42,30 @@ _WORD_START = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 
 
 class Words(dict):
-    """Ids, as 32-bit bytes, by word, whose leading space is left out; a missing word is segmented, and a full table
-    begun anew."""
+    """Ids, as 32-bit bytes, by word, whose leading space is left out; a missing word is segmented. A full table becomes
+    the older one, from which words in use come back."""
 
     def __init__(self, own: Pieces) -> None:
         self.own = own
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        found = self[word] = np.array(self.own.flat(self.own.whole(SPACE + word.replace(" ", SPACE))), np.int32).tobytes()
+        found = self.older.get(word)
+        if found is None:
+            found = np.array(self.own.flat(self.own.whole(SPACE + word.replace(" ", SPACE))), np.int32).tobytes()
+        if len(word) <= KEPT_CHARS:
+            if len(self) >= KEPT_WORDS:
+                self.older = dict(self)
+                self.clear()
+            self[word] = found
         return found
 
 
 class Pieces:
-    """A model's vocabulary and the rule for adjacent pieces. A character without a piece is the piece -1 - its code point."""
+    """A model's vocabulary and the rule for adjacent pieces. A character without a piece is the piece -1 - its code point.
+
+    Made anew by each task, with its tables, so workers that Spark reuses hold on to nothing.
+    """
 
     def __init__(self, model: bytes) -> None:
         sp = sentencepiece.SentencePieceProcessor(model_proto=model)
@@ -250,12 +262,12 @@ class Pieces:
         return head + middle + self.flat(self.segment(text, tail, None, stop, last))
 
 
-def settle(matrices: list[dict]) -> list[tuple[tuple[int, int], tuple[int, int]]]:
-    """The states at both cuts of each chunk on the one path through all matrices, in order."""
-    alive = [{BEGIN}]
+def settle(matrices: list[dict], begin: tuple[int, int] = BEGIN, end: tuple[int, int] = BEGIN) -> list[tuple[tuple[int, int], tuple[int, int]]]:
+    """The states at both cuts of each chunk on the one path through neighbouring matrices from ``begin`` to ``end``."""
+    alive = [{begin}]
     for m in matrices:
         alive.append({x for x, entries in m.items() if any(e in alive[-1] for e in entries)})
-    out, state = [], BEGIN
+    out, state = [], end
     for k in range(len(matrices) - 1, -1, -1):
         entry = next(e for e in matrices[k][state] if e in alive[k])
         out.append((entry, state))
@@ -268,18 +280,9 @@ def product(a: dict, b: dict) -> dict:
     return {x: found for x, entries in b.items() if (found := sorted({e for m in entries for e in a.get(m, [])}))}
 
 
-_LOADED: dict[bytes, Pieces] = {}
-
-
-def _pieces(model: bytes) -> Pieces:
-    if model not in _LOADED:
-        _LOADED[model] = Pieces(model)
-    return _LOADED[model]
-
-
 def _encoded(model: bytes, back: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _pieces(model)
+        own = Pieces(model)
         for batch in batches:
             rows = [own.encode(t.as_py()) for t in batch.column("text")]
             texts = pa.array([own.decode(r) if back else None for r in rows], pa.string())
@@ -304,38 +307,75 @@ def _cut(chunk: int, around: int):
 
 
 _STATE = "struct<piece:int,beyond:int>"
+_MATRIX = f"uid bigint, no bigint, matrix array<struct<exit:{_STATE},entries:array<{_STATE}>>>"
+_ARROW_STATE = pa.struct([("piece", pa.int32()), ("beyond", pa.int32())])
+_ARROW_MATRIX = pa.list_(pa.struct([("exit", _ARROW_STATE), ("entries", pa.list_(_ARROW_STATE))]))
 
 
-def _matrices(model: bytes):
-    state = pa.struct([("piece", pa.int32()), ("beyond", pa.int32())])
-    kind = pa.list_(pa.struct([("exit", state), ("entries", pa.list_(state))]))
-    pair = lambda s: {"piece": s[0], "beyond": s[1]}
+def _pair(s: tuple[int, int]) -> dict:
+    return {"piece": s[0], "beyond": s[1]}
+
+
+def _state(s: dict) -> tuple[int, int]:
+    return s["piece"], s["beyond"]
 
+
+def _row(matrix: dict) -> list[dict]:
+    return [{"exit": _pair(x), "entries": [_pair(e) for e in es]} for x, es in matrix.items()]
+
+
+def _matrix(row: list[dict]) -> dict:
+    return {_state(m["exit"]): [_state(e) for e in m["entries"]] for m in row}
+
+
+def _matrices(model: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _pieces(model)
+        own = Pieces(model)
         for batch in batches:
-            rows = [own.transfer(r["left"], r["body"], r["right"], r["no"] == 0, r["no"] == r["last"]) for r in batch.to_pylist()]
-            found = [[{"exit": pair(x), "entries": [pair(e) for e in es]} for x, es in m.items()] for m in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("no"), pa.array(found, kind)], names=["uid", "no", "matrix"])
+            found = [_row(own.transfer(r["left"], r["body"], r["right"], r["no"] == 0, r["no"] == r["last"])) for r in batch.to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("no"), pa.array(found, _ARROW_MATRIX)], names=["uid", "no", "matrix"])
 
     return run
 
 
+def _multiplied(table: pa.Table) -> pa.Table:
+    """The matrices of one block (uid, above) as one, numbered by the block."""
+    rows = sorted(table.to_pylist(), key=lambda r: r["no"])
+    whole = reduce(product, [_matrix(r["matrix"]) for r in rows])
+    return pa.table({"uid": pa.array([rows[0]["uid"]], pa.int64()), "no": pa.array([rows[0]["above"]], pa.int64()), "matrix": pa.array([_row(whole)], _ARROW_MATRIX)})
+
+
 def _settled(table: pa.Table) -> pa.Table:
+    """Of one block, whose states at its ends each row carries: the states at the ends of its parts."""
     rows = sorted(table.to_pylist(), key=lambda r: r["no"])
-    state = lambda s: (s["piece"], s["beyond"])
-    path = settle([{state(m["exit"]): [state(e) for e in m["entries"]] for m in r["matrix"]} for r in rows])
-    kind = pa.struct([("piece", pa.int32()), ("beyond", pa.int32())])
-    pair = lambda k: pa.array([{"piece": p[k][0], "beyond": p[k][1]} for p in path], kind)
-    return pa.table({"uid": pa.array([r["uid"] for r in rows], pa.int64()), "no": pa.array([r["no"] for r in rows], pa.int64()), "entry": pair(0), "exit": pair(1)})
+    path = settle([_matrix(r["matrix"]) for r in rows], _state(rows[0]["entry"]), _state(rows[0]["exit"]))
+    ends = [pa.array([_pair(p[k]) for p in path], _ARROW_STATE) for k in (0, 1)]
+    return pa.table({"uid": pa.array([r["uid"] for r in rows], pa.int64()), "no": pa.array([r["no"] for r in rows], pa.int64()), "entry": ends[0], "exit": ends[1]})
+
+
+def _states(matrices: DataFrame, block: int) -> DataFrame:
+    """(uid, no, entry, exit) of each chunk: matrices are multiplied block by block up to one block a text, whose ends are
+    known, and the states are settled on the way down. No task gets more than ``block`` matrices of a text."""
+    levels = [matrices]
+    while (levels[-1].agg(F.max("no")).first()[0] or 0) >= block:  # one round more for each power of ``block``
+        levels.append(stored(levels[-1].withColumn("above", F.floor(F.col("no") / block)).groupBy("uid", "above").applyInArrow(_multiplied, _MATRIX), "matrices"))
+    ends = F.struct(F.lit(BEGIN[0]).alias("piece"), F.lit(BEGIN[1]).alias("beyond"))
+    known = None
+    for level in reversed(levels):
+        placed = level.withColumn("above", F.floor(F.col("no") / block))
+        if known is None:
+            placed = placed.withColumn("entry", ends).withColumn("exit", ends)
+        else:
+            placed = placed.join(known.withColumnRenamed("no", "above"), ["uid", "above"])
+        known = placed.groupBy("uid", "above").applyInArrow(_settled, f"uid bigint, no bigint, entry {_STATE}, exit {_STATE}")
+    return known
 
 
 def _traced(model: bytes, back: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _pieces(model)
-        state = lambda s: (s["piece"], s["beyond"])
+        own = Pieces(model)
         for batch in batches:
-            rows = [own.backtrace(r["left"], r["body"], r["right"], state(r["entry"]), state(r["exit"])) for r in batch.to_pylist()]
+            rows = [own.backtrace(r["left"], r["body"], r["right"], _state(r["entry"]), _state(r["exit"])) for r in batch.to_pylist()]
             # a chunk's ids are whole characters, so it is decoded by itself; only the first has the space before the text
             texts = pa.array([own.decode(np.array(r, np.int32), no == 0) if back else None for r, no in zip(rows, batch.column("no").to_pylist())], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("id"), batch.column("no"), pa.array(rows, pa.list_(pa.int32())), texts], names=["uid", "id", "no", "part", "text"])
@@ -349,28 +389,28 @@ def load_model(directory: str = TOKENIZER_DIR, name: str = MODEL) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def encode(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS, block: int = BLOCK) -> DataFrame:
     """(doc_id, ids) for each input row: the ids of its whole text, without control pieces.
 
     Null and empty texts give no ids; repeated rows each give a row; a null id stays null; other columns are ignored;
     an empty table gives no rows. Texts of ``chunk_chars`` and more are scanned in chunks that are tasks of their own.
     """
-    return _scan(docs, model, id_col, text_col, chunk_chars, False).select("doc_id", "ids")
+    return _scan(docs, model, id_col, text_col, chunk_chars, block, False).select("doc_id", "ids")
 
 
-def round_trip(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def round_trip(docs: DataFrame, model: bytes, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS, block: int = BLOCK) -> DataFrame:
     """(doc_id, ids, text): as ``encode``, with the text that the ids decode to, made in the same pass."""
-    return _scan(docs, model, id_col, text_col, chunk_chars, True)
+    return _scan(docs, model, id_col, text_col, chunk_chars, block, True)
 
 
-def _scan(docs: DataFrame, model: bytes, id_col: str, text_col: str, chunk_chars: int, back: bool) -> DataFrame:
+def _scan(docs: DataFrame, model: bytes, id_col: str, text_col: str, chunk_chars: int, block: int, back: bool) -> DataFrame:
     base = id_text(docs, id_col, text_col).select(F.col("id").cast("bigint").alias("id"), "text")
     plain = base.where(F.length("text") < chunk_chars).mapInArrow(_encoded(model, back), "id bigint, ids array<int>, decoded string")
-    around = 2 * _pieces(model).longest
+    around = 2 * Pieces(model).longest
     giant = base.where(F.length("text") >= chunk_chars).withColumn("uid", F.monotonically_increasing_id())
     chunks = stored(giant.select("uid", "id", "text").mapInArrow(_cut(chunk_chars, around), "uid bigint, id bigint, no bigint, last bigint, left string, body string, right string"), "chunks")
-    matrices = chunks.mapInArrow(_matrices(model), f"uid bigint, no bigint, matrix array<struct<exit:{_STATE},entries:array<{_STATE}>>>")
-    states = stored(matrices.groupBy("uid").applyInArrow(_settled, f"uid bigint, no bigint, entry {_STATE}, exit {_STATE}"), "states")
+    matrices = stored(chunks.mapInArrow(_matrices(model), _MATRIX), "matrices")
+    states = stored(_states(matrices, block), "states")
     parts = chunks.join(states, ["uid", "no"]).mapInArrow(_traced(model, back), "uid bigint, id bigint, no bigint, part array<int>, text string")
     whole = parts.groupBy("uid").agg(F.first("id").alias("id"), F.array_sort(F.collect_list(F.struct("no", "part", "text"))).alias("p"))
     return plain.union(whole.select("id", F.flatten("p.part"), F.array_join("p.text", ""))).select(F.col("id").alias("doc_id"), "ids", F.col("decoded").alias("text"))
@@ -381,7 +421,7 @@ def decode(encoded: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: st
     every text without the character U+2581, which the model takes for a space."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _pieces(model)
+        own = Pieces(model)
         for batch in batches:
             ids = batch.column("ids")
             texts = [own.decode(x.values.to_numpy()) if x.is_valid else "" for x in ids]

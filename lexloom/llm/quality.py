@@ -19,12 +19,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.columns import id_text
-from lexloom.llm.words import mix
+from lexloom.llm.words import Hashes, mix
 from lexloom.plans.shared import stored
 
 #: Buckets in each of the two tables.
@@ -43,23 +42,12 @@ _TOKEN = re.compile(r"[^\W_]+|[^\w\s]+|_+")
 _SAME = np.uint64(0x53414D45)
 
 
-class _Hashes(dict):
-    def __missing__(self, token: str) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        value = self[token] = xxhash.xxh64_intdigest(token)
-        return value
-
-
-_HASHES = _Hashes()
-
-
-def features(text: str) -> np.ndarray:
+def features(text: str, hashes: Hashes) -> np.ndarray:
     """Hashes of a text's distinct features."""
     tokens = _TOKEN.findall(text.lower())
     if not tokens:
         return np.empty(0, np.uint64)
-    single = np.fromiter(map(_HASHES.__getitem__, tokens), np.uint64, len(tokens))
+    single = hashes.of(tokens)
     pair = mix(single[:-1] * np.uint64(0x9E3779B97F4A7C15) + single[1:])
     pair[single[:-1] == single[1:]] = _SAME
     found, counts = np.unique(np.concatenate([single, pair]), return_counts=True)
@@ -79,10 +67,10 @@ def places(found: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _counted(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(2 * buckets + 1, np.int64), np.zeros(2 * buckets + 1, np.int64)
+        raw, target, hashes = np.zeros(2 * buckets + 1, np.int64), np.zeros(2 * buckets + 1, np.int64), Hashes()
         for batch in batches:
             for text, own in zip(batch.column("text"), batch.column("target").to_pylist()):
-                at = np.unique(np.concatenate([*places(features(text.as_py()), buckets), [2 * buckets]]))  # the last place counts documents
+                at = np.unique(np.concatenate([*places(features(text.as_py(), hashes), buckets), [2 * buckets]]))  # the last place counts documents
                 raw[at] += 1
                 if own:
                     target[at] += 1
@@ -93,13 +81,14 @@ def _counted(buckets: int):
 
 
 def _weighed(own: np.ndarray, others: np.ndarray):
-    def weight(text: str, ratios: np.ndarray) -> float:
-        one, two = (ratios[at] for at in places(features(text), len(ratios) // 2))
+    def weight(text: str, ratios: np.ndarray, hashes: Hashes) -> float:
+        one, two = (ratios[at] for at in places(features(text, hashes), len(ratios) // 2))
         return float(np.where(np.abs(one) < np.abs(two), one, two).sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
         for batch in batches:
-            found = [weight(t.as_py(), own if of else others) for t, of in zip(batch.column("text"), batch.column("target").to_pylist())]
+            found = [weight(t.as_py(), own if of else others, hashes) for t, of in zip(batch.column("text"), batch.column("target").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.float64())], names=["id", "log_weight"])
 
     return run

@@ -5,19 +5,23 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-#: Words whose hashes a worker keeps; the table is emptied when it is full.
-KEPT_WORDS = 400_000
+#: Words whose hashes a task keeps, and the longest of them in bytes; the table is emptied when it is full.
+KEPT_WORDS, KEPT_BYTES = 150_000, 64
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+class Hashes(dict):
+    """Hashes by word. Made anew by each task and gone with it, so workers that Spark reuses hold on to nothing."""
 
+    def __missing__(self, word: bytes | str) -> int:
+        value = xxhash.xxh64_intdigest(word)
+        if len(word) <= KEPT_BYTES:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = value
+        return value
 
-_HASHES = _Hashes()
+    def of(self, words: list) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 def split_words(data: bytes) -> list[bytes]:
@@ -25,10 +29,6 @@ def split_words(data: bytes) -> list[bytes]:
     return data.lower().split()
 
 
-def hash_words(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.uint64, len(words))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -36,9 +36,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_hashes(data: bytes, k: int) -> np.ndarray:
+def shingle_hashes(data: bytes, k: int, hashes: Hashes) -> np.ndarray:
     """Sorted distinct hashes of the runs of k words; of the whole sequence if it is shorter; none without words."""
-    words = hash_words(split_words(data))
+    words = hashes.of(split_words(data))
     if not len(words):
         return words
     k = min(k, len(words))
