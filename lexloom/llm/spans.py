@@ -1,12 +1,14 @@
 """Substring dedup: every run of several consecutive sentences is hashed and joined globally; sentences covered by a
 run that is not its first occurrence are removed.
 
-Native. Runs are rows of two 64-bit hashes, a document id and a place; they are written once to the shared folder. The
+From each sentence on, the run is the shortest one of at least two sentences and ``least_words`` words, so a repeated
+passage holds a run that lies within it wherever it begins and ends; a sentence of ``long_words`` words is a run by
+itself. Runs are rows of two 64-bit hashes, a document id and a place; they are written once to the shared folder. The
 first occurrence of a run is a minimum with map-side partials, so a run found in very many documents is not gathered,
 and the join that marks the others has each hash once on its small side.
 
-``drop_repeats`` is the rule of the SQL, runs of three whole sentences. ``drop_passages`` also removes repeated passages
-of fifty words wherever their sentences begin and end; its passages are hashed in Arrow functions.
+``drop_repeats`` is the rule of the SQL. ``drop_passages`` also removes repeated passages of fifty words wherever their
+sentences begin and end.
 """
 
 from __future__ import annotations
@@ -16,33 +18,79 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.words import hash_words, mix
+from lexloom.llm.words import Hashes, mix, split_words
 from lexloom.plans.shared import stored
 
-RUN_SENTENCES = 3
-LEAST_WORDS = 10
+#: Sizes of a run of two or more sentences, and of a single one. A size is words or, where words are long or there are
+#: no spaces, eighths of characters.
+LEAST_WORDS, LONG_WORDS, WORD_CHARS = 20, 50, 8
 #: Words of a passage that counts whatever its sentences, and of the runs in it that its anchor is chosen from.
 PASSAGE_WORDS, ANCHOR_WORDS = 50, 16
-#: Segments that make up the whole text: a sentence with its end marks and the white space after it.
-SENTENCE = r"[^.!?\n]*[.!?\n]+[ \t\n\r\f]*|[^.!?\n]+"
+#: A sentence ends with marks before white space, with full-width marks, or with a line.
+BOUNDARY = re.compile(r"""[.!?]+["')\]]*[ \t\n\r\f]+|[。！？]+[ \t\n\r\f]*|\n[ \t\n\r\f]*""")
+_SPACES = re.compile(r"[ \t\n\r\f]+")
+_STEPS = np.array([[0x9E3779B97F4A7C15], [0xC2B2AE3D27D4EB4F]], np.uint64)
+_BACK = np.array([[pow(int(s[0]), -1, 1 << 64)] for s in _STEPS], np.uint64)
 
 
-def sentences(text: Column) -> Column:
-    """The sentences of a text; joined again they are the text."""
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SENTENCE), F.lit(0))
+def sentence_ends(text: str) -> list[int]:
+    """Where the sentences of a text end; joined again they are the text."""
+    ends = [m.end() for m in BOUNDARY.finditer(text)]
+    return ends if not text or ends and ends[-1] == len(text) else [*ends, len(text)]
 
 
-def sentence_runs(docs: DataFrame, id_col: str, text_col: str, k: int, least_words: int) -> DataFrame:
-    """(id, pos, h1, h2) of each run of k sentences with at least ``least_words`` words; pos counts from 0."""
-    plain = F.transform(sentences(F.col(text_col)), lambda s: F.trim(F.regexp_replace(F.lower(s), r"[ \t\n\r\f]+", " ")))
-    base = docs.select(F.col(id_col).alias("id"), plain.alias("plain")).where(F.size("plain") >= k)
-    joined = F.transform(F.sequence(F.lit(1), F.size("plain") - (k - 1)), lambda i: F.array_join(F.slice("plain", i, k), " "))
-    rows = base.select("id", F.posexplode(joined).alias("pos", "run"))
-    long_enough = F.length("run") - F.length(F.replace("run", F.lit(" "), F.lit(""))) >= least_words - 1
-    return rows.where(long_enough).select("id", "pos", F.xxhash64("run").alias("h1"), F.xxhash64(F.lit(1), "run").alias("h2"))
+def _plain(text: str, ends: list[int]) -> list[str]:
+    return [_SPACES.sub(" ", text[a:b].lower()).strip(" ") for a, b in zip([0, *ends], ends)]
+
+
+def run_ends(sizes: np.ndarray, least_words: int, long_words: int) -> np.ndarray:
+    """The last sentence of the run that begins at each sentence; as many as there are sentences where it has none."""
+    last, reached = np.arange(len(sizes)), np.cumsum(sizes)
+    found = np.searchsorted(reached, reached - sizes + least_words)
+    return np.where(found > last, found, np.where(sizes >= long_words, last, last + 1))
+
+
+def _runs_of(text: str, least_words: int, long_words: int) -> tuple[list[int], list[str], np.ndarray]:
+    ends = sentence_ends(text)
+    plain = _plain(text, ends)
+    sizes = np.array([max(s.count(" ") + 1, len(s) // WORD_CHARS) if s else 0 for s in plain], np.int64)
+    return ends, plain, run_ends(sizes, least_words, long_words)
+
+
+def _run_hashes(plain: list[str], last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of a document's runs, and two hashes of the sentences of each, from sums over powers of two odd numbers."""
+    n = len(plain)
+    each = mix(np.array([xxhash.xxh64_intdigest(s) for s in plain], np.uint64))
+    power, back = (np.cumprod(np.concatenate([np.ones((2, 1), np.uint64), np.repeat(f, n, 1)], 1), axis=1, dtype=np.uint64)[:, :n] for f in (_STEPS, _BACK))
+    sums = np.concatenate([np.zeros((2, 1), np.uint64), np.cumsum(each * power, axis=1, dtype=np.uint64)], 1)
+    starts = np.flatnonzero(last < n)
+    length = (last[starts] - starts + 1).astype(np.uint64)
+    return starts, mix((sums[:, last[starts] + 1] - sums[:, starts]) * back[:, starts] + mix(length))
+
+
+def _hashed(least_words: int, long_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, at, hashes = [], [], []
+            for i, text in zip(batch.column("id").to_pylist(), batch.column("text")):
+                _, plain, last = _runs_of(text.as_py(), least_words, long_words)
+                starts, found = _run_hashes(plain, last)
+                ids.append(np.full(len(starts), i, np.int64))
+                at.append(starts.astype(np.int32))
+                hashes.append(found.view(np.int64))
+            h1, h2 = np.concatenate(hashes, 1) if hashes else np.empty((2, 0), np.int64)
+            columns = [np.concatenate([np.empty(0, np.int64), *ids]), np.concatenate([np.empty(0, np.int32), *at]), h1, h2]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "pos", "h1", "h2"])
+
+    return run
+
+
+def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
 def _starts(runs: DataFrame, apart: int = 1) -> DataFrame:
@@ -52,26 +100,51 @@ def _starts(runs: DataFrame, apart: int = 1) -> DataFrame:
     return runs.join(first, ["h1", "h2"]).where(after).groupBy("id").agg(F.collect_set("pos").alias("starts"))
 
 
-def covered_sentences(docs: DataFrame, id_col: str, text_col: str, k: int, least_words: int) -> DataFrame:
-    """(id, covered): places of the sentences that repeated runs cover, of documents that have some."""
-    runs = stored(sentence_runs(docs.where(F.col(id_col).isNotNull()), id_col, text_col, k, least_words), "runs")
-    return _starts(runs).select("id", F.array_distinct(F.flatten(F.transform("starts", lambda p: F.sequence(p, p + (k - 1))))).alias("covered"))
+def repeated_runs(docs: DataFrame, id_col: str, text_col: str, least_words: int = LEAST_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
+    """(id, starts): the sentences at which runs begin that are not the first of their kind, of documents that have some."""
+    base = _base(docs, id_col, text_col).where("id is not null")
+    return _starts(stored(base.mapInArrow(_hashed(least_words, long_words), "id bigint, pos int, h1 bigint, h2 bigint"), "runs"))
+
+
+def _covered(text: str, starts: list[int], least_words: int, long_words: int) -> tuple[list[tuple[int, int]], int, int]:
+    """Places in the text of the sentences that runs cover, the number of all sentences and of those covered."""
+    ends, _, last = _runs_of(text, least_words, long_words)
+    gone = sorted({k for a in starts for k in range(a, int(last[a]) + 1)})
+    return [(ends[k - 1] if k else 0, ends[k]) for k in gone], len(ends), len(gone)
+
+
+def _without(text: str, gone: list[tuple[int, int]]) -> str:
+    out, done = [], 0
+    for a, b in sorted(gone):
+        out.append(text[done : max(done, a)])
+        done = max(done, b)
+    return "".join([*out, text[done:]])
+
+
+def _removed(least_words: int, long_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, counts, gone = [], [], []
+            for text, starts in zip(batch.column("text"), batch.column("starts").to_pylist()):
+                text = text.as_py()
+                cut, n, k = _covered(text, starts, least_words, long_words) if starts else ([], len(sentence_ends(text)), 0)
+                texts.append(_without(text, cut) if cut else text)
+                counts.append(n)
+                gone.append(k)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], names=["doc_id", "text", "n_sentences", "n_removed"])
+
+    return run
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = RUN_SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
     """(doc_id, text, n_sentences, n_removed) for each input row, without the sentences of repeated runs.
 
     The first occurrence of a run is the one of the smallest (doc_id, pos). Runs repeat within a document too. Null and
     empty texts give an empty text; ids are expected to be unique: rows that repeat one are marked alike, each as if it
-    were the other; a null id has no runs removed; other columns are ignored.
+    were the other; a null id has no runs removed; other columns are ignored; an empty table gives no rows.
     """
-    covered = covered_sentences(docs, id_col, text_col, k, least_words)
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(covered, "id", "left")
-    parts = base.withColumn("parts", F.when(F.col("covered").isNotNull(), sentences(F.col("text"))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("parts") - 1), F.col("covered"))
-    clean = F.when(F.col("parts").isNotNull(), F.array_join(F.transform(kept, lambda i: F.get("parts", i)), "")).otherwise(F.col("text"))
-    n = F.regexp_count("text", F.lit(SENTENCE)).cast("bigint")
-    return parts.select(F.col("id").alias("doc_id"), clean.alias("text"), n.alias("n_sentences"), F.coalesce(F.size("covered"), F.lit(0)).cast("bigint").alias("n_removed"))
+    marked = _base(docs, id_col, text_col).join(repeated_runs(docs, id_col, text_col, least_words, long_words), "id", "left")
+    return marked.select("id", "text", "starts").mapInArrow(_removed(least_words, long_words), "doc_id bigint, text string, n_sentences bigint, n_removed bigint")
 
 
 def _doubled(x: np.ndarray, length: int, join) -> np.ndarray:
@@ -88,9 +161,9 @@ def _grams(words: np.ndarray, length: int, factor: int = 0x9E3779B97F4A7C15) ->
     return _doubled(words, length, lambda a, b: mix(mix(a) * np.uint64(factor) + b))
 
 
-def _anchors(text: str, length: int) -> tuple[np.ndarray, np.ndarray]:
+def _anchors(text: str, length: int, hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words, and for each run of ``length`` words the least hash of the ``ANCHOR_WORDS``-word runs in it."""
-    words = hash_words(text.lower().encode().split())
+    words = hashes.of(split_words(text.lower().encode()))
     if len(words) < length:
         return words, np.empty(0, np.uint64)
     return words, _doubled(_grams(words, min(ANCHOR_WORDS, length)), length - min(ANCHOR_WORDS, length) + 1, np.minimum)
@@ -100,10 +173,11 @@ def _anchored(length: int):
     room = length - min(ANCHOR_WORDS, length) + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
         for batch in batches:
             ids, found, counts = [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text")):
-                every = _anchors(text.as_py(), length)[1]
+                every = _anchors(text.as_py(), length, hashes)[1]
                 ends = np.append(np.flatnonzero(every[1:] != every[:-1]), [len(every) - 1] * (len(every) > 0)).astype(np.int64)
                 # one place gives neighbouring runs, and no more than it has room for
                 anchors, of = np.unique(every[ends], return_inverse=True)
@@ -117,9 +191,10 @@ def _anchored(length: int):
 
 def _windows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
         for batch in batches:
             for i, text, shared in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("anchors")):
-                words, anchors = _anchors(text.as_py(), length)
+                words, anchors = _anchors(text.as_py(), length, hashes)
                 at = np.flatnonzero(np.isin(anchors, shared.values.to_numpy().view(np.uint64)))
                 h1, h2 = (_grams(words, length, f)[at].view(np.int64) for f in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), i, np.int64)), pa.array(at.astype(np.int32)), pa.array(h1), pa.array(h2)], names=["id", "pos", "h1", "h2"])
@@ -133,7 +208,7 @@ def repeated_passages(docs: DataFrame, id_col: str, text_col: str, length: int =
     A run's anchor follows from its words alone, so runs that are equal have equal anchors: only runs whose anchor is
     found again are hashed and joined, and none is missed. Within a document a repeat does not overlap its first.
     """
-    base = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    base = _base(docs, id_col, text_col).where("id is not null")
     anchors = stored(base.mapInArrow(_anchored(length), "id bigint, anchor bigint, n bigint"), "anchors")
     again = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     shared = anchors.join(again, "anchor").groupBy("id").agg(F.collect_set("anchor").alias("anchors"))
@@ -141,27 +216,20 @@ def repeated_passages(docs: DataFrame, id_col: str, text_col: str, length: int =
     return _starts(windows, length)
 
 
-def _cut(length: int):
-    sentence, word = re.compile(SENTENCE), re.compile(r"[^\t-\r ]+[\t-\r ]*")
+def _cut(length: int, least_words: int, long_words: int):
+    word = re.compile(r"[^\t-\r ]+[\t-\r ]*")
 
-    def clean(text: str, covered: list[int] | None, starts: list[int] | None) -> str:
-        gone = []
-        if covered:
-            at = [m.span() for m in sentence.finditer(text)]
-            gone += [at[i] for i in covered]
-        if starts:
+    def clean(text: str, runs: list[int] | None, passages: list[int] | None) -> str:
+        gone = _covered(text, runs, least_words, long_words)[0] if runs else []
+        if passages:
             at = [m.span() for m in word.finditer(text)]
-            gone += [(at[p][0], at[p + length - 1][1]) for p in starts]
-        out, done = [], 0
-        for a, b in sorted(gone):
-            out.append(text[done : max(done, a)])
-            done = max(done, b)
-        return "".join([*out, text[done:]])
+            gone += [(at[p][0], at[p + length - 1][1]) for p in passages]
+        return _without(text, gone)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             before = batch.column("text").to_pylist()
-            after = [clean(*row) if row[1] or row[2] else row[0] for row in zip(before, batch.column("covered").to_pylist(), batch.column("starts").to_pylist())]
+            after = [clean(*row) if row[1] or row[2] else row[0] for row in zip(before, batch.column("runs").to_pylist(), batch.column("passages").to_pylist())]
             n = [len(word.findall(t)) for t in before]
             gone = [0 if a is b else k - len(word.findall(b)) for a, b, k in zip(before, after, n)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(after, pa.string()), pa.array(n, pa.int64()), pa.array(gone, pa.int64())], names=["doc_id", "text", "n_words", "n_removed"])
@@ -169,27 +237,29 @@ def _cut(length: int):
     return run
 
 
-def drop_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = PASSAGE_WORDS, k: int = RUN_SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, text, n_words, n_removed) for each input row: without repeated runs of k sentences or of ``length`` words.
+def drop_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = PASSAGE_WORDS, least_words: int = LEAST_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
+    """(doc_id, text, n_words, n_removed) for each input row: without repeated runs of sentences or of ``length`` words.
 
     Both rules look at the texts as they came; n_words and n_removed count words before and those removed. What stands
     next to each other only after the removal is not compared again. Edge cases are those of ``drop_repeats``.
     """
-    covered = covered_sentences(docs, id_col, text_col, k, least_words)
-    base = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    marked = base.join(covered, "id", "left").join(repeated_passages(docs, id_col, text_col, length), "id", "left")
-    return marked.select("id", "text", "covered", "starts").mapInArrow(_cut(length), "doc_id bigint, text string, n_words bigint, n_removed bigint")
+    runs = repeated_runs(docs, id_col, text_col, least_words, long_words).withColumnRenamed("starts", "runs")
+    passages = repeated_passages(docs, id_col, text_col, length).withColumnRenamed("starts", "passages")
+    marked = _base(docs, id_col, text_col).join(runs, "id", "left").join(passages, "id", "left")
+    return marked.select("id", "text", "runs", "passages").mapInArrow(_cut(length, least_words, long_words), "doc_id bigint, text string, n_words bigint, n_removed bigint")
 
 
 ORACLE_SQL = r"""
-with d as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^.!?\n]*[.!?\n]+[ \t\n\r\f]*|[^.!?\n]+') as s from documents),
-p as (select doc_id, list_transform(s, lambda x: trim(regexp_replace(lower(x), '[ \t\n\r\f]+', ' ', 'g'))) as s from d),
-r as (select doc_id, unnest(range(1, len(s) - 1)) as i, s from p where len(s) >= 3),
-t as (select doc_id, i, array_to_string(s[i:i + 2], ' ') as run from r),
-w as (select doc_id, i, run from t where length(run) - length(replace(run, ' ', '')) >= 9),
-m as (select doc_id, i, row_number() over (partition by run order by doc_id, i) as k from w),
-c as (select distinct doc_id, i + unnest([0, 1, 2]) as i from m where k > 1),
-l as (select doc_id, list(i) as covered from c group by doc_id)
+with d as (select doc_id, regexp_extract_all(coalesce(text, ''), '(?s).*?(?:[.!?]+["'')\]]*[ \t\n\r\f]+|[。！？]+[ \t\n\r\f]*|\n[ \t\n\r\f]*)|(?s).+') as s from documents),
+p as (select doc_id, list_transform(s, lambda x: trim(regexp_replace(lower(x), '[ \t\n\r\f]+', ' ', 'g'), ' ')) as s from d),
+e as (select doc_id, s, unnest(range(1, len(s) + 1)) as i, unnest(s) as x from p),
+z as (select doc_id, s, i, case when x = '' then 0 else greatest(length(x) - length(replace(x, ' ', '')) + 1, length(x) // 8) end as z from e),
+c as (select *, sum(z) over (partition by doc_id order by i) as c from z),
+r as (select a.doc_id, a.s, a.i, case when b.i > a.i then b.i when a.z >= 50 then a.i else a.i + 1 end as j
+from (select *, c - z + 20 as t from c) a asof join (select doc_id, i, c from c) b on a.doc_id = b.doc_id and a.t <= b.c),
+m as (select doc_id, i, j, row_number() over (partition by s[i:j] order by doc_id, i) as k from r where j <= len(s)),
+g as (select distinct doc_id, unnest(range(i, j + 1)) as i from m where k > 1),
+l as (select doc_id, list(i) as covered from g group by doc_id)
 select d.doc_id as doc_id, array_to_string(list_filter(list_transform(range(1, len(s) + 1), lambda i: case when list_contains(coalesce(covered, []), i) then null else s[i] end), lambda x: x is not null), '') as text,
 len(s)::bigint as n_sentences, len(coalesce(covered, []))::bigint as n_removed
 from d left join l using (doc_id)

@@ -5,6 +5,7 @@ import glob
 import hashlib
 import os
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -164,17 +165,52 @@ def test_leaks(spark):
     assert decontam.find_leaks(docs, bench.limit(0)).count() == 0 == decontam.find_leaks(docs.limit(0), bench).count()
 
 
+def brute_repeats(texts, least=20, long=50):
+    """Text and number of removed sentences by the rule, sentence by sentence."""
+    cut = re.compile(r"""(?s).*?(?:[.!?]+["')\]]*[ \t\n\r\f]+|[。！？]+[ \t\n\r\f]*|\n[ \t\n\r\f]*)|.+""")
+    parts = {i: cut.findall(t or "") for i, t in texts.items()}
+    first, gone = {}, collections.defaultdict(set)
+    for i in sorted(parts):
+        plain = [" ".join(re.split(r"[ \t\n\r\f]+", s.lower().strip(" \t\n\r\f"))) for s in parts[i]]
+        size = [max(len(s.split(" ")), len(s) // 8) if s else 0 for s in plain]
+        for a in range(len(plain)):
+            for b in range(a, len(plain)):
+                if sum(size[a : b + 1]) >= (least if b > a else long):
+                    if first.setdefault(tuple(plain[a : b + 1]), (i, a)) != (i, a):
+                        gone[i] |= {*range(a, b + 1)}
+                    break
+    return {i: ("".join(s for k, s in enumerate(p) if k not in gone[i]), len(p), len(gone[i])) for i, p in parts.items()}
+
+
 def test_spans(spark):
-    run = "One two three four. Five six seven eight! Nine ten eleven twelve? "
-    texts = {1: "Own words here. " + run + "Tail of one.", 2: "Other words.\n" + run + "Tail of two.", 3: run + run, 4: None, 5: "", 6: "No. No. No. No."}
+    run = "One two three four five six seven. Eight nine ten eleven twelve thirteen fourteen! Fifteen sixteen seventeen eighteen nineteen twenty? "
+    short = "Ten words are too few for a run. By themselves. "
+    single = " ".join(f"w{k}" for k in range(50)) + ". "
+    texts = {1: "Own words here. " + run + "Tail of one.", 2: "Other words.\n" + run + "Tail of two.", 3: run + run, 4: None, 5: "", 6: "No. No. No. No.", 7: "A. " + short, 8: "B. " + short, 9: single + "X.", 10: "Y. " + single}
+    texts |= {11: "版" * 90 + "。" + "本" * 80 + "。", 12: "x。" + "版" * 90 + "。" + "本" * 80 + "。", 13: "See 3.14 at a.b.co/x.y now"}
     got = {r.doc_id: r for r in spans.drop_repeats(documents(spark, texts)).collect()}
     assert got[1].text == texts[1] and got[2].text == "Other words.\nTail of two." and got[3].text == ""
-    assert got[4].text == got[5].text == "" and got[6].text == texts[6]
-    assert got[2].n_removed == 3 and got[2].n_sentences == 5
-    assert collections.Counter(r.n_removed > 0 for r in got.values()) == {True: 2, False: 4}
+    assert got[4].text == got[5].text == "" and all(got[i].text == texts[i] for i in (6, 7, 8, 9, 11, 13))
+    assert got[2].n_removed == 3 and got[2].n_sentences == 5 and got[13].n_sentences == 1
+    assert got[10].text == "Y. " and got[12].text == "x。"
     assert spans.drop_repeats(documents(spark, texts).limit(0)).count() == 0
 
 
+def test_spans_equal_brute_force(spark):
+    rng = random.Random(12)
+    ends = [". ", "! ", "?\n", ".", "\n\n", '." ', "... ", "。", ", "]
+    pool = [" ".join(f"P{rng.randrange(9)}" for _ in range(rng.choice([1, 2, 5, 9, 14, 22, 55]))) + rng.choice(ends) for _ in range(40)]
+    texts = {}
+    for i in range(80):
+        at = rng.randrange(30)
+        texts[i] = "".join([*rng.sample(pool, 2), *pool[at : at + rng.randrange(1, 9)], f"u{rng.random()} . ", *rng.sample(pool, 2)])
+    texts |= {90: "\n a. b", 91: "  ", 92: "." * 50, 93: "a. " * 3000, 94: None}
+    got = {r.doc_id: (r.text, r.n_sentences, r.n_removed) for r in spans.drop_repeats(documents(spark, texts)).collect()}
+    assert got == brute_repeats(texts)
+    twice = documents(spark, {1: texts[93]}).union(documents(spark, {1: texts[93]}))
+    assert len({tuple(r) for r in spans.drop_repeats(twice).collect()}) == 1
+
+
 def test_passages_whatever_their_sentences(spark):
     rng = random.Random(8)
     word = lambda: f"w{rng.randrange(10**6)}"
