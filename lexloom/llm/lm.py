@@ -1,20 +1,24 @@
-"""LM scoring: a weighted backoff automaton over words, learned from the training share of the table.
+"""LM scoring: a weighted backoff automaton of order three, learned from the training share of the table.
 
-States are the contexts: the empty one, the start of a text, and each word; an arc (v, w) carries
-log10 P(w | v) = log10((c(vw) + m P(w)) / (c(v) + m)) where c(vw) > 0; any other word takes the failure arc of v, with
-log10(m / (c(v) + m)), to the empty state, whose arcs carry log10 P(w) = log10((c(w) + 1) / (N + V + 1)). Summed over
-the V known words and one unknown, each state's probabilities are 1.
+States are contexts: the empty one, the start of a text, each word and each pair of words (of which the first may be the
+start) that training holds. With P0(w) = (c(w) + 1) / (N + V + 1), an arc from context h exists where c(hw) > 0 and
+weighs log10 of P(w | h) = (c(hw) + m P(w | h')) / (c(h) + m), h' being h without its first word; any other word takes
+the failure arc to h', which weighs log10(m / (c(h) + m)). Summed over the V known words and one unknown, each state's
+probabilities are 1. m, one for each order, follows from counts of counts: the mass that all failure arcs of an order
+carry in training equals the number of n-grams seen once (Good-Turing). A text is read from left to right; the state is
+the longest context that exists.
 
 The automaton of the whole corpus has no size bound, so it is never gathered. Texts are read in chunks; a chunk has an
 automaton of its own with just the arcs that its texts can take, and exact corpus counts on them:
 
-1. a map packs each chunk into its compressed text and, by range of the hash, the sorted distinct n-grams with their
-   training counts in the chunk;
-2. per range, counts of all chunks are added, and each chunk is sent its totals, in its own order;
-3. per chunk, text and totals meet; one traversal from left to right scores every text.
+1. a map stores each chunk's texts, compressed;
+2. each chunk gives its sorted distinct n-grams with their training counts, in RANGES ranges of the hash;
+3. per range, the counts of a group of chunks are added. Of several groups, each takes part in the next round as a chunk
+   whose ranges are cut again, so a task's data and a chunk's pieces stay bounded at any size of input;
+4. on the way back each chunk is sent its totals, in its own order, and meets its texts, which one traversal scores.
 
-A frequent n-gram is one entry per chunk, so no range is hot. Words are 64-bit hashes and pairs 56-bit ones: two that
-collide would share a count.
+A frequent n-gram is one entry per chunk, so no range is hot. N-grams are 64-bit hashes: two that collide would share a
+count.
 """
 
 from __future__ import annotations
@@ -26,26 +30,34 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.columns import id_text
-from lexloom.llm.words import hash_words, mix, split_words
+from lexloom.llm.words import Hashes, mix, split_words
 from lexloom.plans.shared import stored
 
-#: Bytes of text after which a chunk is closed, and bytes of text for each hash range.
-CHUNK_BYTES = 4 << 20
-RANGE_BYTES = 2 << 20
-#: The weight m of the backoff distribution, in tokens.
-BACKOFF_TOKENS = 1000.0
-#: The bits of a pair's hash that are used; words use all 64.
-PAIR_BITS = np.uint64(0xFFFFFFFFFFFFFF00)
-START, END = np.uint64(0x53544152), np.uint64(0x454E44)
+#: Bytes of text after which a chunk is closed.
+CHUNK_BYTES = 14 << 20
+#: Hash ranges into which a chunk's n-grams are cut, and groups whose sums meet in the next round.
+RANGES = 256
+#: Bytes of text in a group of chunks; one range of a group is one task's.
+GROUP_BYTES = 4 << 30
+#: Tokens that are traversed at once.
+STEP_TOKENS = 65_536
+START, END, FACTOR = np.uint64(0x53544152), np.uint64(0x454E44), np.uint64(0x9E3779B97F4A7C15)
+#: Counts from here on are told apart by their powers of two alone when counts of counts are taken.
+EXACT_COUNTS = 64
 
-_PIECE = "kind int, part int, chunk bigint, keys binary, counts binary, n bigint, v bigint"
-_ARROW = pa.schema([("kind", pa.int32()), ("part", pa.int32()), ("chunk", pa.int64()), ("keys", pa.binary()), ("counts", pa.binary()), ("n", pa.int64()), ("v", pa.int64())])
-UNIGRAM, BIGRAM, TEXTS, TOTALS = range(4)
+UNIGRAM, BIGRAM, TRIGRAM, TEXTS, TOTALS = range(5)
+_PIECE = "kind int, part bigint, chunk bigint, keys binary, counts binary, numbers array<bigint>, sums array<bigint>"
+_NAMES = ["kind", "part", "chunk", "keys", "counts", "numbers", "sums"]
+_TYPES = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+_SCHEMA = pa.schema(list(zip(_NAMES, _TYPES)))
+
+
+def _rows(rows: list[tuple]) -> list[pa.Array]:
+    return [pa.array(c, t) for c, t in zip(zip(*[(*r, None, None)[:7] for r in rows]), _TYPES)]
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -61,120 +73,233 @@ def _delta(keys: np.ndarray) -> bytes:
     return _pack(np.diff(keys, prepend=np.uint64(0)))
 
 
+def _keys(data: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(data), dtype=np.uint64)
+
+
 class Chunk:
-    """Some texts as hashed tokens: each text's words and then END, with the token before each (START at first)."""
+    """Some texts as hashed tokens: each text's words and then END. ``at[k]`` has, for each token, the index of the n-gram
+    of k + 1 tokens that ends there among the sorted distinct ones ``keys[k]``; -1 for the third order at a text's start.
+    """
 
-    def __init__(self, texts: list[bytes], train: np.ndarray) -> None:
-        rows = [hash_words(split_words(t)) for t in texts]
-        self.lengths = np.array([len(r) + 1 for r in rows], np.int64)
+    def __init__(self, texts: Iterator[bytes]) -> None:
+        hashes, rows = Hashes(), []
+        for t in texts:
+            rows += [hashes.of(split_words(t)), np.array([END])]
+        self.lengths = np.array([len(r) + 1 for r in rows[::2]], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64)
-        tokens = np.concatenate([x for r in rows for x in (r, [END])]).astype(np.uint64)
+        tokens = np.concatenate(rows)
+        del rows
         before = np.roll(tokens, 1)
         before[self.starts] = START
-        self.words, first, self.word_at = np.unique(tokens, return_index=True, return_inverse=True)
-        self.pairs, at, self.pair_at = np.unique(mix(before * np.uint64(0x9E3779B97F4A7C15) + tokens) & PAIR_BITS, return_index=True, return_inverse=True)
-        # of each distinct pair: the index of its word, and of the word before it (-1: the start)
-        self.pair_word = self.word_at[at]
-        self.pair_before = np.where(np.isin(at, self.starts), -1, self.word_at[at - 1])
-        weight = np.repeat(train.astype(np.float64), self.lengths)
-        self.word_counts = np.bincount(self.word_at, weight, len(self.words)).astype(np.uint64)
-        self.pair_counts = np.bincount(self.pair_at, weight, len(self.pairs)).astype(np.uint64)
-
-
-def _ranges(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where each of the equal ranges of 64-bit numbers begins and ends in sorted keys."""
-    part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-    return np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
-
-
-def _pieces(texts: list[bytes], ids: list[int | None], train: list[bool], name: int, parts: int) -> pa.RecordBatch:
-    chunk = Chunk(texts, np.array(train))
-    # what is carried on is the tokens: words in lower case, single spaces
-    texts = [b" ".join(split_words(t)) for t in texts]
-    sizes = struct.pack(f"<{len(texts)}q", *map(len, texts))
-    flags = bytes([(i is None) * 2 + t for i, t in zip(ids, train)])
-    body = zstandard.compress(b"".join(texts), 9)
-    rows = [(TEXTS, name % parts, name, struct.pack(f"<{len(ids)}q", *[i or 0 for i in ids]) + sizes + flags, body, len(ids), 0)]
-    for kind, keys, counts in ((UNIGRAM, chunk.words, chunk.word_counts), (BIGRAM, chunk.pairs, chunk.pair_counts)):
-        edge = _ranges(keys, parts)
-        rows += [(kind, p, name, _delta(keys[a:b]), _pack(counts[a:b]), 0, 0) for p, (a, b) in enumerate(zip(edge, edge[1:])) if b > a]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ARROW.types)], schema=_ARROW)
-
-
-def _chunked(parts: int):
+        pairs = mix(before * FACTOR + tokens)
+        triples = mix(np.roll(before, 1) * FACTOR + pairs)
+        inner = np.ones(len(tokens), bool)
+        inner[self.starts] = False
+        self.keys, self.first, self.at = [], [], []
+        for values, some in ((tokens, None), (pairs, None), (triples, inner)):
+            keys, first, at = np.unique(values if some is None else values[some], return_index=True, return_inverse=True)
+            if some is not None:
+                every = np.full(len(tokens), -1, np.int32)
+                every[some] = at
+                first, at = np.flatnonzero(some)[first], every
+            self.keys.append(keys)
+            self.first.append(first.astype(np.int32))
+            self.at.append(at.astype(np.int32))
+
+    def counts(self, train: np.ndarray) -> list[np.ndarray]:
+        """How often each n-gram occurs in the texts that train."""
+        own = np.repeat(train, self.lengths)
+        return [np.bincount(at[own & (at >= 0)], minlength=len(keys)).astype(np.uint64) for keys, at in zip(self.keys, self.at)]
+
+
+def _cut(keys: np.ndarray, parts: int, low: int = 0, high: int | None = None) -> Iterator[tuple[int, int, int]]:
+    """(part, begin, end) in sorted keys of those of ``parts`` equal ranges, from ``low`` to before ``high``, that hold some."""
+    edges = np.arange(low, (parts if high is None else high) + 1, dtype=np.uint64)
+    edge = np.searchsorted(((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32), edges)
+    return ((low + p, a, b) for p, (a, b) in enumerate(zip(edge, edge[1:])) if b > a)
+
+
+def _stored_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def close() -> pa.RecordBatch:
+        # what is carried on is the tokens: words in lower case, single spaces
+        heads = struct.pack(f"<{2 * len(ids)}q", *[i or 0 for i in ids], *map(len, texts)) + bytes([(i is None) * 2 + t for i, t in zip(ids, train)])
+        body = zstandard.compress(b"".join(texts), 9)
+        return pa.RecordBatch.from_arrays(_rows([(TEXTS, len(ids), xxhash.xxh64_intdigest(heads + body) >> 1, heads, body)]), schema=_SCHEMA)
+
+    texts, ids, train, size = [], [], [], 0
+    for batch in batches:
+        for i, text, own in zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("train").to_pylist()):
+            texts.append(b" ".join(split_words(text.as_py())))
+            ids.append(i)
+            train.append(own)
+            size += len(texts[-1])
+            if size >= CHUNK_BYTES:
+                yield close()
+                texts, ids, train, size = [], [], [], 0
+    if texts:
+        yield close()
+
+
+def _opened(row: dict) -> tuple[list[int | None], np.ndarray, Iterator[bytes]]:
+    """Ids, which of them train, and texts of a stored chunk."""
+    n, heads, body = row["part"], row["keys"], zstandard.decompress(row["counts"])
+    numbers, flags = np.frombuffer(heads, np.int64, 2 * n), np.frombuffer(heads, np.uint8, n, 16 * n)
+    ids = [None if f & 2 else i for i, f in zip(numbers[:n].tolist(), flags)]
+    ends = np.cumsum(numbers[n:]).tolist()
+    return ids, (flags & 1).astype(bool), (body[a:b] for a, b in zip([0, *ends], ends))
+
+
+def _pieces(ranges: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, ids, train, size, count = [], [], [], 0, 0
-        at = TaskContext.get().partitionId()
+        for batch in batches:
+            for row in batch.to_pylist():
+                _, train, texts = _opened(row)
+                chunk = Chunk(texts)
+                found = []
+                for kind, (keys, counts) in enumerate(zip(chunk.keys, chunk.counts(train))):
+                    found += [(kind, p, row["chunk"], _delta(keys[a:b]), _pack(counts[a:b])) for p, a, b in _cut(keys, ranges)]
+                yield pa.RecordBatch.from_arrays(_rows(found), schema=_SCHEMA)
+
+    return run
 
-        def close() -> pa.RecordBatch:
-            # named by place and content: pieces of two attempts that read different rows never mix
-            name = xxhash.xxh64_intdigest(struct.pack("<qq", at, count) + repr(ids).encode()) >> 1
-            return _pieces(texts, ids, train, name, parts)
 
-        for batch in batches:
-            for i, text, own in zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("train").to_pylist()):
-                texts.append(text.as_py())
-                ids.append(i)
-                train.append(own)
-                size += len(texts[-1])
-                if size >= CHUNK_BYTES:
-                    yield close()
-                    texts, ids, train, size, count = [], [], [], 0, count + 1
-        if texts:
-            yield close()
+def _merged(rows: list[dict]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Each row's keys; all distinct keys; their summed counts."""
+    own = [_keys(r["keys"]) for r in rows]
+    keys, at = np.unique(np.concatenate(own), return_inverse=True)
+    return own, keys, np.bincount(at, np.concatenate([_unpack(r["counts"]) for r in rows]).astype(np.float64)).astype(np.uint64)
+
+
+def _answers(rows: list[dict], own: list[np.ndarray], keys: np.ndarray, totals: np.ndarray) -> list[tuple]:
+    return [(r["kind"], r["part"], r["chunk"], None, _pack(totals[np.searchsorted(keys, k)])) for r, k in zip(rows, own)]
+
+
+def _answered(table: pa.Table) -> pa.Table:
+    """Of one kind and range: each chunk's n-grams with their totals over all chunks, and counts of counts."""
+    rows = table.to_pylist()
+    own, keys, totals = _merged(rows)
+    seen = totals[totals > 0]
+    bucket = np.where(seen < EXACT_COUNTS, seen, EXACT_COUNTS + np.log2(seen).astype(np.uint64)).astype(np.int64)
+    numbers, sums = np.bincount(bucket, minlength=EXACT_COUNTS + 64), np.bincount(bucket, seen.astype(np.float64), EXACT_COUNTS + 64)
+    found = _answers(rows, own, keys, totals) + [(TOTALS, rows[0]["kind"], -1, None, None, numbers.tolist(), sums.astype(np.int64).tolist())]
+    return pa.Table.from_arrays(_rows(found), schema=_SCHEMA)
+
+
+def _as_chunk(parts: int, ranges: int):
+    """Of one kind, range and group: the group's n-grams as those of a chunk, the range cut into ``ranges``."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        _, keys, totals = _merged(rows)
+        kind, part, group = (rows[0][c] for c in ("kind", "part", "grp"))
+        found = [(kind, p, group, _delta(keys[a:b]), _pack(totals[a:b])) for p, a, b in _cut(keys, parts * ranges, part * ranges, (part + 1) * ranges)]
+        return pa.Table.from_arrays(_rows(found), schema=_SCHEMA)
 
     return run
 
 
-def _added(table: pa.Table) -> pa.Table:
-    """Of one kind and hash range: each chunk's n-grams with their totals over all chunks."""
-    kind, part = table.column("kind")[0].as_py(), table.column("part")[0].as_py()
-    if kind == TEXTS:
-        return table
-    chunks = table.column("chunk").to_pylist()
-    keys = [np.cumsum(_unpack(x.as_py()), dtype=np.uint64) for x in table.column("keys")]
-    counts = np.concatenate([_unpack(x.as_py()) for x in table.column("counts")])
-    _, at = np.unique(np.concatenate(keys), return_inverse=True)
-    totals = np.bincount(at, counts.astype(np.float64)).astype(np.uint64)
-    edges = np.cumsum([0, *map(len, keys)])
-    rows = [(kind, part, c, b"", _pack(totals[at[a:b]]), 0, 0) for c, a, b in zip(chunks, edges, edges[1:])]
-    if kind == UNIGRAM:
-        rows.append((TOTALS, part, -1, b"", b"", int(totals.sum()), int((totals > 0).sum())))
-    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _ARROW.types)], schema=_ARROW)
+def _handed_down(table: pa.Table) -> pa.Table:
+    """Of one kind, range and group: the group's totals, handed on to its chunks."""
+    rows = table.to_pylist()
+    above = sorted((r for r in rows if r["above"] is not None), key=lambda r: r["above"])
+    rows = [r for r in rows if r["above"] is None]
+    own = [_keys(r["keys"]) for r in rows]
+    totals = np.concatenate([_unpack(r["counts"]) for r in above])
+    return pa.Table.from_arrays(_rows(_answers(rows, own, np.unique(np.concatenate(own)), totals)), schema=_SCHEMA)
+
+
+def corpus_counts(pieces: DataFrame, groups: int, ranges: int = RANGES, parts: int | None = None) -> DataFrame:
+    """Pieces with the counts of the whole corpus in place of their own, and rows of counts of counts."""
+    parts = parts or ranges
+    if groups <= 1:
+        return pieces.groupBy("kind", "part").applyInArrow(_answered, _PIECE)
+    own = stored(pieces, "pieces").withColumn("grp", F.pmod(F.xxhash64("chunk"), F.lit(groups))).withColumn("above", F.lit(None).cast("bigint"))
+    sums = own.groupBy("kind", "part", "grp").applyInArrow(_as_chunk(parts, ranges), _PIECE)
+    up = stored(corpus_counts(sums, -(-groups // ranges), ranges, parts * ranges), "counts")
+    told = up.where(F.col("kind") < TOTALS).withColumn("grp", F.col("chunk")).withColumn("above", F.col("part")).withColumn("part", F.floor(F.col("part") / ranges))
+    return own.union(told).groupBy("kind", "part", "grp").applyInArrow(_handed_down, _PIECE).union(up.where(F.col("kind") == TOTALS))
+
+
+def backoff_mass(contexts: list[tuple[int, int]], once: int) -> float:
+    """The m at which the sum of c m / (c + m) over all contexts is ``once``; contexts are (number, sum of counts) by size."""
+    sizes = [(n, s / n) for n, s in contexts if n]
+    mass = lambda m: sum(n * c * m / (c + m) for n, c in sizes)
+    low, high = 1e-3, 1e9
+    for _ in range(80):
+        middle = (low * high) ** 0.5
+        low, high = (middle, high) if mass(middle) < once else (low, middle)
+    return high
+
+
+def traverse(exists: list[np.ndarray], arcs: list[np.ndarray], fails: list[np.ndarray], starts: np.ndarray, lengths: np.ndarray) -> list[float]:
+    """The log-probability of each text, read from left to right.
+
+    For each token and order k: whether the arc of the context of k words exists, its weight, and the weight of that
+    context's failure arc. A text begins in the state of its start, of order 1.
+    """
+    out = []
+    for start, length in zip(starts.tolist(), lengths.tolist()):
+        total, state = 0.0, 1
+        for a in range(start, start + length, STEP_TOKENS):
+            here = slice(a, min(a + STEP_TOKENS, start + length))
+            for e0, e1, e2, w0, w1, w2, f1, f2 in zip(*(x[here].tolist() for x in (*exists, *arcs, *fails))):
+                if state == 2:
+                    if e2:
+                        total += w2
+                        continue  # the last two words occur together, so they are the next state
+                    total += f2
+                    state = 1
+                if state == 1:
+                    if e1:
+                        total += w1
+                        state = 2
+                        continue
+                    total += f1
+                total += w0
+                state = 2 if e1 else 1 if e0 else 0
+        out.append(total)
+    return out
 
 
 _SCORES = "id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
-def _scored(n: int, v: int, backoff: float):
+def _scored(n: int, v: int, masses: tuple[float, float]):
     def run(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["part"]))
-        texts = next(r for r in rows if r["kind"] == TEXTS)
-        docs = texts["n"]
-        ids, sizes, flags = struct.unpack(f"<{docs}q", texts["keys"][: 8 * docs]), struct.unpack(f"<{docs}q", texts["keys"][8 * docs : 16 * docs]), texts["keys"][16 * docs :]
-        body, ends = zstandard.decompress(texts["counts"]), np.cumsum(sizes)
-        chunk = Chunk([body[e - s : e] for e, s in zip(ends, sizes)], np.zeros(docs))
-        words, pairs = (np.concatenate([_unpack(r["counts"]) for r in rows if r["kind"] == k]).astype(np.float64) for k in (UNIGRAM, BIGRAM))
-        if len(words) != len(chunk.words) or len(pairs) != len(chunk.pairs):
+        ids, _, texts = _opened(rows.pop())
+        chunk = Chunk(texts)
+        words, pairs, triples = (np.concatenate([np.empty(0, np.uint64), *(_unpack(r["counts"]) for r in rows if r["kind"] == k)]).astype(np.float64) for k in (UNIGRAM, BIGRAM, TRIGRAM))
+        if [len(words), len(pairs), len(triples)] != [len(k) for k in chunk.keys]:
             raise RuntimeError("a chunk's counts are incomplete")
-        # the automaton: arcs of the empty state, failure arcs (the last entry: of the start), arcs of the other states
-        single = np.log10((words + 1) / (n + v + 1))
-        end = words[np.searchsorted(chunk.words, END)]
-        state = np.append(words, end)
-        failure = np.log10(backoff / (state + backoff))
-        before, word = chunk.pair_before, chunk.pair_word
-        arc = np.where(pairs > 0, np.log10((pairs + backoff * 10 ** single[word]) / (state[before] + backoff)), failure[before] + single[word])
-        # the traversal: the state before a token is the token before it, so all steps are looked up at once
+        word_at, pair_at, triple_at = chunk.at
+        # by n-gram: the lower order's probability, and the count of the context
+        first = chunk.first[1]
+        starts = np.isin(first, chunk.starts)
+        context = np.where(starts, words[np.searchsorted(chunk.keys[0], END)], words[word_at[first - 1]])  # as many texts end as begin
+        single = (words + 1) / (n + v + 1)
+        double = (pairs + masses[0] * single[word_at[first]]) / (context + masses[0])
+        first = chunk.first[2]
+        both = pairs[pair_at[first - 1]]
+        triple = (triples + masses[1] * double[pair_at[first]]) / (both + masses[1])
+        # a last entry stands for the missing third order at a text's start
+        log = lambda x: np.log10(np.append(x, 1.0)).astype(np.float64)
+        known = words[word_at] > 0
+        exists = [known, pairs[pair_at] > 0, np.append(triples, 0)[triple_at] > 0]
+        base = np.log10(single)
+        arcs = [base[word_at], np.log10(double)[pair_at], log(triple)[triple_at]]
+        fails = [np.log10(masses[0] / (context + masses[0]))[pair_at], log(masses[1] / (both + masses[1]))[triple_at]]
         total = lambda x: np.add.reduceat(x, chunk.starts)
         return pa.table({
-            "id": pa.array([None if f & 2 else i for i, f in zip(ids, flags)], pa.int64()), "n_tokens": pa.array(chunk.lengths), "n_known": pa.array(total((words > 0).astype(np.int64)[chunk.word_at])),
-            "base_score": pa.array(total(single[chunk.word_at])), "score": pa.array(total(arc[chunk.pair_at])),
+            "id": pa.array(ids, pa.int64()), "n_tokens": pa.array(chunk.lengths), "n_known": pa.array(total(known.astype(np.int64))),
+            "base_score": pa.array(total(arcs[0])), "score": pa.array(traverse(exists, arcs, fails, chunk.starts, chunk.lengths)),
         })
 
     return run
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2, backoff: float = BACKOFF_TOKENS) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 7, held_out: int = 2, group_bytes: int = GROUP_BYTES, ranges: int = RANGES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each input row.
 
     Texts whose crc32(id as text) mod ``folds`` is not ``held_out`` train; a null id trains. Null and empty texts are one
@@ -183,10 +308,14 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     fold = F.coalesce(F.crc32(F.col("id").cast("string")) % folds, F.lit(-1))
     base = id_text(docs, id_col, text_col).select(F.col("id").cast("bigint").alias("id"), "text").withColumn("train", fold != held_out)
+    texts = stored(base.mapInArrow(_stored_texts, _PIECE), "texts")
     size = base.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
-    parts = max(64, -(-size // RANGE_BYTES))
-    pieces = base.mapInArrow(_chunked(parts), _PIECE)
-    added = stored(pieces.groupBy("kind", "part").applyInArrow(_added, _PIECE), "counts")
-    n, v = added.where(F.col("kind") == TOTALS).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
-    scores = added.where(F.col("kind") < TOTALS).groupBy("chunk").applyInArrow(_scored(n, v, backoff), _SCORES)
+    counts = stored(corpus_counts(texts.mapInArrow(_pieces(ranges), _PIECE), -(-size // group_bytes), ranges), "counts")
+    cells = counts.where(F.col("kind") == TOTALS).select(F.col("part").alias("kind"), F.posexplode(F.arrays_zip("numbers", "sums")).alias("size", "x"))
+    of: list[list[tuple[int, int]]] = [[(0, 0)] * (EXACT_COUNTS + 64) for _ in range(3)]
+    for kind, size, numbers, sums in cells.groupBy("kind", "size").agg(F.sum("x.numbers"), F.sum("x.sums")).collect():  # at most 3 * 128 rows
+        of[kind][size] = (numbers, sums)
+    n, v = (sum(x[k] for x in of[UNIGRAM]) for k in (1, 0))
+    masses = backoff_mass(of[UNIGRAM], of[BIGRAM][1][0]), backoff_mass(of[BIGRAM], of[TRIGRAM][1][0])
+    scores = counts.where(F.col("kind") < TEXTS).union(texts).groupBy("chunk").applyInArrow(_scored(n, v, masses), _SCORES)
     return scores.select(F.col("id").alias("doc_id"), (fold == held_out).alias("held_out"), "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -21,33 +21,75 @@ def documents(spark, texts):
     return spark.createDataFrame(list(texts.items()), "doc_id long, text string").selectExpr("doc_id", "text", "'x' as id", "1 as train", "2 as score")
 
 
-def brute_scores(texts, m):
-    words, pairs, rows = collections.Counter(), collections.Counter(), {}
+def brute_scores(texts):
+    """Probabilities by their recursive definition, over counters of the whole corpus."""
+    grams, rows = [collections.Counter() for _ in range(3)], {}
     for i, t in texts.items():
-        w = rows[i] = (t or "").encode().lower().split() + [None]
+        w = rows[i] = [0, *(t or "").encode().lower().split(), None]
         if zlib.crc32(str(i).encode()) % 7 != 2:
-            words.update(w)
-            pairs.update(zip([0, *w], w))
-    n, v = sum(words.values()), len(words)
-    single = lambda x: (words[x] + 1) / (n + v + 1)
+            grams[0].update((x,) for x in w[1:])
+            grams[1].update(zip(w, w[1:]))
+            grams[2].update(zip(w, w[1:], w[2:]))
+    n, v = sum(grams[0].values()), len(grams[0])
+    ends = grams[0][(None,)]
+
+    def mass(k):  # by bisection of the definition, with every context by itself
+        low, high = 1e-3, 1e9
+        once = sum(c == 1 for c in grams[k].values())
+        for _ in range(200):
+            m = (low * high) ** 0.5
+            low, high = (m, high) if sum(c * m / (c + m) for c in grams[k - 1].values()) < once else (low, m)
+        return high
+
+    m = [mass(1), mass(2)]
+    count = lambda g: ends if g == (0,) else grams[len(g) - 1][g]
+
+    def p(*g):
+        if len(g) == 1:
+            return (count(g) + 1) / (n + v + 1)
+        return (count(g) + m[len(g) - 2] * p(*g[1:])) / (count(g[:-1]) + m[len(g) - 2])
+
     out = {}
     for i, w in rows.items():
-        steps = [((pairs[a, x] + m * single(x)) / ((words[None] if a == 0 else words[a]) + m)) for a, x in zip([0, *w], w)]
-        out[i] = (zlib.crc32(str(i).encode()) % 7 == 2, len(w), sum(words[x] > 0 for x in w), n, sum(math.log10(single(x)) for x in w), sum(map(math.log10, steps)))
+        steps = [p(*w[max(0, k - 2) : k + 1]) for k in range(1, len(w))]
+        base = sum(math.log10(p(x)) for x in w[1:])
+        out[i] = (zlib.crc32(str(i).encode()) % 7 == 2, len(w) - 1, sum(grams[0][(x,)] > 0 for x in w[1:]), n, base, sum(map(math.log10, steps)))
+    if len(grams[0]) < 50:  # every state's probabilities sum to one, with one unknown word
+        for h in [(), *list(grams[0])[:9], *list(grams[1])[:9]]:
+            if None not in h:
+                assert sum(p(*h, *x) for x in [*grams[0], ("unknown",)]) == pytest.approx(1)
     return out
 
 
-def test_scores_equal_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("levels", [1, 2, 3])
+def test_scores_equal_brute_force(spark, monkeypatch, levels):
     monkeypatch.setattr(lm, "CHUNK_BYTES", 500)  # many chunks
+    monkeypatch.setattr(lm, "STEP_TOKENS", 7)
     rng = random.Random(1)
     texts = {i: " ".join(rng.choice("the THE of a bb ccc dd é".split()) + rng.choice(["", "", str(rng.randrange(30))]) for _ in range(rng.randrange(40))) for i in range(120)}
     texts |= {500: None, 501: "", 502: " \x0b\n ", 503: "w " * 5000}
-    got = lm.score_texts(documents(spark, texts), backoff=10.0).collect()
-    want = brute_scores(texts, 10.0)
+    got = lm.score_texts(documents(spark, texts), group_bytes=[1 << 30, 8000, 2000][levels - 1], ranges=[16, 4, 3][levels - 1]).collect()
+    want = brute_scores(texts)
     assert len(got) == len(want)
     for r in got:
         assert tuple(r)[1:5] == want[r.doc_id][:4]
-        assert (r.base_score, r.score) == (pytest.approx(want[r.doc_id][4]), pytest.approx(want[r.doc_id][5]))
+        assert (r.base_score, r.score) == (pytest.approx(want[r.doc_id][4]), pytest.approx(want[r.doc_id][5], rel=1e-5))
+
+
+def test_each_state_sums_to_one():
+    brute_scores({i: f"a b {'c' * (i % 3 + 1)} a b d" for i in range(40)})
+
+
+def test_a_known_text_scores_above_its_base(spark):
+    """A held-out text that training holds too takes arcs of the third order."""
+    held = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 == 2)
+    other = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 7 != 2)
+    rng = random.Random(4)
+    text = lambda: " ".join(str(rng.randrange(300)) for _ in range(80))
+    twin = text()
+    texts = {held: twin, other: twin} | {2000 + i: text() for i in range(60)}
+    got = {r.doc_id: (r.score - r.base_score) / r.n_tokens for r in lm.score_texts(documents(spark, texts)).collect() if r.held_out}
+    assert got[held] > 0.5 and all(g < 0.3 for i, g in got.items() if i != held) and len(got) > 3
 
 
 def test_scores_of_edge_tables(spark):
@@ -176,6 +218,13 @@ def test_encode_and_decode_tables(spark, model, library):
     assert pieces.encode(df.limit(0), model).count() == 0
 
 
+def test_matrices_are_multiplied_up_a_tree(spark, model, library):
+    texts = {1: "the thing " * 300, 2: "日本" * 900, 3: "x" * 2000, 4: "short"}
+    for block in (2, 3):
+        for r in pieces.encode(documents(spark, texts), model, chunk_chars=64, block=block).collect():
+            assert r.ids == library.encode(texts[r.doc_id])
+
+
 def test_pieces_query_round_trips(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = queries.op10_pieces(spark, SF).collect()
