@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,17 +13,22 @@ def id_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
 
-def prefix_sums(arr: Column) -> Column:
-    """Exclusive running sums of a BIGINT array, then its total: n + 1 numbers.
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once: the optimizer would else copy it to each place of use, into loops too."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+def running(arr: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """What ``join`` makes, from 0 on, of the numbers before each of a BIGINT array, and of all: n + 1 numbers.
 
     Runs in chunks of 256, so that growing the result stays cheap for arrays with very many entries.
     """
-    zero = F.array(F.lit(0).cast("bigint"))
-    grow = lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x))
-    chunks = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(arr) - 1, F.lit(0)) / 256).cast("int")), lambda i: F.slice(arr, i * 256 + 1, 256))
-    begun = F.aggregate(chunks, zero, lambda acc, c: grow(acc, F.aggregate(c, F.lit(0).cast("bigint"), lambda s, x: s + x)))
-    inner = F.transform(chunks, lambda c, i: F.transform(F.slice(F.aggregate(c, zero, grow), 1, F.size(c)), lambda x: x + F.get(begun, i)))
-    return F.concat(F.flatten(inner), F.array(F.element_at(begun, -1)))
+    zero = F.lit(0).cast("bigint")
+    grow = lambda acc, x: F.concat(acc, F.array(join(F.element_at(acc, -1), x)))
+    cut = lambda a: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(a) - 1, F.lit(0)) / 256).cast("int")), lambda i: F.slice(a, i * 256 + 1, 256))
+    begun = lambda chunks: F.aggregate(chunks, F.array(zero), lambda acc, c: grow(acc, F.aggregate(c, zero, join)))
+    inner = lambda chunks, b: F.transform(chunks, lambda c, i: F.slice(F.aggregate(c, F.array(F.get(b, i)), grow), 1, F.size(c)))
+    return let(arr, lambda a: let(cut(a), lambda chunks: let(begun(chunks), lambda b: F.concat(F.flatten(inner(chunks, b)), F.array(F.element_at(b, -1))))))
 
 
 def span_digest(spans: Column) -> Column:

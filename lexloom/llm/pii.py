@@ -1,9 +1,15 @@
 """PII spans: regular expressions propose, checksum validators confirm, nearby context words adjust the score.
 
 Native: regexp_extract_all gives the matches and split the gaps between them; running sums of their lengths, counted in
-code points, are the spans' places. There is no shuffle. The patterns are written so that Java's matcher neither
-recurses nor backtracks over long runs: single character classes with lazy or possessive repeats, and a look-behind
-(or the end of the previous match) where a run may only be entered at its start.
+code points and in bytes, are the spans' places. There is no shuffle, and the work is linear in a text's matches. The
+patterns are written so that Java's matcher neither recurses nor backtracks over long runs: single character classes
+with lazy or possessive repeats, and a look-behind (or the end of the previous match) where a run may only be entered at
+its start.
+
+Words near a span raise or lower the kind's prior score. Kinds that many harmless numbers look like (national phone
+numbers, social security numbers) are spans only where context lifts them to LEAST_SCORE; of the others, whose form says
+enough to be listed, redaction spares those that context lowers below it, such as version numbers that look like
+addresses.
 """
 
 from __future__ import annotations
@@ -13,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.columns import id_text, prefix_sums
+from lexloom.llm.columns import id_text, let, running
 
 #: Characters of an IBAN by country: printed in groups, only its length tells where it ends.
 IBAN_CHARS = {
@@ -24,25 +30,35 @@ IBAN_CHARS = {
 _PRINTED = "|".join(rf"(?:{of})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{(n - 4) // 4}}}" + (rf" [A-Z0-9]{{{n % 4}}}" if n % 4 else "") for n, of in IBAN_CHARS.items())
 #: Of other countries the longest run of groups is tried.
 _PRINTED += rf"|(?!{'|'.join(IBAN_CHARS.values())})[A-Z]{{2}}[0-9]{{2}}(?: [A-Z0-9]{{4}}){{2,7}}(?: [A-Z0-9]{{1,3}})?"
-#: Kinds in output order, their patterns, their prior scores and the context words that raise these.
-KINDS = ("email", "ip", "card", "phone", "iban")
+#: Kinds in output order (the first four are the base kinds), their patterns and prior scores, the words
+#: that raise these and those that lower them.
+KINDS = ("email", "ip", "card", "phone", "iban", "local", "ssn")
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++\.[A-Za-z0-9-][A-Za-z0-9.-]*?(?=\.\.|\.?(?![A-Za-z0-9.-]))",
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?=(?:[ -]?[0-9]){13})[0-9 -]*?(?=[ -]{2}|[ -]?(?![0-9 -]))",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     "iban": rf"(?<![A-Za-z0-9])(?:[A-Z]{{2}}[0-9]{{2}}[A-Z0-9]{{11,30}}|{_PRINTED})(?![A-Za-z0-9])",
+    "local": r"(?<![A-Za-z0-9+.-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![A-Za-z0-9-])",
+    "ssn": r"(?<![A-Za-z0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![A-Za-z0-9-])",
 }
-PRIOR = {"email": 0.7, "ip": 0.5, "card": 0.7, "phone": 0.5, "iban": 0.8}
-CONTEXT = {
-    "email": "mail|contact|write|reply",
+PRIOR = {"email": 0.75, "ip": 0.5, "card": 0.75, "phone": 0.5, "iban": 0.75, "local": 0.25, "ssn": 0.25}
+RAISING = {
+    "email": "e-?mail|mail|mailto|contact|write|reply",
     "ip": "ip|address|host|server|login",
-    "card": "card|visa|master|credit|payment",
-    "phone": "phone|call|tel|mobile|fax",
+    "card": "card|visa|mastercard|credit|payment",
+    "phone": "phone|call|tel|telephone|mobile|cell|fax",
     "iban": "iban|bank|account|transfer",
+    "local": "phone|call|tel|telephone|mobile|cell|fax",
+    "ssn": "ssn|social security|taxpayer",
 }
+LOWERING = {"ip": "version|release|firmware|build|section", "local": "order|invoice|part|serial", "ssn": "order|invoice|part|serial"}
 CONTEXT_CHARS = 48
 CONTEXT_GAIN = 0.25
+#: Where weak kinds count, and where redaction cuts.
+LEAST_SCORE = 0.5
+#: Kinds that are spans only from LEAST_SCORE on.
+WEAK = ("local", "ssn")
 
 
 def luhn(digits: Column) -> Column:
@@ -78,63 +94,90 @@ def _valid(kind: str, x: Column) -> Column:
 
 
 #: A cheap test that holds for every text with a match of the kind.
-_HINT = {"email": lambda t: t.contains("@"), "phone": lambda t: t.contains("+"), "ip": lambda t: F.lit(True), "card": lambda t: F.lit(True), "iban": lambda t: F.lit(True)}
+_HINT = {"email": "@", "phone": "+", "ssn": "-"}
+_SPAN = "array<struct<start:bigint,rank:int,kind:string,end:bigint,score:double,low:bigint,high:bigint>>"
 
 
-def _span(kind: str):
-    """The span of match x, the i-th of its kind, as a function of (x, i)."""
-    gaps, steps = F.col(f"g_{kind}"), F.col(f"s_{kind}")
+def _near(words: str, before: Column, after: Column) -> Column:
+    """Whether one of the words, whole, stands in the last or first characters of what is around a match."""
+    rule = rf"(?i)(?<![a-z])(?:{words})(?![a-z])"
+    return F.substring(before, -CONTEXT_CHARS, CONTEXT_CHARS).rlike(rule) | F.substring(after, 1, CONTEXT_CHARS).rlike(rule)
 
-    def of(x: Column, i: Column) -> Column:
-        start = F.get(steps, i) + F.length(F.get(gaps, i))
-        near = F.lower(F.substring(F.get(gaps, i), -CONTEXT_CHARS, CONTEXT_CHARS))
-        score = F.least(F.lit(1.0), F.lit(PRIOR[kind]) + F.when(near.rlike(CONTEXT[kind]), CONTEXT_GAIN).otherwise(0.0))
-        return F.struct(start.cast("bigint").alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), (start + F.length(x)).cast("bigint").alias("end"), score.alias("score"), _valid(kind, x).alias("ok"))
 
-    return of
+def _score(kind: str, before: Column, after: Column) -> Column:
+    raised = F.when(_near(RAISING[kind], before, after), CONTEXT_GAIN).otherwise(0.0)
+    lowered = F.when(_near(LOWERING[kind], before, after), CONTEXT_GAIN).otherwise(0.0) if kind in LOWERING else F.lit(0.0)
+    return F.least(F.lit(1.0), F.lit(PRIOR[kind]) + raised - lowered)
 
 
-def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text, spans) for each input row, in no order; spans: array of (start, rank, kind, end, score) by start, then kind.
+def _spans_of(kind: str) -> Column:
+    """The spans of one kind; null where the text has no match."""
+    text = F.col("text")
+    add = lambda a, b: a + b
+    sizes = lambda of, g, m: F.zip_with(g, m, lambda x, y: of(x).cast("bigint") + of(y).cast("bigint"))
+
+    def row(z: Column) -> Column:
+        start, low = z["s"] + F.length(z["g"]), z["b"] + F.octet_length(z["g"])
+        return F.struct(
+            start.alias("start"), F.lit(KINDS.index(kind)).alias("rank"), F.lit(kind).alias("kind"), (start + F.length(z["m"])).alias("end"), _score(kind, z["g"], z["n"]).alias("score"),
+            low.alias("low"), (low + F.octet_length(z["m"])).alias("high"), _valid(kind, z["m"]).alias("ok"),
+        )
+
+    def placed(m: Column) -> Column:
+        def cut(g: Column) -> Column:
+            own = F.slice(g, F.lit(1), F.size(m))
+            zipped = F.arrays_zip(
+                m.alias("m"), own.alias("g"), F.slice(g, F.lit(2), F.size(m)).alias("n"),
+                F.slice(running(sizes(F.length, own, m), add), F.lit(1), F.size(m)).alias("s"), F.slice(running(sizes(F.octet_length, own, m), add), F.lit(1), F.size(m)).alias("b"),
+            )
+            return F.transform(F.filter(F.transform(zipped, row), lambda x: x["ok"] & (x["score"] >= LEAST_SCORE) if kind in WEAK else x["ok"]), lambda x: x.dropFields("ok"))
+
+        return F.when(F.size(m) > 0, let(F.split(text, PATTERNS[kind], -1), cut))
+
+    found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
+    return let(F.when(text.contains(_HINT[kind]), found) if kind in _HINT else found, placed)
 
-    start and end are code points, end exclusive. Base kinds are leftmost matches without overlap within a kind; a
-    match that fails its validator is dropped and not retried. Score: the kind's prior, plus CONTEXT_GAIN if a context
-    word stands in the CONTEXT_CHARS code points between the previous match of that kind and the span, at most 1.
-    Null and empty texts have no spans; repeated rows each give a row; a null id stays null; other columns are ignored.
+
+def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, text, spans) for each input row, in no order; spans: array of (start, rank, kind, end, score, low, high) by
+    start, then kind.
+
+    start and end are code points, low and high bytes of UTF-8; ends are exclusive. Base kinds are leftmost matches
+    without overlap within a kind; a match that fails its validator is dropped and not retried. Score: the kind's prior,
+    plus CONTEXT_GAIN if a raising word, less CONTEXT_GAIN if a lowering word stands, whole, in the CONTEXT_CHARS code
+    points before or after the span and between the kind's matches on either side, at most 1; the weak kinds need
+    LEAST_SCORE. Null and empty texts have no spans; repeated rows each give a row; a null id stays null; other columns
+    are ignored; an empty table gives no rows.
     """
-    base = id_text(df, id_col, text_col)
-    hits = base.select("id", "text", *[F.when(_HINT[k](F.col("text")), F.regexp_extract_all("text", F.lit(PATTERNS[k]), F.lit(0))).alias(f"m_{k}") for k in KINDS])
-    some = lambda k: F.size(f"m_{k}") > 0
-    gaps = hits.select("*", *[F.when(some(k), F.split("text", PATTERNS[k], -1)).alias(f"g_{k}") for k in KINDS])
-    length = lambda a: F.transform(a, lambda x: F.length(x).cast("bigint"))
-    steps = gaps.select("*", *[F.when(some(k), prefix_sums(F.zip_with(length(F.slice(f"g_{k}", 1, F.size(f"m_{k}"))), length(F.col(f"m_{k}")), lambda g, m: g + m))).alias(f"s_{k}") for k in KINDS])
-    lists = [F.when(some(k), F.filter(F.transform(f"m_{k}", _span(k)), lambda z: z["ok"])) for k in KINDS]
-    none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint,score:double,ok:boolean>>")
-    spans = F.array_sort(F.concat(*[F.coalesce(x, none) for x in lists]))
-    anything = reduce(lambda a, b: a | b, [F.coalesce(some(k), F.lit(False)) for k in KINDS])
-    return steps.select("id", "text", F.when(anything, spans).otherwise(none).alias("spans"))
-
-
-def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_score: float = 0.5) -> DataFrame:
+    none = F.array().cast(_SPAN)
+    return id_text(df, id_col, text_col).select("id", "text", F.array_sort(F.concat(*[F.coalesce(_spans_of(k), none) for k in KINDS])).alias("spans"))
+
+
+def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_score: float = LEAST_SCORE) -> DataFrame:
     """(id, text, n_redacted): each span with at least ``least_score`` becomes ``[KIND]``.
 
     Overlapping spans of different kinds are replaced as one, under the kind of the first. Texts without spans, and
-    null texts as empty ones, stay as they are.
+    null texts as empty ones, stay as they are. The text is cut by bytes, so the work is linear in its spans.
     """
     found = find_pii(df, id_col, text_col)
     kept = found.select("id", "text", F.filter("spans", lambda s: s["score"] >= least_score).alias("spans"))
-    # A span that begins before an earlier one ends is merged into it: runs of overlapping spans, by a fold.
-    merged = F.aggregate(
-        "spans",
-        F.array().cast("array<struct<start:bigint,kind:string,end:bigint>>"),
-        lambda acc, s: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] > s["start"]),
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.element_at(acc, -1)["kind"].alias("kind"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end")))),
-        ).otherwise(F.concat(acc, F.array(F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))),
-    )
-    cut = kept.select("id", "text", F.when(F.size("spans") > 0, merged).otherwise(F.array().cast("array<struct<start:bigint,kind:string,end:bigint>>")).alias("cuts"))
-    done = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("cuts"), i - 1)["end"])
-    piece = lambda c, i: F.concat(F.col("text").substr((done(i) + 1).cast("int"), (c["start"] - done(i)).cast("int")), F.lit("["), F.upper(c["kind"]), F.lit("]"))
-    tail = F.col("text").substr((F.element_at("cuts", -1)["end"] + 1).cast("int"), F.length("text"))
-    clean = F.when(F.size("cuts") > 0, F.concat(F.array_join(F.transform("cuts", piece), ""), tail)).otherwise(F.col("text"))
-    return cut.select("id", clean.alias("text"), F.size("cuts").cast("bigint").alias("n_redacted"))
+
+    def runs(spans: Column) -> Column:
+        """(low, kind, high) of each run of overlapping spans: one begins where all before have ended, and ends with the last of them."""
+        reached = running(F.transform(spans, lambda s: s["high"]), lambda a, b: F.greatest(a, b))
+        rows = lambda r: F.arrays_zip(spans.alias("s"), F.slice(r, F.lit(1), F.size(spans)).alias("r"))
+        first = lambda r: F.filter(rows(r), lambda z: z["s"]["low"] >= z["r"])
+        ends = lambda r, f: F.concat(F.transform(F.slice(f, F.lit(2), F.size(f)), lambda z: z["r"]), F.array(F.element_at(r, -1)))
+        return let(reached, lambda r: let(first(r), lambda f: F.zip_with(f, ends(r, f), lambda z, high: F.struct(z["s"]["low"].alias("low"), F.upper(z["s"]["kind"]).alias("kind"), high.alias("high")))))
+
+    def clean(cuts: Column, data: Column) -> Column:
+        part = lambda low, high: F.decode(F.substring(data, (low + 1).cast("int"), (high - low).cast("int")), "UTF-8")
+        begun = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(F.slice(cuts, F.lit(1), F.size(cuts) - 1), lambda c: c["high"]))
+        pieces = F.zip_with(cuts, begun, lambda c, low: F.concat(part(low, c["low"]), F.lit("["), c["kind"], F.lit("]")))
+        return F.concat(F.array_join(pieces, ""), part(F.element_at(cuts, -1)["high"], F.octet_length(data).cast("bigint")))
+
+    def both(cuts: Column) -> Column:
+        return F.struct(let(F.col("text").cast("binary"), lambda data: clean(cuts, data)).alias("text"), F.size(cuts).cast("bigint").alias("n"))
+
+    done = kept.select("id", "text", F.when(F.size("spans") > 0, let(F.col("spans"), lambda s: let(runs(s), both))).alias("done"))
+    return done.select("id", F.coalesce("done.text", "text").alias("text"), F.coalesce("done.n", F.lit(0).cast("bigint")).alias("n_redacted"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import decontam, html_text, jaccard, lm, pieces, pii, quality, secrets, simhash, spans
@@ -24,12 +24,12 @@ def op1_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_classes(_docs(spark, sf_dir))
 
 
-def _span_report(found: DataFrame, base: tuple[str, ...]) -> DataFrame:
+def _span_report(found: DataFrame, base: tuple[str, ...], *more: Column) -> DataFrame:
     """Counts of the base kinds, the digest of their spans, and all spans in text form."""
     own = found.withColumn("base", F.filter("spans", lambda s: s["kind"].isin(*base)))
     return own.select(
         F.col("id").alias("doc_id"), *[count_kind(F.col("base"), k).alias(f"n_{k}") for k in base],
-        span_digest(F.col("base")).alias("base_sha256"), span_text(F.col("spans")).alias("spans"),
+        span_digest(F.col("base")).alias("base_sha256"), span_text(F.col("spans")).alias("spans"), *more,
     )
 
 
@@ -42,7 +42,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _span_report(pii.find_pii(_docs(spark, sf_dir)), pii.KINDS[:4])
+    """Beside what all spans are: their scores, and how many of them redaction replaces."""
+    found = pii.find_pii(_docs(spark, sf_dir))
+    scores = F.array_join(F.transform("spans", lambda s: s["score"].cast("string")), ",")
+    return _span_report(found, pii.KINDS[:4], scores.alias("scores"), F.size(F.filter("spans", lambda s: s["score"] >= pii.LEAST_SCORE)).cast("bigint").alias("n_sure"))
 
 
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
