@@ -94,8 +94,12 @@ def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _starts(runs: DataFrame, apart: int = 1) -> DataFrame:
-    """(id, starts) of the rows (id, pos, h1, h2) that are not the first with their hashes; in one document only from ``apart`` places on."""
+    """(id, starts) of the rows (id, pos, h1, h2) that are not the first with their hashes; in one document only from ``apart`` places on.
+
+    The firsts are stored, so that the join deals out both sides anew and Spark can split the rows of a frequent run.
+    """
     first = runs.groupBy("h1", "h2").agg(F.min(F.struct("id", "pos")).alias("first"), F.count("*").alias("n")).where("n > 1").select("h1", "h2", "first")
+    first = stored(first, "firsts")
     after = (F.col("id") > F.col("first.id")) | ((F.col("id") == F.col("first.id")) & (F.col("pos") >= F.col("first.pos") + apart))
     return runs.join(first, ["h1", "h2"]).where(after).groupBy("id").agg(F.collect_set("pos").alias("starts"))
 
