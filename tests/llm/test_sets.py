@@ -10,6 +10,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lexloom.llm import decontam, jaccard, queries, simhash, spans
 
@@ -165,6 +166,31 @@ def test_leaks(spark):
     assert decontam.find_leaks(docs, bench.limit(0)).count() == 0 == decontam.find_leaks(docs.limit(0), bench).count()
 
 
+def test_only_candidates_are_verified(spark):
+    """Sketches choose the candidates: all documents that hold enough of an item, few that share some of it, none without."""
+    rng = random.Random(15)
+    items = {i: [f"v{rng.randrange(50)}" for _ in range(rng.choice([6, 12, 40, 90]))] for i in range(25)}
+    cut = lambda w, k=5: {" ".join(w[a : a + k]) for a in range(len(w) - k + 1)}
+    texts = {}
+    for i in range(300):
+        own = list(items[rng.randrange(25)])
+        for _ in range(rng.randrange(8)):
+            own[rng.randrange(len(own))] = f"x{rng.random()}"
+        texts[i] = " ".join([*(f"v{rng.randrange(50)}" for _ in range(rng.randrange(40))), *own[: rng.randrange(1, len(own) + 1) if i % 3 == 0 else None]]).replace(".", "")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    parts, held = {i: cut(w) for i, w in items.items()}, {i: cut(t.split()) for i, t in texts.items()}
+    want = {(d, i) for d, h in held.items() for i, p in parts.items() if len(h & p) >= -(-8 * len(p) // 10)}
+    some = {(d, i) for d, h in held.items() for i, p in parts.items() if h & p}
+    docs = documents(spark, texts)
+    base, shingles = docs.selectExpr("doc_id as id", "split(text, ' ') as words"), decontam.item_shingles(bench)
+    met = {tuple(r) for r in decontam.candidates(base, shingles, 5).collect()}
+    assert want <= met < some and len(met) < len(some) - 20
+    assert {(r.doc_id, r.item_id) for r in decontam.find_leaks(docs, bench).collect()} == want and want
+    # without the sketch of an item nothing finds it
+    none = shingles.withColumn("sketch", F.col("sketch") & (F.col("item_id") != 3))
+    assert {p for p in met if p[1] != 3} == {tuple(r) for r in decontam.candidates(base, none, 5).collect()} != met
+
+
 def brute_repeats(texts, least=20, long=50):
     """Text and number of removed sentences by the rule, sentence by sentence."""
     cut = re.compile(r"""(?s).*?(?:[.!?]+["')\]]*[ \t\n\r\f]+|[。！？]+[ \t\n\r\f]*|\n[ \t\n\r\f]*)|.+""")
