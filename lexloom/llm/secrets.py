@@ -1,7 +1,11 @@
 """Secret scans: an Aho-Corasick keyword prefilter, anchored regular expressions only near hits, then embedded checksums.
 
 One map over the table, in Arrow batches and without a shuffle. The automaton runs once over the ASCII-lower-cased
-bytes of a text; patterns are only matched (never searched) at places that its hits give.
+bytes of a text; patterns are only matched (never searched) at places that its hits give. No character is read again by
+a pattern that has failed on the run it belongs to, so the work is linear in the text.
+
+Hexadecimal runs have no keyword. Each of the 65,536 grams of four digits is one, made by a rule: prose has few of them,
+and within a run only the first is followed up; a text of digits costs one hit a character.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ HEX = re.compile(rb"[0-9a-f]+")
 GITHUB = re.compile(rb"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 NPM = re.compile(rb"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 JWT = re.compile(rb"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
+_PART = re.compile(rb"[A-Za-z0-9_-]+")
 PEM = re.compile(rb"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 BASE62 = b"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -66,7 +71,7 @@ def _header(part: bytes) -> bool:
     """Whether a token's first part decodes to a JSON object that names its algorithm."""
     try:
         found = json.loads(base64.urlsafe_b64decode(part + b"=" * (-len(part) % 4)))
-    except ValueError:
+    except (ValueError, RecursionError):  # not JSON, or nested too deeply to be a header
         return False
     return isinstance(found, dict) and "alg" in found
 
@@ -84,23 +89,36 @@ def _keep(kind: str, m: re.Match[bytes]) -> bool:
 _ANCHORED = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "github": GITHUB, "npm": NPM, "jwt": JWT, "pem": PEM}
 
 
+def _code_points(data: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans in bytes as spans in code points; each stretch between two ends is decoded once."""
+    at, places, done = 0, {}, 0
+    for end in sorted({x for a, _, b in spans for x in (a, b)}):
+        at += len(data[done:end].decode())
+        places[end] = at
+        done = end
+    return [(places[a], k, places[b]) for a, k, b in spans]
+
+
 def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, end exclusive, by start and then by kind as listed; null counts as empty."""
     if not text:
         return []
     data = text.encode()
-    hits = sorted({(at - n + 1, kind) for at, (kind, n) in automaton().iter(data.lower().decode("latin-1"))})
     done = dict.fromkeys(KINDS, 0)
     spans = []
-    for start, kind in hits:
+    # no keyword lies within another of its kind, so the hits of a kind come in order of their starts
+    for at, (kind, n) in automaton().iter(data.lower().decode("latin-1")):
+        start = at - n + 1
         if start < done[kind]:
             continue
         if m := _ANCHORED[kind].match(data, start):
             done[kind] = m.end()
             if _keep(kind, m):
                 spans.append((start, KINDS.index(kind), m.end()))
+        elif kind == "jwt":
+            done[kind] = _PART.match(data, start).end()  # from anywhere in this part the rest fails likewise
     if spans and len(data) != len(text):
-        spans = [(len(data[:a].decode()), k, len(data[:b].decode())) for a, k, b in spans]
+        spans = _code_points(data, spans)
     return [(KINDS[k], a, b) for a, k, b in sorted(spans)]
 
 

@@ -1,5 +1,7 @@
 """Secrets, PII and HTML against brute-force versions and edge cases."""
 
+import base64
+import hashlib
 import random
 import re
 import time
@@ -85,12 +87,37 @@ def test_checksummed_tokens():
     assert [s[0] for s in secrets.find_secrets("eyJhbGciOiJIUzI1NiJ9.e30.abc")] == ["jwt"]
 
 
-def test_secret_query_covers_every_row(spark):
+def digest(spans):
+    return hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest()
+
+
+def test_secret_query_equals_brute_force(spark):
     rows = {r.doc_id: r for r in queries.op2_secrets(spark, SF).collect()}
     texts = texts_of(spark)
     assert rows.keys() == texts.keys()
     for i, text in texts.items():
-        assert rows[i].n_hex == sum(k == "hex" for k, _, _ in brute_secrets(text))
+        want = brute_secrets(text)
+        assert (rows[i].n_assign, rows[i].n_access, rows[i].n_hex) == tuple(sum(k == kind for k, _, _ in want) for kind in RULES)
+        assert rows[i].base_sha256 == digest(want)
+        assert rows[i].spans == ",".join(f"{k}:{a}:{b}" for k, a, b in secrets.find_secrets(text))
+
+
+def test_secret_tables_of_odd_columns(spark):
+    df = spark.createDataFrame([(1, "token=abcdef"), (1, "token=abcdef"), (None, None)], "doc_id long, text string").selectExpr("*", "'x' as id", "1 as spans", "2 as kind")
+    got = [(r.id, len(r.spans)) for r in secrets.scan_secrets(df).collect()]
+    assert sorted(got, key=str) == [(1, 1), (1, 1), (None, 0)]
+
+
+def test_hostile_texts_end(spark):
+    deep = base64.urlsafe_b64encode(b'{"a":' * 100_000 + b"1" + b"}" * 100_000).rstrip(b"=").decode()
+    began = time.time()
+    assert secrets.find_secrets(f"{deep}.abc.def") == []
+    for text in ("eyJ" * 300_000, "eyJ" * 100_000 + ".a", "eyJa.eyJa." * 100_000, "token" * 200_000, "token  " * 200_000, "AKIA" * 300_000, "é=token=" * 200_000, "-----BEGIN " * 100_000):
+        secrets.find_secrets(text)
+    assert [s[0] for s in secrets.find_secrets("é" + "a1" * 500_000)] == ["hex"]
+    many = secrets.find_secrets("é token=abcdef\n" * 20_000)
+    assert len(many) == 20_000 and many[-1] == ("assign", 19_999 * 15 + 2, 19_999 * 15 + 14)
+    assert time.time() - began < 15
 
 
 CASES = [
