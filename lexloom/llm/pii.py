@@ -94,7 +94,7 @@ def _valid(kind: str, x: Column) -> Column:
 
 
 #: A cheap test that holds for every text with a match of the kind.
-_HINT = {"email": "@", "phone": "+", "ssn": "-"}
+_HINT = {"email": "@", "phone": r"\+", "ip": r"[0-9]\.[0-9]+\.[0-9]", "iban": "[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", "local": "[0-9]{3}[ .-][0-9]{4}", "ssn": "[0-9]{3}-[0-9]{2}-"}
 _SPAN = "array<struct<start:bigint,rank:int,kind:string,end:bigint,score:double,low:bigint,high:bigint>>"
 
 
@@ -135,7 +135,7 @@ def _spans_of(kind: str) -> Column:
         return F.when(F.size(m) > 0, let(F.split(text, PATTERNS[kind], -1), cut))
 
     found = F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
-    return let(F.when(text.contains(_HINT[kind]), found) if kind in _HINT else found, placed)
+    return let(F.when(text.rlike(_HINT[kind]), found) if kind in _HINT else found, placed)
 
 
 def find_pii(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
