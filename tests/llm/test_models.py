@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -122,6 +123,45 @@ def test_quality_rejects_toxic_and_keeps_unseen_clean(spark, sf):
     assert share(lambda r: r.unseen and r.quality == 1 and r.toxic == 0) >= 0.95
 
 
+def test_quality_equals_brute_force(spark):
+    """Importances from sets of features counted in Python; of the documents kept, that they are the k of the largest keys."""
+    rng = random.Random(21)
+    words = [f"w{k}" for k in range(60)]
+    texts = {i: " ".join(rng.choices(words[:40] if i % 3 else words[20:], k=rng.randrange(1, 60))) + rng.choice(["", "!!", ", a b"]) for i in range(150)}
+    texts |= {200: None, 201: "", 202: "junk " * 300}
+    good = [i for i in texts if i < 150 and i % 3 and i % 2]
+    labels = spark.createDataFrame([(i, 1, 0) for i in good] + [(i, 0, 0) for i in range(0, 150, 3)], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in quality.classify(documents(spark, texts), labels, buckets=1 << 18).collect()}
+
+    def features(text):
+        tokens = re.findall(r"[^\W_]+|[^\w\s]+|_+", (text or "").lower())
+        single = collections.Counter(("one", t) for t in tokens)
+        pair = collections.Counter("same" if a == b else ("two", a, b) for a, b in zip(tokens, tokens[1:]))
+        return {(f, 4**k) for f, c in [*single.items(), *pair.items()] for k in range(9) if c >= 4**k}
+
+    raw, target = collections.Counter(), collections.Counter()
+    for i, t in texts.items():
+        raw.update(features(t))
+        if i in good:
+            target.update(features(t))
+    weights = {}
+    for i, t in texts.items():
+        total = 0.0
+        for f in features(t):
+            expected = (raw[f] - 1) * len(good) / len(texts) + quality.PRIOR_DOCS
+            ratio = math.log((target[f] - (i in good) + quality.PRIOR_DOCS) / expected)
+            total += ratio * max(0.0, 1 - quality.SHRINKAGE / expected / max(ratio**2, 1e-12))
+        weights[i] = total
+    # a feature that shares its bucket in both tables with others may differ; with these few none does
+    assert all(r.log_weight == pytest.approx(weights[i], abs=1e-3) for i, r in got.items())
+    level = float(np.percentile([got[i].log_weight for i in good], 100 * quality.CLEAN_LOSS))
+    k = sum(r.log_weight >= level for r in got.values())
+    first = sorted(got.values(), key=lambda r: -r.key)[:k]
+    assert {r.doc_id for r in first} == {i for i, r in got.items() if r.keep} and 0 < k < len(texts)
+    noise = sorted(r.key - r.log_weight / quality.TEMPERATURE for r in got.values())
+    assert abs(noise[len(noise) // 2] + math.log(math.log(2))) < 0.3  # the median of Gumbel noise
+
+
 def test_quality_edges(spark):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (2, None, None)], "doc_id long, quality int, toxic int")
     df = documents(spark, {1: "a b", 2: None, 3: ""}).withColumn("target", F.lit("clash"))
