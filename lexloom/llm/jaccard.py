@@ -11,7 +11,7 @@ Exact at any size, in steps that lose no link:
 4. Candidates share a shingle in their prefixes, within the length and place bounds. Per shingle, the set with the
    fewest unshared shingles is the pivot, and the others are only compared with it: a group of copies around an
    original costs as many pairs as it has members. Then only shingles whose sets are still in different components
-   give further pairs.
+   give further pairs; of a frequent one, blocks of sets meet in tasks of their own.
 5. Verification is a prefix tree join: the candidates of a set, in salted groups of bounded size, form a trie of
    globally ordered shingles; the set traverses it, a branch's partial overlap is shared by what is below, and a
    branch that cannot reach the bound with what remains is left.
@@ -37,6 +37,8 @@ from lexloom.plans.shared import small, stored
 SHINGLE_WORDS = 4
 #: The least similarity, as a ratio.
 NUM, DEN = 85, 100
+#: Sets with one shingle that meet each other in one task; of more, blocks of them meet in tasks of their own.
+BLOCK_SETS = 256
 #: Shingles in one verification group, besides those of the set that traverses it.
 GROUP_SHINGLES = 200_000
 
@@ -223,11 +225,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     part = connected_components(links).withColumnRenamed("node", "id")
 
     placed = stored(prefix.join(part, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
-    split = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("token")
-    rest = placed.join(split, "token", "left_semi")
+    split = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks")).where("low <> high")
+    rest = placed.join(stored(split.select("token", "blocks"), "split"), "token")
     index = F.col("a.n") - ceil_of(F.col("a.n") * 2 * num, num + den) + 1
     smaller = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.id") < F.col("b.id")))
-    crossing = rest.alias("a").join(rest.alias("b"), "token").where(smaller & (F.col("a.component") != F.col("b.component")) & (F.col("a.pos") < index) & bound("a", "b"))
+    block, every = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = rest.withColumn("row", block).withColumn("column", every)
+    right = rest.withColumn("column", block).withColumn("row", every)
+    crossing = left.alias("a").join(right.alias("b"), ["token", "row", "column"]).where(smaller & (F.col("a.component") != F.col("b.component")) & (F.col("a.pos") < index) & bound("a", "b"))
     seen = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     more = stored(crossing.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct().join(seen, ["a", "b"], "left_anti"), "pairs")
     late = stored(_links(more, shared, num, den), "links")
