@@ -280,7 +280,7 @@ def test_pipeline(spark):
         if name == "jaccard":
             left = {r.doc_id for r in before.collect()}
             parts = collections.defaultdict(set)
-            for r in jaccard.jaccard_components(before).collect():
+            for r in jaccard.jaccard_components(before, k=5, num=80, den=100).collect():
                 parts[r.component_id].add(r.doc_id)
             assert {r.doc_id for r in kept.collect()} == set(parts) <= left
         if name == "pii":
@@ -290,3 +290,20 @@ def test_pipeline(spark):
     shas = {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in kept.collect()}
     assert {r.doc_id: r.decoded_sha256 for r in last} == shas
     assert np.all([r.n_tokens == len(r.ids) for r in last])
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Nulls, empty texts, repeated rows, a further column and an empty table go through all stages."""
+    base = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{base}/documents.parquet").limit(40).selectExpr("*", "nullif('clash', '') as id", "nullif(1, 0) as keep")
+    odd = spark.createDataFrame([(9001, None, None, None, None, None, 1), (9002, "", "en", "s", 0, "x", 1), (9002, "", "en", "s", 0, "x", 1), (None, "mail a@b.co", "en", "s", 11, "x", 1)], docs.schema)
+    for table in (docs.union(odd), docs.limit(0)):
+        kept = table
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            kept = stage(spark, kept, base)
+            assert kept.columns == table.columns
+            kept.write.parquet(f"{tmp_path}/{name}-{table.count()}")
+            kept = spark.read.parquet(f"{tmp_path}/{name}-{table.count()}")
+        last = corpus_pipeline.STAGES[-1][1](spark, kept, base).collect()
+        found = collections.Counter(r.doc_id for r in last)
+        assert len(last) == kept.count() and (not last or (found[9001], found[9002], found[None]) == (1, 2, 1))

@@ -60,12 +60,13 @@ def brute_components(texts, k=4, num=85, den=100):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize("seed", [0, 1])
-def test_jaccard_components(spark, seed, monkeypatch):
+@pytest.mark.parametrize(("seed", "rule"), [(0, (4, 85, 100)), (1, (4, 85, 100)), (2, (5, 80, 100))])
+def test_jaccard_components(spark, seed, rule, monkeypatch):
     monkeypatch.setattr(jaccard, "GROUP_SHINGLES", 300)  # salted verification groups
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 2)
     texts = copies(seed)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(documents(spark, texts)).collect()}
-    assert got == brute_components(texts)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(documents(spark, texts), "doc_id", "text", *rule).collect()}
+    assert got == brute_components(texts, *rule)
 
 
 def test_signatures_lose_no_pair():
