@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -125,9 +126,11 @@ def _stored_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         # what is carried on is the tokens: words in lower case, single spaces
         heads = struct.pack(f"<{2 * len(ids)}q", *[i or 0 for i in ids], *map(len, texts)) + bytes([(i is None) * 2 + t for i, t in zip(ids, train)])
         body = zstandard.compress(b"".join(texts), 9)
-        return pa.RecordBatch.from_arrays(_rows([(TEXTS, len(ids), xxhash.xxh64_intdigest(heads + body) >> 1, heads, body)]), schema=_SCHEMA)
+        # named by place too: two chunks may hold the same rows
+        name = xxhash.xxh64_intdigest(struct.pack("<2q", at, count) + heads + body) >> 1
+        return pa.RecordBatch.from_arrays(_rows([(TEXTS, len(ids), name, heads, body)]), schema=_SCHEMA)
 
-    texts, ids, train, size = [], [], [], 0
+    texts, ids, train, size, count, at = [], [], [], 0, 0, TaskContext.get().partitionId()
     for batch in batches:
         for i, text, own in zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.binary()), batch.column("train").to_pylist()):
             texts.append(b" ".join(split_words(text.as_py())))
@@ -136,7 +139,7 @@ def _stored_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             size += len(texts[-1])
             if size >= CHUNK_BYTES:
                 yield close()
-                texts, ids, train, size = [], [], [], 0
+                texts, ids, train, size, count = [], [], [], 0, count + 1
     if texts:
         yield close()
 
