@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.llm.words import portions
+
 #: Tags that end a block, tags whose content is never text, tags that are boilerplate by themselves, words
 #: in class, id or role that mark boilerplate, those that mark readers' comments, and words that begin the name of a
 #: state of the page ("has-sidebar") rather than of a box.
@@ -291,7 +293,7 @@ def main_text(page: str | None) -> str:
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches, "html"):
         texts = pa.array([main_text(x.as_py()) for x in batch.column("html")], pa.string())
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), texts], names=["page_id", "url", "text"])
 

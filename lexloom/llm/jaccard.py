@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexloom.llm.columns import id_text
-from lexloom.llm.words import Hashes, mix, shingle_hashes
+from lexloom.llm.words import Hashes, mix, portions, shingle_hashes
 from lexloom.plans.components import connected_components
 from lexloom.plans.shared import small, stored
 
@@ -89,7 +89,7 @@ _SETS = "id bigint, n bigint, d1 bigint, d2 bigint, shared boolean, sigs array<b
 def _sets(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, hashes = Classes(num, den), Hashes()
-        for batch in batches:
+        for batch in portions(batches):
             sizes, first, second, sigs = [], [], [], []
             for text in batch.column("text").cast(pa.binary()):
                 found = shingle_hashes(text.as_py(), k, hashes)
@@ -125,7 +125,7 @@ def _sets(k: int, num: int, den: int):
 def _shingles(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        for batch in batches:
+        for batch in portions(batches):
             rows = [shingle_hashes(t.as_py(), k, hashes).view(np.int64) for t in batch.column("text").cast(pa.binary())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, pa.list_(pa.int64()))], names=["id", "tokens"])
 

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.columns import id_text
+from lexloom.llm.words import portions
 from lexloom.plans.shared import stored
 
 TOKENIZER_DIR = "/opt/tokenizers"
@@ -283,7 +284,7 @@ def product(a: dict, b: dict) -> dict:
 def _encoded(model: bytes, back: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Pieces(model)
-        for batch in batches:
+        for batch in portions(batches):
             rows = [own.encode(t.as_py()) for t in batch.column("text")]
             texts = pa.array([own.decode(r) if back else None for r in rows], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, pa.list_(pa.int32())), texts], names=["id", "ids", "decoded"])
@@ -295,7 +296,7 @@ def _cut(chunk: int, around: int):
     names = ["uid", "id", "no", "last", "left", "body", "right"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             for uid, i, text in zip(batch.column("uid").to_pylist(), batch.column("id").to_pylist(), batch.column("text")):
                 text = SPACE + text.as_py().replace(" ", SPACE)
                 last = (len(text) - 1) // chunk

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.columns import id_text
-from lexloom.llm.words import Hashes, mix
+from lexloom.llm.words import Hashes, mix, portions
 from lexloom.plans.shared import stored
 
 #: Buckets in each of the two tables.
@@ -68,7 +68,7 @@ def places(found: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 def _counted(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target, hashes = np.zeros(2 * buckets + 1, np.int64), np.zeros(2 * buckets + 1, np.int64), Hashes()
-        for batch in batches:
+        for batch in portions(batches):
             for text, own in zip(batch.column("text"), batch.column("target").to_pylist()):
                 at = np.unique(np.concatenate([*places(features(text.as_py(), hashes), buckets), [2 * buckets]]))  # the last place counts documents
                 raw[at] += 1
@@ -87,7 +87,7 @@ def _weighed(own: np.ndarray, others: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        for batch in batches:
+        for batch in portions(batches):
             found = [weight(t.as_py(), own if of else others, hashes) for t, of in zip(batch.column("text"), batch.column("target").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.float64())], names=["id", "log_weight"])
 

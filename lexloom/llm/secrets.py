@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from lexloom.llm.columns import id_text
+from lexloom.llm.words import portions
 
 #: Kinds in output order; the first three are the base kinds.
 KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "pem")
@@ -123,7 +124,7 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in portions(batches):
         found = [[{"kind": k, "start": a, "end": b} for k, a, b in find_secrets(t.as_py())] for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, _ARROW)], names=["id", "spans"])
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.words import Hashes, mix, split_words
+from lexloom.llm.words import Hashes, mix, portions, split_words
 from lexloom.plans.shared import stored
 
 #: Sizes of a run of two or more sentences, and of a single one. A size is words or, where words are long or there are
@@ -74,7 +74,7 @@ def _run_hashes(plain: list[str], last: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _hashed(least_words: int, long_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             ids, at, hashes = [], [], []
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text")):
                 _, plain, last = _runs_of(text.as_py(), least_words, long_words)
@@ -127,7 +127,7 @@ def _without(text: str, gone: list[tuple[int, int]]) -> str:
 
 def _removed(least_words: int, long_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             texts, counts, gone = [], [], []
             for text, starts in zip(batch.column("text"), batch.column("starts").to_pylist()):
                 text = text.as_py()
@@ -178,7 +178,7 @@ def _anchored(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        for batch in batches:
+        for batch in portions(batches):
             ids, found, counts = [], [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
             for i, text in zip(batch.column("id").to_pylist(), batch.column("text")):
                 every = _anchors(text.as_py(), length, hashes)[1]
@@ -196,7 +196,7 @@ def _anchored(length: int):
 def _windows(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
-        for batch in batches:
+        for batch in portions(batches):
             for i, text, shared in zip(batch.column("id").to_pylist(), batch.column("text"), batch.column("anchors")):
                 words, anchors = _anchors(text.as_py(), length, hashes)
                 at = np.flatnonzero(np.isin(anchors, shared.values.to_numpy().view(np.uint64)))
@@ -231,7 +231,7 @@ def _cut(length: int, least_words: int, long_words: int):
         return _without(text, gone)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches):
             before = batch.column("text").to_pylist()
             after = [clean(*row) if row[1] or row[2] else row[0] for row in zip(before, batch.column("runs").to_pylist(), batch.column("passages").to_pylist())]
             n = [len(word.findall(t)) for t in before]

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
+#: Bytes of text that are worked on at once: Spark's batches count rows, whatever their length.
+PORTION_BYTES = 4 << 20
+
 #: Words whose hashes a task keeps, and the longest of them in bytes; the table is emptied when it is full.
 KEPT_WORDS, KEPT_BYTES = 150_000, 64
 
@@ -24,6 +31,15 @@ class Hashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def portions(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = PORTION_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about ``most`` bytes of a text column, each of one row at least."""
+    for batch in batches:
+        part = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // most
+        starts = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+        for a, b in zip(starts, [*starts[1:], batch.num_rows]):
+            yield batch.slice(a, b - a)
+
+
 def split_words(data: bytes) -> list[bytes]:
     """Words of a UTF-8 text with A-Z lower-cased: what lies between spaces and the characters 9 to 13."""
     return data.lower().split()
