@@ -147,6 +147,13 @@ def pair_text(descriptor: Column | str, explainer: Column | str) -> Column:
     return F.concat_ws("; ", F.nullif(strip(descriptor), F.lit("")), F.nullif(strip(explainer), F.lit("")))
 
 
+def sanitize(data: Column) -> Column:
+    """Bytes as text: encoded surrogates go, other bytes that are no UTF-8 become the replacement character."""
+    # as one character a byte, so that a pattern can name bytes
+    bare = F.regexp_replace(F.decode(data, "ISO-8859-1"), "\u00ed[\u00a0-\u00bf][\u0080-\u00bf]", "")
+    return F.make_valid_utf8(F.encode(bare, "ISO-8859-1").cast("string"))
+
+
 def remove_thinking(c: Column | str) -> Column:
     """What follows the first ``assistantfinal``, in any case, without leading white space; all if there is none."""
     return F.regexp_replace(text(c), "(?is)^.*?assistantfinal\\s*", "")

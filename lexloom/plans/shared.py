@@ -35,10 +35,15 @@ def _own_tables(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/lexloom/{spark.sparkContext.applicationId}"
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A folder of its own among the application's intermediate tables."""
+    return f"{_own_tables(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of what was written."""
     spark = df.sparkSession
-    path = f"{_own_tables(spark)}/{label}-{uuid.uuid4().hex}"
+    path = scratch(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -6,13 +6,15 @@ Spark reads; existence is asked of Spark's file systems, never of the driver's d
 
 from __future__ import annotations
 
+import re
+import warnings
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexloom.functions.text import split_plain, strip
+from lexloom.functions.text import normalize_strict, split_plain, strip
 from lexloom.operators.annotate import best_round
 
 #: Names an id column may have, in order of preference, and entity schemas.
@@ -32,14 +34,15 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_documents(spark: SparkSession, source: str) -> DataFrame:
-    """Documents by suffix: .tsv (label, id, text), .jsonl and .jsonl.zst or .gz, .parquet; other names raise ValueError."""
-    if source.endswith(".tsv"):
-        return read_core_tsv(spark, source)
-    if ".json" in source:
-        return read_jsonl(spark, source)
-    if source.rstrip("/").endswith(".parquet"):
-        return spark.read.parquet(source)
-    raise ValueError(f"cannot tell the format of {source}")
+    """Documents by suffix: .tsv (label, id, text), .jsonl and .jsonl.zst or .gz, .parquet. What has none of these, or no
+    such file, is looked up as a table of the catalog; ValueError if there is none."""
+    bare = source.rstrip("/")
+    for suffixes, read in (((".tsv",), read_core_tsv), ((".json", ".jsonl", ".jsonl.zst", ".jsonl.gz"), read_jsonl), ((".parquet",), lambda s, p: s.read.parquet(p))):
+        if bare.endswith(suffixes) and exists(spark, source):
+            return read(spark, source)
+    if re.fullmatch(r"[A-Za-z_]\w*(\.[A-Za-z_]\w*)*", bare) and spark.catalog.tableExists(bare):
+        return spark.table(bare)
+    raise ValueError(f"{source} is neither a file of a known format nor a table")
 
 
 def read_core_tsv(spark: SparkSession, path: str) -> DataFrame:
@@ -59,9 +62,17 @@ def read_jsonl(spark: SparkSession, path: str | list[str], schema: str | None =
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value) of the lines, numbered from 1, that are neither blank nor JSON: what a strict reader fails on."""
+    rows = with_line_numbers(spark, path).where((F.trim("value") != "") & F.try_parse_json("value").isNull())
+    return rows.select((F.col("line") + 1).alias("line"), "value")
+
+
 def read_many_jsonl(spark: SparkSession, paths: list[str], schema: str | None = None) -> DataFrame:
-    """All files that exist, as one table; with a schema none may exist."""
+    """All files that exist, as one table, with a warning for each that does not; with a schema none may exist."""
     there = [p for p in paths if exists(spark, p)]
+    for p in set(paths) - set(there):
+        warnings.warn(f"{p} does not exist", stacklevel=2)
     if not there:
         if schema is None:
             raise FileNotFoundError("none of the files exists")
@@ -71,8 +82,7 @@ def read_many_jsonl(spark: SparkSession, paths: list[str], schema: str | None =
 
 def read_pairs(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
     """Pairs; a null or blank id, descriptor or explainer fails the job."""
-    rows = read_jsonl(spark, path, PAIR)
-    rows = rows if limit is None else rows.limit(limit)
+    rows = read_jsonl(spark, path, PAIR) if limit is None else first_rows(spark, path, PAIR, limit)
     good = (strip("id") != "") & (strip("descriptor") != "") & (strip("explainer") != "")
     checked = F.when(good, F.col("id")).otherwise(F.raise_error(F.lit("a pair has an empty field")))
     return rows.withColumn("id", checked)
@@ -86,38 +96,65 @@ def read_schema(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_line_numbers(spark: SparkSession, path: str) -> DataFrame:
-    """(value, line): lines of text files numbered from 0 in the order of the files, blank ones included."""
-    rows = spark.read.text(path).rdd.map(lambda r: r[0]).zipWithIndex()
-    return rows.toDF("value string, line bigint")
+    """(value, line): lines of text files numbered from 0 in the order of the files, blank ones included.
+
+    Rows are numbered within each block of a file as they are read; what is ordered to add up is one row per block.
+    """
+    place = {"file": F.col("_metadata.file_path"), "block": F.col("_metadata.file_block_start"), "at": F.monotonically_increasing_id()}
+    rows = spark.read.text(path).select("value", *[c.alias(n) for n, c in place.items()])
+    blocks = rows.groupBy("file", "block").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    begun = blocks.select("file", "block", "first", (F.sum("n").over(Window.orderBy("file", "block")) - F.col("n")).alias("before"))
+    return rows.join(begun, ["file", "block"]).select("value", (F.col("before") + F.col("at") - F.col("first")).alias("line"))
+
+
+def first_rows(spark: SparkSession, path: str, schema: str, n: int) -> DataFrame:
+    """The first n JSON lines of the files, by their order; blank lines do not count."""
+    lines = with_line_numbers(spark, path).where(F.trim("value") != "").orderBy("line").limit(n)
+    return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("j")).select("j.*")
 
 
 def id_column(df: DataFrame) -> str | None:
     return next((c for c in ID_NAMES if c in df.columns), None)
 
 
-def annotated(df: DataFrame, on_empty: str = "first") -> DataFrame:
+def annotated(df: DataFrame, on_empty: str = "first", max_docs: int | None = None) -> DataFrame:
     """(doc_id, text, pos, descriptor, explainer): the best round's pairs, or the harmonised ones where there are any.
 
-    The text is ``text`` or ``document``; rows without text or descriptors give nothing.
+    The text is ``text`` or ``document``; rows without text or descriptors give nothing. ``max_docs`` reads the documents
+    of the smallest ids alone.
     """
     column = lambda *names: F.coalesce(*[F.col(n) for n in names if n in df.columns], F.lit(None))
     raw = best_round("descriptors", "similarity", on_empty) if "descriptors" in df.columns else F.lit(None).cast("array<string>")
     own = F.coalesce(F.when(F.size("harmonized_descriptors") > 0, F.col("harmonized_descriptors")), raw) if "harmonized_descriptors" in df.columns else raw
     key = id_column(df)
     base = df.select((F.col(key) if key else F.lit(None)).cast("string").alias("doc_id"), column("text", "document").cast("string").alias("text"), own.alias("d"))
-    each = base.where("text <> ''").select("doc_id", "text", F.posexplode("d").alias("pos", "pair"))
+    base = base.where("text <> ''")
+    base = base if max_docs is None else base.orderBy("doc_id").limit(max_docs)
+    each = base.select("doc_id", "text", F.posexplode("d").alias("pos", "pair"))
     return each.select("doc_id", "text", "pos", split_plain("pair").alias("p")).select("doc_id", "text", "pos", "p.*").where("descriptor <> ''")
 
 
 def read_grouped(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """(descriptor, id, explainer) of grouped descriptors; an id in more than one place raises ValueError."""
-    rows = read_jsonl(spark, path, GROUP)
-    flat = (rows if limit is None else rows.limit(limit)).select("descriptor", F.explode("explainers").alias("e")).select("descriptor", "e.*")
+    """(descriptor, id, explainer) of grouped descriptors, normalised; an id in more than one place raises ValueError.
+    ``limit`` reads the first groups alone."""
+    rows = read_jsonl(spark, path, GROUP) if limit is None else first_rows(spark, path, GROUP, limit)
+    flat = rows.select(normalize_strict("descriptor").alias("descriptor"), F.explode("explainers").alias("e")).select("descriptor", "e.*")
     if not flat.groupBy("id").count().where("count > 1").isEmpty():
         raise ValueError("an id is repeated")
     return flat
 
 
+def read_input_ids(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """(id): the distinct explainer ids of grouped descriptors, checked as ``read_grouped`` does."""
+    return read_grouped(spark, path, limit).select("id").distinct()
+
+
+def conflicting_finals(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(id, n): ids whose final pairs differ between rows, of which ``read_finals`` takes one."""
+    rows = reduce(DataFrame.union, [_final_rows(spark, p, k) for k, p in enumerate(paths)])
+    return rows.groupBy("id").agg(F.countDistinct("descriptor", "explainer").alias("n")).where("n > 1")
+
+
 def read_lineage(spark: SparkSession, run_dir: str, names: tuple[str, ...] = LINEAGE_NAMES) -> DataFrame:
     """(dst, src, ord) of the first lineage file that a run has; a scalar source counts as a list of one."""
     path = next((f"{run_dir}/{n}" for n in names if exists(spark, f"{run_dir}/{n}")), None)
@@ -129,21 +166,33 @@ def read_lineage(spark: SparkSession, run_dir: str, names: tuple[str, ...] = LIN
     return rows.select(listed["new_pair_id"].alias("dst"), F.explode(F.coalesce(listed["source_pair_ids"], F.array(single))).alias("src"), F.col("line").alias("ord"))
 
 
-def read_finals(spark: SparkSession, paths: list[str], keep: str = "last") -> DataFrame:
-    """(id, descriptor, explainer) of final pairs; of rows with the same id the last, or the first, holds."""
-    rows = reduce(DataFrame.union, [with_line_numbers(spark, p).select(F.lit(k).alias("file"), "line", "value") for k, p in enumerate(paths)])
+def _final_rows(spark: SparkSession, path: str, file: int) -> DataFrame:
     j = F.from_json("value", "id string, descriptor string, final_descriptor string, name string, explainer string, group_explainer string")
-    flat = rows.select("file", "line", j.alias("j")).where("j.id is not null")
-    order = [F.desc("file"), F.desc("line")] if keep == "last" else ["file", "line"]
-    one = flat.withColumn("n", F.row_number().over(Window.partitionBy("j.id").orderBy(*order))).where("n = 1")
+    flat = with_line_numbers(spark, path).select(F.lit(file).alias("file"), "line", j.alias("j")).where("j.id is not null")
     empty = F.lit("")
-    return one.select("j.id", F.coalesce(F.nullif("j.descriptor", empty), F.nullif("j.final_descriptor", empty), "j.name").alias("descriptor"), F.coalesce(F.nullif("j.explainer", empty), "j.group_explainer", empty).alias("explainer"))
+    descriptor = F.coalesce(F.nullif("j.descriptor", empty), F.nullif("j.final_descriptor", empty), "j.name")
+    return flat.select("file", "line", "j.id", descriptor.alias("descriptor"), F.coalesce(F.nullif("j.explainer", empty), "j.group_explainer", empty).alias("explainer"))
+
+
+def read_finals(spark: SparkSession, paths: list[str], keep: str = "last") -> DataFrame:
+    """(id, descriptor, explainer) of final pairs; of rows with the same id the last, or the first, holds."""
+    rows = reduce(DataFrame.union, [_final_rows(spark, p, k) for k, p in enumerate(paths)])
+    pick = F.max if keep == "last" else F.min
+    return rows.groupBy("id").agg(pick(F.struct("file", "line", "descriptor", "explainer")).alias("r")).select("id", "r.descriptor", "r.explainer")
+
+
+def list_files(spark: SparkSession, directory: str, pattern: str = "*") -> list[str]:
+    """Paths below a folder whose names fit a pattern, sorted."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(directory)
+    return sorted(r[0] for r in rows.select("path").collect())  # one row a file; contents are not read
 
 
 def read_iterations(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
-    """The rows of numbered files with the iteration in their names."""
+    """The rows of numbered files, or folders, with the iteration: the number at the last star of the pattern."""
+    before, _, after = pattern.rsplit("/", 1)[-1].rpartition("*")
+    number = re.escape(before.rpartition("*")[2]) + r"(\d+)" + re.escape(after)
     rows = spark.read.schema(schema).json(pattern)
-    return rows.withColumn("iteration", F.regexp_extract(F.input_file_name(), r"(\d+)[^/\d]*$", 1).cast("int"))
+    return rows.withColumn("iteration", F.regexp_extract(F.col("_metadata.file_path"), number + "(?:/[^/]*)?$", 1).cast("int"))
 
 
 def read_ids(spark: SparkSession, path: str, field: str = "id") -> DataFrame:
@@ -173,3 +222,44 @@ def line_counts(spark: SparkSession, directory: str, pattern: str = "*") -> Data
     """(file, n): lines of each file below a folder."""
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(directory)
     return rows.groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n")).orderBy("file")
+
+
+def read_key_values(spark: SparkSession, path: str, prefix: str = "") -> DataFrame:
+    """(key, value) of a table of keys and values whose keys begin with ``prefix``, which reaches the scan."""
+    rows = spark.read.parquet(path)
+    return rows.where(F.col("key").startswith(prefix)) if prefix else rows
+
+
+def read_arrow(files: DataFrame, schema: str, content: str = "content") -> DataFrame:
+    """The rows of Arrow streams or files that stand as bytes in a column; columns are taken by name."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for data in batch.column(content):
+                raw = data.as_py()
+                source = pa.ipc.open_file(raw) if raw[:6] == b"ARROW1" else pa.ipc.open_stream(raw)
+                for k in range(source.num_record_batches) if raw[:6] == b"ARROW1" else iter(source):
+                    found = source.get_batch(k) if isinstance(k, int) else k
+                    yield found.select(names)
+
+    names = files.sparkSession.createDataFrame([], schema).columns
+    return files.select(content).mapInArrow(run, schema)
+
+
+def read_arrow_folder(spark: SparkSession, directory: str, schema: str) -> DataFrame:
+    """The rows of all .arrow files below a folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.arrow").load(directory)
+    return read_arrow(files, schema)
+
+
+def read_logs(spark: SparkSession, directory: str, prefix: str, suffix: str) -> DataFrame:
+    """(file, value): lines of the files below a folder whose names begin and end so."""
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"{prefix}*{suffix}").text(directory)
+    return rows.select(F.col("_metadata.file_name").alias("file"), "value")
+
+
+def lines_done(spark: SparkSession, path: str) -> int:
+    """How many lines a sink already holds: where a run takes up its work again. 0 if there is no such folder."""
+    return spark.read.text(path).count() if exists(spark, path) else 0

@@ -43,19 +43,47 @@ def parquet_to_jsonl(spark: SparkSession, source: str, path: str) -> None:
     write_jsonl(spark.read.parquet(source), path)
 
 
-def write_embeddings(df: DataFrame, path: str, model: str, id_col: str = "id", vec_col: str = "vec") -> None:
-    """(id, vec) as floats, and one metadata row with model, rows, width and fingerprint."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("vec"))
-    rows.write.mode("overwrite").parquet(f"{path}/vectors")
-    meta = rows.agg(fingerprint(model, F.struct("id")).alias("fingerprint"), F.lit(model).alias("model"), F.count("*").alias("n_rows"), F.max(F.size("vec")).alias("width"), F.lit("float32").alias("dtype"))
+def concatenate(spark: SparkSession, paths: list[str], path: str) -> None:
+    """The lines of several shards as one folder, shard by shard; a last line without a line feed stays a line."""
+    for k, shard in enumerate(paths):
+        spark.read.text(shard).write.mode("append" if k else "overwrite").text(path)
+
+
+def append_batches(df: DataFrame, path: str, key: str, size: int, upto: int | None = None) -> int:
+    """Append rows, in batches of ``size`` keys, as JSON lines in a folder a batch; returns how many batches were written.
+
+    ``key`` numbers the rows from 0 without gaps. Batches that are there are not written again, so a run that was ended
+    takes up its work; a batch is there when Spark's marker of success is. ``upto`` ends a run early.
+    """
+    from lexloom.sources.readers import exists
+
+    spark, written = df.sparkSession, 0
+    n = df.agg(F.max(key)).first()[0]
+    for batch in range(0 if n is None else min(n // size + 1, upto or n + 1)):
+        if not exists(spark, f"{path}/batch={batch}/_SUCCESS"):
+            write_jsonl(df.where(F.col(key).between(batch * size, (batch + 1) * size - 1)), f"{path}/batch={batch}")
+            written += 1
+    return written
+
+
+def write_key_values(df: DataFrame, path: str, key: str, value) -> None:
+    """(key, value) in the order of keys, so that a scan for a prefix reads few row groups."""
+    df.select(F.col(key).cast("string").alias("key"), value.alias("value")).repartitionByRange("key").sortWithinPartitions("key").write.mode("overwrite").parquet(path)
+
+
+def write_embeddings(df: DataFrame, path: str, model: str, id_col: str = "id", vec_col: str = "vec", text_col: str | None = None) -> None:
+    """(id, vec) as floats, and one metadata row with model, rows, width and a fingerprint of the ids and, if given, texts."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<float>").alias("vec"), *([F.col(text_col).alias("text")] if text_col else []))
+    rows.select("id", "vec").write.mode("overwrite").parquet(f"{path}/vectors")
+    meta = rows.agg(fingerprint(model, F.struct("id", *(["text"] if text_col else []))).alias("fingerprint"), F.lit(model).alias("model"), F.count("*").alias("n_rows"), F.max(F.size("vec")).alias("width"), F.lit("float32").alias("dtype"))
     meta.write.mode("overwrite").json(f"{path}/meta")
 
 
 def read_embeddings(spark: SparkSession, path: str, model: str, ids: DataFrame) -> DataFrame | None:
-    """A stored table if its fingerprint is that of the model and these ids (id), else null."""
+    """A stored table if its fingerprint is that of the model and these ids (id) or ids and texts (id, text), else null."""
     from lexloom.sources.readers import exists
 
     if not exists(spark, f"{path}/meta"):
         return None
-    want = ids.agg(fingerprint(model, F.struct("id"))).first()[0]
+    want = ids.agg(fingerprint(model, F.struct(*[c for c in ("id", "text") if c in ids.columns]))).first()[0]
     return spark.read.parquet(f"{path}/vectors") if spark.read.json(f"{path}/meta").first()["fingerprint"] == want else None
