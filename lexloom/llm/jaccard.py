@@ -203,7 +203,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     close = stored(reps.join(passed, "d1", "left_semi").select(F.col("rep").alias("id"), "n"), "close")
 
     texts = base.join(small(close.select("id")), "id", "left_semi")
-    tokens = stored(texts.mapInArrow(_shingles(k), "id bigint, tokens array<bigint>").dropDuplicates(["id"]), "tokens")
+    # only rows that repeat an id are shuffled to find one of each
+    repeated = small(stored(sets.groupBy("id").count().where("count > 1").select("id"), "repeated"))
+    once, again = (texts.join(repeated, "id", how).mapInArrow(_shingles(k), "id bigint, tokens array<bigint>") for how in ("left_anti", "left_semi"))
+    tokens = stored(once.union(again.dropDuplicates(["id"])), "tokens")
     each = tokens.select("id", F.explode("tokens").alias("token"))
     counted = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
     ordered = each.join(counted, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
