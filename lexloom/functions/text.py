@@ -227,6 +227,38 @@ def parse_model_json(c: Column | str, schema: str) -> Column:
     return F.from_json(whole, schema)
 
 
+#: The steps of the repair of a judge's JSON, as patterns and replacements, in their order.
+REPAIR_STEPS = (
+    (",\\s*([\\]}])", "$1"),
+    ("([{,])\\s*([a-zA-Z_][a-zA-Z0-9_]*)\\s*:", "$1\"$2\":"),
+    (":\\s*([^\"\\s\\d\\[{].*?)(?=[,}\\]])", ":\"$1\""),
+)
+
+
+def repaired_json(c: Column | str) -> Column:
+    """A judge's answer as JSON text after one round of repair, null if it is none then: what stands from the first brace to
+    the first closing one, double quotes for single ones, no trailing commas, quotes around bare keys and bare values."""
+    bare = F.btrim(text(c), F.lit(" \n"))
+    low, high = F.instr(bare, "{"), F.instr(bare, "}")
+    fixed = F.replace(F.when((low > 0) & (high >= low), bare.substr(low, high - low + 1)).otherwise(bare), F.lit("'"), F.lit('"'))
+    for pattern, by in REPAIR_STEPS:
+        fixed = F.regexp_replace(fixed, pattern, by)
+    return F.when(F.try_parse_json(fixed).isNotNull(), fixed)
+
+
+def completed(answer: Column, lists: tuple[str, ...] = ("descriptors", "specifics"), texts: tuple[str, ...] = ("general",)) -> Column:
+    """A generator's answer, JSON text or null, as a struct of all its fields: missing lists are empty, missing texts "",
+    and the items of lists are strings whatever they were."""
+    items = lambda name: F.coalesce(F.transform(F.from_json(F.get_json_object(answer, f"$.{name}"), "array<string>"), text), F.array().cast("array<string>"))
+    return F.struct(*[items(n).alias(n) for n in lists], *[F.coalesce(F.get_json_object(answer, f"$.{n}"), F.lit("")).alias(n) for n in texts])
+
+
+def truncate_tokens(c: Column | str, most: int) -> Column:
+    """The first ``most`` tokens of a text, as the stand-in tokenizer has them: runs without white space, with what follows."""
+    found = F.regexp_extract_all(text(c), F.lit("\\s*\\S+"), F.lit(0))
+    return F.when(F.size(found) > most, F.array_join(F.slice(found, 1, most), "")).otherwise(text(c))
+
+
 def decision_key(a: Column, b: Column) -> Column:
     """A cache key of two pairs (structs with an id), the same in either order."""
     return F.sha2(F.to_json(F.struct(F.array_sort(F.array(a, b)).alias("pair"))), 256)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lexloom.plans.ranks import ranked
+
 
 def score_stats(df: DataFrame, value: str, *keys: str, places: int = 3) -> DataFrame:
     """(keys, n, mean, std, low, high), rounded; std is of the population."""
@@ -42,12 +44,23 @@ def label_distribution(df: DataFrame, label: str, labels: DataFrame) -> DataFram
 def equal_bins(df: DataFrame, order: list[Column], bins: int = 10) -> DataFrame:
     """The rows with ``bin``: n div bins rows each in the given order, the remainder in the last.
 
-    Row numbers come from one ordered pass; with fewer rows than bins all are in the last.
+    With fewer rows than bins all are in the last.
     """
-    n = df.count()
-    size = max(n // bins, 1)
-    at = F.least(F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size), F.lit(bins - 1))
-    return df.withColumn("bin", at if n >= bins else F.lit(bins - 1).cast("bigint"))
+    placed = ranked(df, order, "_place")
+    n = placed.count()
+    at = F.least(F.floor(F.col("_place") / max(n // bins, 1)), F.lit(bins - 1))
+    return placed.withColumn("bin", at if n >= bins else F.lit(bins - 1).cast("bigint")).drop("_place")
+
+
+def observed(df: DataFrame, name: str, tokens: str) -> tuple[DataFrame, Observation]:
+    """The rows, and their number and tokens as metrics of whatever action reads them: no pass of their own."""
+    metrics = Observation(name)
+    return df.observe(metrics, F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(tokens), F.lit(0)).alias("tokens")), metrics
+
+
+def throughput(metrics: Observation, seconds: float) -> dict[str, float]:
+    """Rows and tokens a second of a finished action that took so long."""
+    return {f"{k}_per_second": v / seconds if seconds > 0 else 0.0 for k, v in metrics.get.items()}
 
 
 def token_stats(df: DataFrame, length: str, *keys: str) -> DataFrame:

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexloom.functions.text import truncate_quick
+from lexloom.plans.ranks import ranked, ranked_within
 
 
 def hash_unit(key: Column | str, seed: int) -> Column:
-    """A number in [0, 1) that depends on key and seed alone, so that a repeated task draws the same."""
-    return F.pmod(F.crc32(F.concat_ws(":", F.lit(str(seed)), (F.col(key) if isinstance(key, str) else key).cast("string"))), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    """A number in [0, 1) that depends on key and seed alone, so that a repeated task draws the same: 32 bits of an MD5."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), (F.col(key) if isinstance(key, str) else key).cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(float(1 << 32))
 
 
 def bernoulli(df: DataFrame, key: str, p: float, seed: int = 0) -> DataFrame:
@@ -31,7 +33,11 @@ def length_between(length: Column | str, low: int, high: int | None) -> Column:
 
 def near_equal_parts(df: DataFrame, parts: int, order: list) -> DataFrame:
     """The rows with ``part`` from 1: contiguous parts whose sizes differ by at most one, the larger ones first."""
-    return df.withColumn("part", F.ntile(parts).over(Window.orderBy(*order)))
+    placed = ranked(df, order, "_place")
+    q, r = divmod(placed.count(), parts)
+    place = F.col("_place")
+    part = F.when(place < r * (q + 1), F.floor(place / (q + 1))).otherwise(r + F.floor((place - r * (q + 1)) / max(q, 1)))
+    return placed.withColumn("part", (part + 1).cast("int")).drop("_place")
 
 
 def split_rows(df: DataFrame, key: str, test: float, validation: float, seed: int = 0) -> DataFrame:
@@ -40,9 +46,42 @@ def split_rows(df: DataFrame, key: str, test: float, validation: float, seed: in
     return df.withColumn("split", F.when(u < test, "test").when(u < test + validation, "validation").otherwise("train"))
 
 
+def split_exactly(df: DataFrame, key: str, test: int, validation: int, train: int | None = None, seed: int = 0) -> DataFrame:
+    """The rows with ``split``, of sizes that hold exactly: by the order of a hash of the key. ``train=None`` takes the rest.
+
+    Raises ValueError if the table has too few rows. The cuts are the hashes at the sizes, found without ordering all rows
+    in one task.
+    """
+    n = df.count()
+    wanted = test + validation + (1 if train is None else train)
+    if min(test, validation, train or 0) < 0 or wanted > n:
+        raise ValueError(f"{wanted} rows are asked for, the table has {n}")
+    placed = ranked(df.withColumn("_u", hash_unit(key, seed)), ["_u", key], "_place")
+    place, end = F.col("_place"), n if train is None else test + validation + train
+    split = F.when(place < test, "test").when(place < test + validation, "validation").when(place < end, "train")
+    return placed.withColumn("split", split).where("split is not null").drop("_u", "_place")
+
+
+def shuffled_parts(df: DataFrame, key: str, parts: int, seed: int | None = None) -> DataFrame:
+    """The rows with ``part`` from 1, of near-equal sizes: in the order of the key, or of a seeded hash of it."""
+    if seed is None:
+        return near_equal_parts(df, parts, [key])
+    return near_equal_parts(df.withColumn("_u", hash_unit(key, seed)), parts, ["_u", key]).drop("_u")
+
+
+def at_most(df: DataFrame, length: str, most: int | None) -> DataFrame:
+    """The rows whose length is at most ``most``; all of them if that is null or not positive, or there is no such column."""
+    return df if most is None or most <= 0 or length not in df.columns else df.where(F.col(length) <= most)
+
+
+def threshold_parts(df: DataFrame, value: str, cut: float) -> DataFrame:
+    """The rows with ``side``: low up to the cut, high above it, none where the value is null."""
+    return df.withColumn("side", F.when(F.col(value) <= cut, "low").when(F.col(value) > cut, "high").otherwise("none"))
+
+
 def interleave(df: DataFrame, source: str, order: str, k: int, seed: int = 0) -> DataFrame:
     """The rows with ``round`` and ``place``: k rows of each source per round, shuffled within a round by a seeded hash."""
-    rounds = df.withColumn("round", F.floor((F.row_number().over(Window.partitionBy(source).orderBy(order)) - 1) / k))
+    rounds = ranked_within(df, [source], [order], "_place").withColumn("round", F.floor(F.col("_place") / k)).drop("_place")
     return rounds.withColumn("place", F.row_number().over(Window.partitionBy("round").orderBy(hash_unit(order, seed), order)))
 
 

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lexloom.functions.text import lexical_overlap, merged_id, split_strict, stable_id
+from lexloom.functions.text import lexical_overlap, merged_id, normalize_tracer, split_strict, split_tracer, stable_id, strip
+from lexloom.operators.annotate import best_round
+from lexloom.plans.ranks import ranked_within
 from lexloom.plans.shared import stored
 
 
@@ -33,6 +35,71 @@ def groups(pairs: DataFrame, order: list[str]) -> DataFrame:
     return pairs.groupBy("descriptor").agg(F.transform(listed, lambda x: F.struct(x["id"].alias("id"), x["explainer"].alias("explainer"))).alias("explainers"))
 
 
+def placed_groups(pairs: DataFrame, order: list[str]) -> DataFrame:
+    """(descriptor, pos, id, explainer): the rows of ``groups``, which a frequent descriptor spreads over many tasks."""
+    placed = ranked_within(pairs, ["descriptor"], [*order, "id"], "pos")
+    return placed.select("descriptor", "pos", "id", "explainer")
+
+
+def largest_groups(pairs: DataFrame, n: int = 5) -> DataFrame:
+    """(descriptor, n): the descriptors with most pairs, by name on a tie."""
+    return pairs.groupBy("descriptor").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "descriptor").limit(n)
+
+
+def pair_counts(rows: DataFrame) -> DataFrame:
+    """(descriptor, explainer, n) of original rows of either kind: those with rounds of pairs (descriptors, similarity), of
+    which the best round counts, or those that are pairs (descriptor, explainer) themselves."""
+    if "descriptors" in rows.columns:
+        each = rows.select(F.explode(best_round("descriptors", "similarity", "all")).alias("pair")).select(split_tracer("pair").alias("p")).where("p is not null").select("p.*")
+    else:
+        each = rows.select(normalize_tracer("descriptor").alias("descriptor"), strip("explainer").alias("explainer")).where("descriptor <> '' and explainer <> ''")
+    return each.groupBy("descriptor", "explainer").agg(F.count("*").alias("n"))
+
+
+def mapped_indices(chunks: DataFrame) -> DataFrame:
+    """(chunk, grp, id, text) of answered indices: chunks have chunk, ids and explainers (arrays) and groups (an array of
+    structs with indices and text).
+
+    Indices out of range and repeated ones are passed over, as are groups without any; without a group all ids form one
+    under the first explainer.
+    """
+    n = F.size("ids")
+    own = F.transform("groups", lambda g: F.struct(F.array_distinct(F.filter(g["indices"], lambda i: (i >= 0) & (i < n))).alias("indices"), g["text"].alias("text")))
+    some = F.filter(F.coalesce(own, F.array().cast("array<struct<indices:array<int>,text:string>>")), lambda g: F.size(g["indices"]) > 0)
+    whole = F.array(F.struct(F.sequence(F.lit(0), n - 1).alias("indices"), F.get("explainers", F.lit(0)).alias("text")))
+    each = chunks.where(n > 0).select("chunk", "ids", F.posexplode(F.when(F.size(some) > 0, some).otherwise(whole)).alias("grp", "g"))
+    return each.select("chunk", F.col("grp").cast("bigint").alias("grp"), F.col("g.text").alias("text"), F.explode(F.transform("g.indices", lambda i: F.get("ids", i))).alias("id"))
+
+
+def merge_events(groups: DataFrame) -> DataFrame:
+    """(new_descriptor, new_explainer, new_pair_id, source_pair_ids) of groups (descriptor, explainer, sources); a group
+    without a name, without sources or with a null one fails the job."""
+    sources = F.array_sort(F.array_distinct("sources"))
+    good = (strip("descriptor") != "") & (strip("explainer") != "") & (F.size("sources") > 0) & ~F.exists("sources", lambda x: x.isNull())
+    new = F.when(good, merged_id(sources, F.col("descriptor"), F.col("explainer"))).otherwise(F.raise_error(F.lit("a merge lacks a name or sources")))
+    return groups.select(F.col("descriptor").alias("new_descriptor"), F.col("explainer").alias("new_explainer"), new.alias("new_pair_id"), sources.alias("source_pair_ids"))
+
+
+def packed_prompts(prompts: DataFrame, key: str, chars: str, most_prompts: int = 512, most_chars: int = 2_000_000) -> DataFrame:
+    """(key, id, batch): prompts of a cohort (key) in batches, shortest first: a batch is closed when one more would exceed
+    either bound. A cohort is what one pass of the loop sends to the model, so it is bounded by that."""
+
+    def run(table):
+        import pyarrow as pa
+
+        rows = sorted(zip(table.column("chars").to_pylist(), table.column("id").to_pylist()))
+        batch, n, size, out = 0, 0, 0, []
+        for c, _ in rows:
+            if n and (n + 1 > most_prompts or size + c > most_chars):
+                batch, n, size = batch + 1, 0, 0
+            n, size = n + 1, size + c
+            out.append(batch)
+        return pa.table({"key": table.column("key")[: len(rows)], "id": pa.array([i for _, i in rows], pa.int64()), "batch": pa.array(out, pa.int64())})
+
+    base = prompts.select(F.col(key).cast("bigint").alias("key"), F.col("id").cast("bigint").alias("id"), F.col(chars).cast("bigint").alias("chars"))
+    return base.groupBy("key").applyInArrow(run, "key bigint, id bigint, batch bigint")
+
+
 def group_statistics(pairs: DataFrame) -> DataFrame:
     """One row: descriptors, pairs, descriptors with one and with more explainers, and their average."""
     sizes = pairs.groupBy("descriptor").agg(F.count("*").alias("n"))
@@ -44,7 +111,7 @@ def group_statistics(pairs: DataFrame) -> DataFrame:
 
 def chunked(pairs: DataFrame, key: list[str], order: str, size: int = 20) -> DataFrame:
     """The rows with ``chunk``: at most ``size`` explainers each, in order, within a key."""
-    return pairs.withColumn("chunk", F.floor((F.row_number().over(Window.partitionBy(*key).orderBy(order)) - 1) / size))
+    return ranked_within(pairs, key, [order], "_place").withColumn("chunk", F.floor(F.col("_place") / size)).drop("_place")
 
 
 def repair(members: DataFrame, answers: DataFrame) -> DataFrame:
@@ -84,8 +151,8 @@ def disambiguate(pairs: DataFrame, grouper: Callable[[DataFrame], DataFrame] = c
     cur = stored(pairs.select("descriptor", "explainer", "id", F.sha1("descriptor").alias("parent")), "frontier")
     finals, lineage = [], []
     for n in range(max_passes):
-        size = F.count("*").over(Window.partitionBy("parent", "descriptor"))
-        sized = stored(cur.withColumn("size", size), "sized")
+        sizes = cur.groupBy("parent", "descriptor").agg(F.count("*").alias("size"))
+        sized = stored(cur.join(sizes, ["parent", "descriptor"]), "sized")
         finals.append(sized.where("size = 1").select("descriptor", "explainer", "id"))
         more = sized.where("size > 1")
         if more.isEmpty():
@@ -101,8 +168,7 @@ def disambiguate(pairs: DataFrame, grouper: Callable[[DataFrame], DataFrame] = c
         made = made.withColumn("new_id", merged_id(F.col("sources"), F.col("descriptor"), F.col("explainer")))
         made = stored(made, "made")
         lineage.append(made.select(F.lit(n).alias("pass"), F.col("new_id").alias("id"), F.explode("sources").alias("source_id")))
-        parts_of = F.count("*").over(Window.partitionBy("parent", "descriptor"))
-        named = made.withColumn("parts", parts_of)
+        named = made.join(made.groupBy("parent", "descriptor").agg(F.count("*").alias("parts")), ["parent", "descriptor"])
         name = F.when(F.col("parts") > 1, F.concat_ws(" / ", "descriptor", F.regexp_extract("explainer", r"(\S*)", 1))).otherwise(F.col("descriptor"))
         cur = stored(named.select(name.alias("descriptor"), "explainer", F.col("new_id").alias("id"), "parent"), "frontier")
     else:

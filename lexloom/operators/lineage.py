@@ -87,6 +87,14 @@ def contributions(links: DataFrame, occurrences: DataFrame) -> DataFrame:
     return links.join(occurrences.withColumnRenamed("id", "original"), "original").groupBy("final").agg(F.sum("n").alias("count"))
 
 
+def contribution_breakdown(links: DataFrame, originals: DataFrame, finals: DataFrame) -> DataFrame:
+    """(original_descriptor, original_explainer, final_descriptor, final_explainer, count): how often an original pair
+    (id, descriptor, explainer, n) reaches a final pair (id, descriptor, explainer)."""
+    named = lambda df, kind, *more: df.select(F.col("id").alias(kind), F.col("descriptor").alias(f"{kind}_descriptor"), F.col("explainer").alias(f"{kind}_explainer"), *more)
+    both = links.join(named(originals, "original", "n"), "original").join(named(finals, "final"), "final")
+    return both.groupBy("original_descriptor", "original_explainer", "final_descriptor", "final_explainer").agg(F.sum("n").alias("count"))
+
+
 def backtrace(finals: DataFrame, rounds: list[tuple[DataFrame, DataFrame]], counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Trace finals (id) back through rounds, latest first: (contributions, dead ends).
 

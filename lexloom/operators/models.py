@@ -15,7 +15,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import answer_label
+from lexloom.functions.text import answer_label, decision_key, vocab_descriptor
+from lexloom.operators import prompts
+from lexloom.operators.annotate import best_round
+from lexloom.operators.export import hash_unit
+from lexloom.plans.shared import stored
 
 
 class Embedder(Protocol):
@@ -109,22 +113,34 @@ def annotate_documents(docs: DataFrame, text: str, rounds: int, factory: Callabl
 
 
 #: The labels of the judge's three tasks.
-JUDGE_LABELS = {"query_descriptor": ["yes", "no"], "query_document": ["relevant", "partially relevant", "not relevant"], "descriptor_accuracy": ["accurate", "mostly accurate", "inaccurate"]}
+JUDGE_LABELS = {
+    "QueryDescriptorMatch": ["yes", "no"], "QueryDocMatch": ["yes", "no"],
+    "DescriptorAccuracy": ["accurate", "mostly accurate", "partially accurate", "mostly inaccurate", "inaccurate"],
+}
 
 
-def judge(df: DataFrame, task: str, prompt: str, factory: Callable[[], TextModel] = EchoModel) -> DataFrame:
-    """The rows with the model's response and the label parsed from it."""
-    return generate(df, prompt, factory).withColumn("label", answer_label("response", JUDGE_LABELS[task]))
-
+def judge_examples(df: DataFrame, task: str, query: str = "", doc_ids: DataFrame | None = None, harmonized: bool = False, share: float = 1.0, seed: int = 0) -> DataFrame:
+    """The examples of a task with their ``prompt``.
 
-def synonym_prompt(a: Column, b: Column) -> Column:
-    return F.concat(F.lit("Do these two labels mean the same?\nA: "), a, F.lit("\nB: "), b, F.lit('\nAnswer as JSON: {"is_synonym": true or false, "keep_id": "A" or "B"}'))
+    QueryDescriptorMatch: one for each row's ``descriptor``. QueryDocMatch: one for each ``document`` whose doc_id is
+    among ``doc_ids`` (doc_id). DescriptorAccuracy: one for each descriptor, harmonised or of the best round, of a share
+    of the documents that is drawn by a hash of the doc_id.
+    """
+    if task == "QueryDescriptorMatch":
+        return df.withColumn("prompt", prompts.render("judge_query_descriptor", query=F.lit(query), descriptor=F.coalesce("descriptor", F.lit(""))))
+    if task == "QueryDocMatch":
+        return df.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("prompt", prompts.render("judge_query_document", query=F.lit(query), document=F.col("document")))
+    if task != "DescriptorAccuracy":
+        raise ValueError(f"unknown task {task}")
+    drawn = df if share >= 1 else df.where(hash_unit("doc_id", seed) < share)
+    listed = F.col("harmonized_descriptors") if harmonized else best_round("descriptors", "similarity", "all")
+    each = drawn.withColumn("descriptor", F.explode(listed))
+    return each.withColumn("prompt", prompts.render("judge_accuracy", document=F.col("document"), descriptor=F.col("descriptor")))
 
 
-def roster_prompt(descriptor: Column, explainers: Column) -> Column:
-    """A grouping prompt: each explainer on a line of its own behind its index."""
-    listed = F.transform(explainers, lambda x, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), x))
-    return F.concat(F.lit("Group the meanings of: "), descriptor, F.lit("\n"), F.array_join(listed, "\n"))
+def judge(df: DataFrame, task: str, prompt: str, factory: Callable[[], TextModel] = EchoModel) -> DataFrame:
+    """The rows with the model's response and the label parsed from it."""
+    return generate(df, prompt, factory).withColumn("label", answer_label("response", JUDGE_LABELS[task]))
 
 
 def reranker_score(yes: Column, no: Column) -> Column:
@@ -133,6 +149,50 @@ def reranker_score(yes: Column, no: Column) -> Column:
     return y / (y + n)
 
 
+def rerank(found: DataFrame, above: float) -> DataFrame:
+    """(id, chosen, score): of the candidates (id, neighbor, yes, no: log-probabilities) the best by the reranker, the
+    smallest on a tie; chosen is null where its score is not above the threshold."""
+    scored = found.select("id", "neighbor", reranker_score(F.col("yes"), F.col("no")).alias("score"))
+    best = scored.groupBy("id").agg(F.min(F.struct((-F.round("score", 12)).alias("s"), "neighbor")).alias("b"))
+    return best.select("id", F.when(-F.col("b.s") > above, F.col("b.neighbor")).alias("chosen"), (-F.col("b.s")).alias("score"))
+
+
+def mock_choice(found: DataFrame, keep: float = 0.75, seed: int = 0) -> DataFrame:
+    """(id, chosen): a stand-in selector. A share of the ids, drawn by hash, takes one of its candidates (id, neighbor, rank),
+    also drawn by hash; the others choose none."""
+    sized = found.groupBy("id").agg(F.max("rank").alias("n"))
+    pick = (F.floor(hash_unit("id", seed + 1) * F.col("n")) + 1).alias("rank")
+    drawn = sized.where(hash_unit("id", seed) < keep).select("id", pick)
+    return sized.select("id").join(drawn.join(found.select("id", "rank", "neighbor"), ["id", "rank"]), "id", "left").select("id", F.col("neighbor").alias("chosen"))
+
+
+def decide_synonyms(pairs: DataFrame, cache: DataFrame, decide: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
+    """Decisions of pairs (a, b: structs with id, descriptor, explainer) from a cache (key, is_synonym, keep_id, reason), else
+    from ``decide``, which adds is_synonym, keep_id and clean: (decisions with reason, new cache rows).
+
+    A key is the same in either order. Cached rows keep their reason; only clean answers are cached.
+    """
+    keyed = pairs.withColumn("key", decision_key(F.col("a"), F.col("b")))
+    known = keyed.join(cache.select("key", "is_synonym", "keep_id", "reason"), "key")
+    fresh = decide(keyed.join(cache.select("key"), "key", "left_anti")).withColumn("reason", F.when(F.col("clean"), "LLM_decision").otherwise("parse_failed"))
+    columns = ["key", "a", "b", "is_synonym", "keep_id", "reason"]
+    return known.select(columns).unionByName(fresh.select(columns)), fresh.where("clean").select("key", "is_synonym", "keep_id", "reason").distinct()
+
+
+def describe_with_feedback(docs: DataFrame, batch: str, text: str, batches: int, top: int = 100, factory: Callable[[], TextModel] = EchoModel) -> DataFrame:
+    """The rows with ``descriptor``: batch after batch, each prompt naming the ``top`` descriptors so far (at most that many
+    travel to the driver)."""
+    counts, done = None, None
+    for n in range(batches):
+        known = "" if counts is None else ", ".join(r[0] for r in counts.orderBy(F.desc("n"), "descriptor").limit(top).collect())
+        own = docs.where(F.col(batch) == n).withColumn("prompt", prompts.render("describe_with_vocabulary", vocabulary=F.lit(known), document=F.col(text)))
+        said = stored(generate(own, "prompt", factory).withColumn("descriptor", vocab_descriptor("response")).drop("prompt", "response"), "described")
+        new = said.groupBy("descriptor").agg(F.count("*").alias("n"))
+        counts = stored((new if counts is None else counts.unionByName(new)).groupBy("descriptor").agg(F.sum("n").alias("n")), "vocabulary")
+        done = said if done is None else done.unionByName(said)
+    return done
+
+
 def classify_in_passes(items: DataFrame, say: Callable[[DataFrame], DataFrame], passes: int = 3) -> tuple[DataFrame, DataFrame]:
     """(good, bad): ``say`` adds ``good`` to the rows; in each pass those called bad leave and are added to the bad list."""
     good, bad = items, None

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexloom.plans import q_export, q_io, q_lineage, q_more, q_text, q_vectors
+from lexloom.plans import q_export, q_io, q_lineage, q_more, q_seam, q_text, q_vectors
 
-_ALL = q_text.QUERIES | q_vectors.QUERIES | q_lineage.QUERIES | q_export.QUERIES | q_more.QUERIES | q_io.QUERIES
+_ALL = q_text.QUERIES | q_vectors.QUERIES | q_lineage.QUERIES | q_export.QUERIES | q_more.QUERIES | q_io.QUERIES | q_seam.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

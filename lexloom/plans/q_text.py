@@ -41,13 +41,13 @@ ids as (select *, substr(sha1(descriptor || '␟' || explainer), 1, 12) as id fr
 )
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def pairs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouping.first_pairs(grouping.extract_pairs(raw_pairs(spark, sf_dir)), ["doc_id", "pos"])
 
 
 def q_extract_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Descriptor groups: explainer ids in order of appearance, pairs and rows of each."""
-    first = _pairs(spark, sf_dir)
+    first = pairs_of(spark, sf_dir)
     listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "pos", "id"))), lambda x: x["id"]), ",")
     return first.groupBy("descriptor").agg(F.count("*").alias("n_pairs"), F.sum("n_rows").alias("n_rows"), listed.alias("ids"))
 
@@ -57,7 +57,7 @@ select descriptor, count(*)::bigint as n_pairs, sum(n)::bigint as n_rows, string
 
 
 def q_group_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = grouping.group_statistics(_pairs(spark, sf_dir))
+    s = grouping.group_statistics(pairs_of(spark, sf_dir))
     return s.withColumn("average", F.round("average", 6))
 
 
@@ -76,7 +76,7 @@ select ok, count(*)::bigint as n, count(distinct pair)::bigint as n_distinct fro
 
 def q_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Explainers of a descriptor in prompts of at most 20, by id."""
-    placed = grouping.chunked(_pairs(spark, sf_dir), ["descriptor"], "id")
+    placed = grouping.chunked(pairs_of(spark, sf_dir), ["descriptor"], "id")
     return placed.groupBy("descriptor", "chunk").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
@@ -225,7 +225,7 @@ select b.conv_id as conv_id, b.turn as turn, len(list_intersect(a.w, b.w))::bigi
 
 def q_disambiguate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The finals of the disambiguation loop with the deterministic grouper, per number of words."""
-    finals, lineage = grouping.disambiguate(_pairs(spark, sf_dir).select("descriptor", "explainer", "id"))
+    finals, lineage = grouping.disambiguate(pairs_of(spark, sf_dir).select("descriptor", "explainer", "id"))
     merged = lineage.select("id").distinct().withColumn("made", F.lit(1))
     return finals.join(merged, "id", "left").select("id", "descriptor", F.coalesce("made", F.lit(0)).alias("made"))
 
