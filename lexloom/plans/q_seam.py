@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lexloom.functions import text as tx
 from lexloom.functions.vector import l2_normalize
@@ -155,7 +156,7 @@ def q_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answered indices among an order's line items: out of range means the first, no answer means none; decisions of a third
     of the orders come from a cache, where the others' are added."""
     li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_partkey").alias("l_partkey"))
-    found = li.select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("neighbor"), F.col("l_linenumber").cast("int").alias("rank"), F.lit(0.5).alias("score"))
+    found = li.select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("neighbor"), F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")).alias("rank"), F.lit(0.5).alias("score"))
     texts = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.concat(F.lit("t"), "o_orderkey").alias("text"))
     listed = found.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("neighbor").cast("string").alias("n")))).alias("c"))
     keys = listed.join(texts, "id").select("id", tx.choice_key(F.col("text"), F.col("c.n")).alias("key"))
@@ -171,7 +172,8 @@ def q_choices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").cast("bigint").alias("id"), F.col("chosen").cast("bigint").alias("chosen"), F.coalesce("added", F.lit(False)).alias("added"))
 
 
-SQL_CHOICES = """with l as (select l_orderkey as id, max(l_partkey) filter (l_linenumber = l_orderkey % 4) as named, max(l_partkey) filter (l_linenumber = 1) as first from lineitem group by 1)
+SQL_CHOICES = """with d as (select l_orderkey, l_linenumber, max(l_partkey) as p from lineitem group by all), k as (select *, row_number() over (partition by l_orderkey order by l_linenumber) as r from d),
+l as (select l_orderkey as id, max(p) filter (r = l_orderkey % 4) as named, max(p) filter (r = 1) as first from k group by 1)
 select id::bigint as id, case when id % 3 = 0 then (case when id % 2 = 0 then id end) when id % 4 = 0 then null else coalesce(named, first) end::bigint as chosen, id % 3 <> 0 as added from l"""
 
 
