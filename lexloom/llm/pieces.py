@@ -15,6 +15,7 @@ at its ends need the matrix, and words between are looked up in a table of words
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import reduce
 
@@ -31,8 +32,8 @@ from lexloom.plans.shared import stored
 TOKENIZER_DIR = "/opt/tokenizers"
 MODEL = "piece_bpe_32k.model"
 CHUNK_CHARS = 32_768
-#: Words, none longer than KEPT_CHARS, in each of the two tables of a task, and pairs of pieces that it keeps.
-KEPT_WORDS, KEPT_CHARS = 100_000, 64
+#: Words, none longer than KEPT_CHARS, and pairs of pieces that a task keeps.
+KEPT_WORDS, KEPT_CHARS = 300_000, 64
 KEPT_PAIRS = 300_000
 #: Neighbouring chunks, or blocks of them, whose matrices one task multiplies.
 BLOCK = 16
@@ -43,20 +44,16 @@ _WORD_START = re.compile(f"(?<=[^{SPACE}]){SPACE}")
 
 
 class Words(dict):
-    """Ids, as 32-bit bytes, by word, whose leading space is left out; a missing word is segmented. A full table becomes
-    the older one, from which words in use come back."""
+    """Ids, as 32-bit bytes, by word, whose leading space is left out; a missing word is segmented, and a full table
+    begun anew."""
 
     def __init__(self, own: Pieces) -> None:
         self.own = own
-        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        found = self.older.get(word)
-        if found is None:
-            found = np.array(self.own.flat(self.own.whole(SPACE + word.replace(" ", SPACE))), np.int32).tobytes()
+        found = array("i", self.own.flat(self.own.whole(SPACE + word.replace(" ", SPACE)))).tobytes()
         if len(word) <= KEPT_CHARS:
             if len(self) >= KEPT_WORDS:
-                self.older = dict(self)
                 self.clear()
             self[word] = found
         return found
@@ -156,39 +153,44 @@ class Pieces:
         return [i for t in parts for i in ([t] if t >= 0 else [self.bytes[b] for b in chr(-1 - t).encode()])]
 
     def whole(self, text: str) -> list[int]:
-        """``segment`` of a text by itself, for the many short ones."""
+        """``segment`` of a text by itself, for the many short ones: there is one valid path, so the first that a search
+        with the longest pieces first finds is it. A state that led nowhere is not entered again."""
         tree, pairs, n = self.tree, self.pairs.get, len(text)
-        piece: list[int | None] = [BEGIN[0]] + [None] * n
-        start = [0] * (n + 1)
-        for j in range(n):
-            u = piece[j]
-            if u is None:
-                continue
-            node = tree.get(text[j])
+        out: list[int] = []
+        untried: list[tuple[int, list[tuple[int, int]]]] = []  # for each piece taken: where it starts, and shorter ones there
+        dead: set[tuple[int, int]] = set()
+        i, u = 0, BEGIN[0]
+        while i < n:
+            found: list[tuple[int, int]] = []  # pieces that start here, with their ends
+            node = tree.get(text[i])
             if node is None or "" not in node:  # a character without a piece
-                piece[j + 1], start[j + 1] = -1 - ord(text[j]), j
-                if node is None:
-                    continue
-            i = j + 1
-            while True:
+                found.append((-1 - ord(text[i]), i + 1))
+            k = i + 1
+            while node is not None:
                 t = node.get("")
-                if t is not None and piece[i] is None:
-                    ok = pairs((u << 32) + t)
-                    if ok is None:
-                        ok = self.valid(u if j else None, t)
-                    if ok:
-                        piece[i], start[i] = t, j
-                if i == n:
+                if t is not None:
+                    found.append((t, k))
+                if k == n:
                     break
-                node = node.get(text[i])
-                if node is None:
+                node = node.get(text[k])
+                k += 1
+            while True:
+                if not found:
+                    dead.add((u, i))
+                    i, found = untried.pop()
+                    out.pop()
+                    u = out[-1] if out else BEGIN[0]
+                    continue
+                t, k = found.pop()
+                ok = pairs((u << 32) + t)
+                if ok is None:
+                    ok = self.valid(u if i else None, t)
+                if ok and (t, k) not in dead:
                     break
-                i += 1
-        out, i = [], n
-        while i:
-            out.append(piece[i])
-            i = start[i]
-        return out[::-1]
+            untried.append((i, found))
+            out.append(t)
+            i, u = k, t
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
