@@ -13,7 +13,7 @@ from lexloom.operators import neighbors as nn
 from lexloom.plans.components import connected_components
 from lexloom.plans.shared import stored
 
-#: Rounds of parallel matching before the few edges that are left are matched one by one.
+#: Rounds of parallel matching before the few edges that are left are matched one by one within their components.
 MATCH_ROUNDS = 30
 
 
@@ -21,7 +21,8 @@ def greedy_matching(edges: DataFrame, max_rounds: int = MATCH_ROUNDS) -> DataFra
     """Edges (a, b, score) that a scan by falling score, then a and b, takes if each id may be used once.
 
     An edge that comes first at both its ends is taken, edges at taken ids go, and so on: with a strict order this is
-    the sequential result. A long falling chain needs a round per edge; after ``max_rounds`` a single ordered scan ends it.
+    the sequential result. A long falling chain needs a round per edge; after ``max_rounds`` an ordered scan of each
+    component of what is left ends it.
     """
     # null and NaN scores are never candidates
     left = stored(edges.where("a <> b and score is not null and not isnan(score)").groupBy("a", "b").agg(F.max("score").alias("score")), "edges")
@@ -48,22 +49,22 @@ def greedy_matching(edges: DataFrame, max_rounds: int = MATCH_ROUNDS) -> DataFra
 
 
 def _in_order(edges: DataFrame) -> DataFrame:
-    """The sequential scan over what is left, streamed through one task whose memory holds the used ids only."""
+    """The sequential scan over what is left; components do not meet, so each is scanned by itself."""
 
-    def run(batches):
+    def run(table):
         import pyarrow as pa
 
-        used = set()
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
-                free = a not in used and b not in used
-                keep.append(free)
-                if free:
-                    used.update((a, b))
-            yield batch.filter(pa.array(keep))
-
-    return edges.orderBy(F.desc("score"), "a", "b").coalesce(1).mapInArrow(run, edges.schema)
+        table = table.sort_by([("score", "descending"), ("a", "ascending"), ("b", "ascending")])
+        used, keep = set(), []
+        for a, b in zip(table.column("a").to_pylist(), table.column("b").to_pylist()):
+            free = a not in used and b not in used
+            keep.append(free)
+            if free:
+                used.update((a, b))
+        return table.filter(pa.array(keep, pa.bool_())).select(["a", "b", "score"])
+
+    part = connected_components(edges).withColumnRenamed("node", "a")
+    return edges.join(part, "a").groupBy("component").applyInArrow(run, edges.select("a", "b", "score").schema)
 
 
 def merge_synonyms(vectors: DataFrame, decide: Callable[[DataFrame], DataFrame], id_col: str = "id", vec_col: str = "vec", k: int = 1, strategy: str = "mutual", least: float | None = None, max_iters: int = 50) -> tuple[DataFrame, DataFrame]:

@@ -1,7 +1,9 @@
 """Nearest neighbours by cosine or squared distance, exact, in blocks; mutual pairs, candidates, radius search.
 
-Vectors are packed into blocks of bounded size; a pair of blocks is one row and one matrix product, which keeps only the
-best of each query. No vector table is broadcast or gathered, and no pair of single rows is ever made.
+Vectors are packed into blocks of bounded size; a pair of blocks is one row and one matrix product. A task keeps the best
+of each query over the blocks that it meets one after the other, so what is shuffled is k rows for each query and task.
+No vector table is broadcast or gathered, and no pair of single rows is ever made. A cell-partitioned index (``by``) only
+joins blocks of the same cell.
 """
 
 from __future__ import annotations
@@ -28,47 +30,65 @@ def _packed(metric: str):
         if metric == "cosine":
             norms = np.linalg.norm(data, axis=1, keepdims=True)
             data = data / np.where(norms == 0, 1, norms)
-        block = table.column("block")[0].as_py()
-        return pa.table({"block": pa.array([block], pa.int64()), "ids": pa.array([ids.astype(np.int64).tobytes()], pa.binary()), "data": pa.array([data.tobytes()], pa.binary())})
+        place = {c: pa.array([table.column(c)[0].as_py()], pa.int64()) for c in ("cell", "block")}
+        return pa.table({**place, "ids": pa.array([ids.astype(np.int64).tobytes()], pa.binary()), "data": pa.array([data.tobytes()], pa.binary())})
 
     return run
 
 
-def blocks(df: DataFrame, id_col: str, vec_col: str, metric: str = "cosine", rows: int = BLOCK_ROWS) -> DataFrame:
-    """(block, ids, data): the vectors in blocks of about ``rows``; rows without an id or a vector are left out."""
-    base = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where("id is not null and vec is not null")
-    n = max(1, -(-base.count() // rows))
-    return stored(base.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(n)).cast("bigint")).groupBy("block").applyInArrow(_packed(metric), "block bigint, ids binary, data binary"), "blocks")
+def blocks(df: DataFrame, id_col: str, vec_col: str, metric: str = "cosine", rows: int = BLOCK_ROWS, by: str | None = None) -> DataFrame:
+    """(cell, block, ids, data): the vectors in blocks of about ``rows``, of one cell each if ``by`` names its column; rows
+    without an id or a vector are left out."""
+    cell = F.col(by) if by else F.lit(0)
+    base = df.select(cell.cast("bigint").alias("cell"), F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec")).where("id is not null and vec is not null")
+    sizes = base.groupBy("cell").agg(F.greatest(F.ceil(F.count("*") / rows), F.lit(1)).alias("blocks"))
+    dealt = base.join(F.broadcast(sizes), "cell").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("bigint"))  # one row a cell
+    return stored(dealt.groupBy("cell", "block").applyInArrow(_packed(metric), "cell bigint, block bigint, ids binary, data binary"), "blocks")
 
 
 def _best(k: int, metric: str, exclude_self: bool, radius: float | None):
+    def first(near: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((ids, -near), axis=1)[:, :k]
+        return np.take_along_axis(near, order, 1), np.take_along_axis(ids, order, 1)
+
+    def told(q: np.ndarray, near: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        keep = np.isfinite(near) if radius is None else np.isfinite(near) & ((near >= radius) if metric == "cosine" else (-near <= radius))
+        score = near if metric == "cosine" else 0.0 - near
+        return pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(q[:, None], near.shape)[keep]), pa.array(ids[keep]), pa.array(score[keep])], names=["id", "neighbor", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, q, best = None, None, None
         for batch in batches:
             for r in batch.to_pylist():
-                q, t = np.frombuffer(r["q_ids"], np.int64), np.frombuffer(r["t_ids"], np.int64)
-                a, b = np.frombuffer(r["q_data"]).reshape(len(q), -1), np.frombuffer(r["t_data"]).reshape(len(t), -1)
+                if held != (r["cell"], r["q_block"]):
+                    if held is not None:
+                        yield told(q, *best)
+                    held, q, best = (r["cell"], r["q_block"]), np.frombuffer(r["q_ids"], np.int64), None
+                    a = np.frombuffer(r["q_data"]).reshape(len(q), -1)
+                t = np.frombuffer(r["t_ids"], np.int64)
+                b = np.frombuffer(r["t_data"]).reshape(len(t), -1)
                 near = np.round(a @ b.T if metric == "cosine" else -((a**2).sum(1)[:, None] - 2 * a @ b.T + (b**2).sum(1)), PLACES)
                 if exclude_self:
                     near[q[:, None] == t[None, :]] = -np.inf
-                order = np.lexsort((np.broadcast_to(t, near.shape), -near), axis=1)[:, :k]
-                rows, cols = np.repeat(np.arange(len(q)), order.shape[1]), order.ravel()
-                score = near[rows, cols]
-                keep = np.isfinite(score) if radius is None else np.isfinite(score) & ((score >= radius) if metric == "cosine" else (-score <= radius))
-                score = score if metric == "cosine" else 0.0 - score
-                yield pa.RecordBatch.from_arrays([pa.array(q[rows][keep]), pa.array(t[cols][keep]), pa.array(score[keep])], names=["id", "neighbor", "score"])
+                found = near, np.broadcast_to(t, near.shape)
+                best = first(*(found if best is None else (np.concatenate(x, 1) for x in zip(best, found))))
+        if held is not None:
+            yield told(q, *best)
 
     return run
 
 
-def top_k(queries: DataFrame, table: DataFrame, k: int, metric: str = "cosine", exclude_self: bool = False, radius: float | None = None) -> DataFrame:
+def top_k(queries: DataFrame, table: DataFrame, k: int, metric: str = "cosine", exclude_self: bool = False, radius: float | None = None, same_cell: bool = False) -> DataFrame:
     """(id, neighbor, score, rank): the k best rows of ``table`` for each of ``queries`` (both from ``blocks``).
 
     Cosine similarity falls, squared distance rises with the rank; ties go by neighbor id; ``radius`` is the least
-    similarity or the largest distance. With fewer than k rows in reach there are fewer neighbours.
+    similarity or the largest distance. With fewer than k rows in reach there are fewer neighbours. With ``same_cell``
+    queries, which may be in several cells, only meet the rows of their cells.
     """
-    q = queries.select(F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
-    t = table.select(F.col("ids").alias("t_ids"), F.col("data").alias("t_data"))
-    found = q.crossJoin(t).mapInArrow(_best(k, metric, exclude_self, radius), "id bigint, neighbor bigint, score double")
+    q = queries.select("cell", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))
+    t = table.select(*(["cell"] if same_cell else []), F.col("ids").alias("t_ids"), F.col("data").alias("t_data"))
+    met = q.join(t, "cell") if same_cell else q.crossJoin(t)  # blocks of a stated query set against blocks of all rows
+    found = met.mapInArrow(_best(k, metric, exclude_self, radius), "id bigint, neighbor bigint, score double")
     best = F.desc("score") if metric == "cosine" else F.asc("score")
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(best, "neighbor"))).where(F.col("rank") <= k)
 

@@ -7,9 +7,7 @@ import json
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from lexloom.functions.vector import squared_l2
 from lexloom.operators import neighbors as nn
 from lexloom.plans.shared import stored
 
@@ -64,22 +62,21 @@ def _cells(vectors: DataFrame, id_col: str, vec: str, centers: np.ndarray, probe
 class VectorIndex:
     """FlatL2 searches exactly; IndexIVFFlat puts each vector in the nearest of ``nlist`` cells and looks in ``nprobe``."""
 
-    def __init__(self, vectors: DataFrame, id_col: str, vec_col: str, index_type: str = "FlatL2", nlist: int = 16, centers: np.ndarray | None = None) -> None:
+    def __init__(self, vectors: DataFrame, id_col: str, vec_col: str, index_type: str = "FlatL2", nlist: int = 16, centers: np.ndarray | None = None, cells: DataFrame | None = None) -> None:
         if index_type not in INDEX_TYPES:
             raise ValueError(f"unknown index type {index_type}")
         self.index_type, self.nlist = index_type, nlist
         self.vectors = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
         if index_type != "FlatL2":
             self.centers = train_cells(self.vectors, "vec", nlist) if centers is None else centers
-            self.cells = stored(_cells(self.vectors, "id", "vec", self.centers, 1), "cells")
+            self.cells = stored(_cells(self.vectors, "id", "vec", self.centers, 1), "cells") if cells is None else cells
 
     def search(self, queries: DataFrame, id_col: str, vec_col: str, k: int, nprobe: int = 4) -> DataFrame:
         """(id, neighbor, score, rank) with squared distances; a row may find itself."""
         if self.index_type == "FlatL2":
             return nn.top_k(nn.blocks(queries, id_col, vec_col, "l2"), nn.blocks(self.vectors, "id", "vec", "l2"), k, "l2")
         probes = _cells(queries, id_col, vec_col, self.centers, nprobe)
-        met = probes.alias("q").join(self.cells.alias("t"), "cell").select(F.col("q.id").alias("id"), F.col("t.id").alias("neighbor"), F.round(squared_l2("q.vec", "t.vec"), nn.PLACES).alias("score"))
-        return met.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("score", "neighbor"))).where(F.col("rank") <= k)
+        return nn.top_k(nn.blocks(probes, "id", "vec", "l2", by="cell"), nn.blocks(self.cells, "id", "vec", "l2", by="cell"), k, "l2", same_cell=True)
 
     def save(self, path: str) -> None:
         """Vectors, by cell for IVF, and one metadata row."""
@@ -91,7 +88,22 @@ class VectorIndex:
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> VectorIndex:
+        """A saved index as it is: its vectors are in their cells' folders already."""
         meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
         table = spark.read.parquet(f"{path}/vectors")
         centers = np.array(meta["centers"]) if meta["centers"] else None
-        return VectorIndex(table, "id", "vec", meta["index_type"], meta["nlist"], centers)
+        return VectorIndex(table, "id", "vec", meta["index_type"], meta["nlist"], centers, table.select("id", "vec", "cell") if centers is not None else None)
+
+    @staticmethod
+    def ensure(vectors: DataFrame, id_col: str, vec_col: str, path: str, index_type: str = "FlatL2", nlist: int = 16, rebuild: bool = False) -> VectorIndex:
+        """The index saved at ``path`` if it is of this type; else, or if it is to be rebuilt, a new one, saved there."""
+        from lexloom.sources.readers import exists
+
+        spark = vectors.sparkSession
+        if not rebuild and exists(spark, f"{path}/meta"):
+            found = VectorIndex.load(spark, path)
+            if (found.index_type, found.nlist) == (index_type, nlist):
+                return found
+        made = VectorIndex(vectors, id_col, vec_col, index_type, nlist)
+        made.save(path)
+        return made

@@ -92,10 +92,17 @@ def q_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.sample_exactly(table(spark, sf_dir, "documents"), "doc_id", 100, 0.5, 7).select("doc_id")
 
 
+_U = "('0x' || substr(md5('{seed}:' || doc_id), 1, 8))::bigint / 4294967296.0::double"
+SQL_SAMPLE = f"select doc_id from documents where {_U.format(seed=7)} < 0.5 order by {_U.format(seed=8)}, doc_id limit 100"
+
+
 def q_train_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.split_rows(table(spark, sf_dir, "documents"), "doc_id", 0.1, 0.05).groupBy("split").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
 
 
+SQL_TRAIN = f"select case when u < 0.1 then 'test' when u < 0.15 then 'validation' else 'train' end as split, count(*)::bigint as n, min(doc_id) as first_id from (select doc_id, {_U.format(seed=0)} as u from documents) group by 1"
+
+
 def q_dummies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Event types per user as columns."""
     kinds = ["click", "view", "purchase", "signup", "error"]
@@ -166,6 +173,6 @@ SQL_STREAM = f"with {LINES} select array_to_string(list_slice(regexp_split_to_ar
 QUERIES = {
     "q_label_distribution": (q_label_distribution, SQL_LABELS), "q_label_parse": (q_label_parse, SQL_PARSE), "q_inverted_index": (q_inverted_index, SQL_INVERTED), "q_chat_examples": (q_chat_examples, SQL_CHAT),
     "q_length_filter": (q_length_filter, SQL_LENGTH), "q_token_stats": (q_token_stats, SQL_TOKENS), "q_split_parts": (q_split_parts, SQL_PARTS), "q_interleave": (q_interleave, SQL_INTERLEAVE),
-    "q_sample": (q_sample, None), "q_train_split": (q_train_split, None), "q_dummies": (q_dummies, SQL_DUMMIES), "q_compression": (q_compression, SQL_COMPRESSION), "q_merge_markers": (q_merge_markers, SQL_MARKERS),
+    "q_sample": (q_sample, SQL_SAMPLE), "q_train_split": (q_train_split, SQL_TRAIN), "q_dummies": (q_dummies, SQL_DUMMIES), "q_compression": (q_compression, SQL_COMPRESSION), "q_merge_markers": (q_merge_markers, SQL_MARKERS),
     "q_energy": (q_energy, SQL_ENERGY), "q_replicated_curves": (q_replicated_curves, SQL_CURVES), "q_windowed_events": (q_windowed_events, SQL_WINDOWED), "q_stream_vocabulary": (q_stream_vocabulary, SQL_STREAM),
 }

@@ -173,13 +173,15 @@ SQL_CONSERVATION = "select sum(p_size)::bigint as original_total, sum(p_size)::b
 
 def q_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logged decisions replayed: within an iteration each id is used once, in the order of the log."""
-    p = table(spark, sf_dir, "part").where("p_partkey % 3 <> 0")
-    log = p.select((F.col("p_partkey") % 4).alias("iteration"), F.col("p_partkey").alias("ord"), F.floor(F.col("p_partkey") / 7).alias("keep"), (F.col("p_partkey") + 1_000_000).alias("drop"), (F.col("p_size") > 5).alias("is_synonym"))
+    p = table(spark, sf_dir, "part")
+    log = p.select((F.col("p_partkey") % 4).alias("iteration"), F.col("p_partkey").alias("ord"), F.floor(F.col("p_partkey") / 7).alias("keep"), (F.floor(F.col("p_partkey") * 13 % 400) + 1_000_000).alias("drop"), (F.col("p_size") > 5).alias("is_synonym"))
     return merging.replay(log).select("iteration", "keep", "drop")
 
 
-SQL_REPLAY = """with l as (select p_partkey % 4 as iteration, p_partkey as ord, p_partkey // 7 as keep, p_partkey + 1000000 as drop from part where p_partkey % 3 <> 0 and p_size > 5)
-select iteration, keep, drop from (select *, row_number() over (partition by iteration, keep order by ord) as n from l) where n = 1"""
+SQL_REPLAY = """with recursive l as (select p_partkey % 4 as iteration, p_partkey // 7 as keep, p_partkey * 13 % 400 + 1000000 as drop, row_number() over (partition by p_partkey % 4 order by p_partkey) as k from part where p_size > 5),
+w(iteration, k, used, keep, drop, won) as (select i, 0::bigint, []::bigint[], 0::bigint, 0::bigint, false from (select distinct iteration as i from l)
+union all select w.iteration, l.k, case when list_contains(used, l.keep) or list_contains(used, l.drop) then used else list_concat(used, [l.keep::bigint, l.drop::bigint]) end, l.keep, l.drop, not (list_contains(used, l.keep) or list_contains(used, l.drop))
+from w join l on l.iteration = w.iteration and l.k = w.k + 1) select iteration, keep, drop from w where won"""
 
 
 def q_repair(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ from lexloom.functions.vector import squared_l2
 from lexloom.operators import annotate, audit, clusters, merging, models
 from lexloom.operators import neighbors as nn
 from lexloom.plans.q_text import LINES, first_words, lines, table
+from lexloom.plans.q_vectors import _sql_near
 
 
 def q_labelled_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,12 +65,12 @@ SQL_PREVIEWS = "select doc_id, case when length(t) > 80 then substr(t, 1, 80) ||
 
 def q_choice_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cache keys of a query text with its candidates in order."""
-    c = table(spark, sf_dir, "conversations").where("turn <= 2")
+    c = table(spark, sf_dir, "conversations")
     listed = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("c"))
     return listed.select("conv_id", tx.choice_key(F.col("conv_id").cast("string"), F.col("c.role")).alias("key"))
 
 
-SQL_KEYS = "select conv_id, sha256(conv_id::varchar || '|' || string_agg(role, '|' order by turn, role)) as key from conversations where turn <= 2 group by conv_id"
+SQL_KEYS = "select conv_id, sha256(conv_id::varchar || '|' || string_agg(role, '|' order by turn, role)) as key from conversations group by conv_id"
 
 
 def q_conversation_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,6 +92,12 @@ def q_threshold_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.threshold_groups(v.select(F.col("vec_id").alias("id")), near.select(F.col("id").alias("a"), F.col("neighbor").alias("b")))
 
 
+SQL_THRESHOLD = f"""with recursive {_sql_near(10)}, p as (select id as a, neighbor as b from nn where score >= 0.3), l as (select a, b from p union select b, a from p),
+i as (select vec_id as id, row_number() over (order by vec_id) as k, coalesce((select list(b) from l where a = vec_id and b < vec_id), []::bigint[]) as lows from embeddings),
+w(k, id, seeds, own) as (select 0::bigint, -1::bigint, []::bigint[], false union all select i.k, i.id, case when list_has_any(i.lows, seeds) then seeds else list_append(seeds, i.id) end, not list_has_any(i.lows, seeds) from w join i on i.k = w.k + 1),
+z as (select id from w where own) select id, id as seed from z union all select a as id, min(b) as seed from l where b in (select id from z) and a not in (select id from z) group by a"""
+
+
 def q_medoids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The medoid of each list of ten vectors."""
     v = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / 10).alias("grp"), "vec_id", "embedding")
@@ -124,15 +131,20 @@ def q_generated_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_generated_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Force merging of the generated descriptors."""
-    pairs = q_generated_annotations(spark, sf_dir).select(F.col("doc_id").alias("id"), tx.split_plain("best").alias("p")).select("id", "p.*")
+    """Force merging of descriptors that the stand-in model gives parts."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat("p_type", F.lit(" or "), "p_name").alias("prompt"))
+    pairs = models.generate(p, "prompt").select("id", tx.split_plain("response").alias("p")).select("id", "p.*")
     kept, _ = merging.force_merge(pairs)
     return kept
 
 
+SQL_GENERATED_MERGES = """with g as (select p_partkey as id, lower(array_to_string(list_slice(string_split(p_type || ' or ' || p_name, ' '), 1, 3), ' ')) as descriptor, p_type || ' or ' || p_name as explainer from part)
+select descriptor, id, explainer, n_members from (select *, count(*) over (partition by descriptor)::bigint as n_members, row_number() over (partition by descriptor order by length(explainer), explainer, id) as k from g) where k = 1"""
+
+
 QUERIES = {
     "q_labelled_documents": (q_labelled_documents, SQL_LABELLED), "q_unprocessed": (q_unprocessed, SQL_UNPROCESSED), "q_text_acceptance": (q_text_acceptance, SQL_ACCEPTANCE), "q_frequent_descriptors": (q_frequent_descriptors, SQL_FREQUENT),
     "q_contains_not": (q_contains_not, SQL_CONTAINS), "q_previews": (q_previews, SQL_PREVIEWS), "q_choice_keys": (q_choice_keys, SQL_KEYS), "q_conversation_overlap": (q_conversation_overlap, SQL_OVERLAP),
-    "q_threshold_groups": (q_threshold_groups, None), "q_medoids": (q_medoids, SQL_MEDOIDS), "q_embedded_descriptors": (q_embedded_descriptors, SQL_EMBEDDED),
-    "q_generated_annotations": (q_generated_annotations, None), "q_generated_merges": (q_generated_merges, None),
+    "q_threshold_groups": (q_threshold_groups, SQL_THRESHOLD), "q_medoids": (q_medoids, SQL_MEDOIDS), "q_embedded_descriptors": (q_embedded_descriptors, SQL_EMBEDDED),
+    "q_generated_annotations": (q_generated_annotations, None), "q_generated_merges": (q_generated_merges, SQL_GENERATED_MERGES),
 }

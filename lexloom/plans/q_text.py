@@ -46,14 +46,14 @@ def pairs_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_extract_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Descriptor groups: explainer ids in order of appearance, pairs and rows of each."""
-    first = pairs_of(spark, sf_dir)
-    listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "pos", "id"))), lambda x: x["id"]), ",")
-    return first.groupBy("descriptor").agg(F.count("*").alias("n_pairs"), F.sum("n_rows").alias("n_rows"), listed.alias("ids"))
+    """Descriptor groups: each pair with its place in its group, in order of appearance. A group is as many rows, whatever
+    its size."""
+    first = pairs_of(spark, sf_dir).withColumnRenamed("pos", "line")
+    return grouping.placed_groups(first, ["doc_id", "line"])
 
 
 SQL_EXTRACT = f"""with {PAIRS}, f as (select descriptor, explainer, id, min((doc_id, pos)) as first_at, count(*) as n from ids group by all)
-select descriptor, count(*)::bigint as n_pairs, sum(n)::bigint as n_rows, string_agg(id, ',' order by first_at, id) as ids from f group by descriptor"""
+select descriptor, (row_number() over (partition by descriptor order by first_at, id) - 1)::bigint as pos, id, explainer from f"""
 
 
 def q_group_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,7 +118,7 @@ SQL_ROUNDS = f"with {ANNOTATED}, e as (select unnest([0, 1, 2]) as r, unnest(s)
 
 
 def _vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = raw_pairs(spark, sf_dir).where("doc_id % 7 <> 0").select(F.array(F.array("pair")).alias("descriptors"))
+    docs = raw_pairs(spark, sf_dir).select(F.array(F.array("pair")).alias("descriptors"))
     return annotate.vocabulary(docs)
 
 
@@ -126,14 +126,18 @@ def q_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vocab(spark, sf_dir)
 
 
-SQL_VOCAB = f"with {PAIRS} select d as descriptor, count(*)::bigint as n from raw where d is not null group by d"
+_SQL_VOCAB = (
+    LINES
+    + r""", v as (select regexp_replace(regexp_replace(string_split(array_to_string(list_slice(regexp_split_to_array(trim(line), ' +'), 1, 3), ' ') || case when doc_id % 7 = 0 then ' ' else '; ' end || line, ';')[1], '^\s+', ''), '\s+$', '') as d from lines)"""
+)
+SQL_VOCAB = f"with {_SQL_VOCAB} select d as descriptor, count(*)::bigint as n from v group by d"
 
 
 def q_vocabulary_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vocab(spark, sf_dir).orderBy(F.desc("n"), "descriptor").limit(100)
 
 
-SQL_TOP = f"with {PAIRS} select d as descriptor, count(*)::bigint as n from raw where d is not null group by d order by n desc, d limit 100"
+SQL_TOP = f"with {_SQL_VOCAB} select d as descriptor, count(*)::bigint as n from v group by d order by n desc, d limit 100"
 
 
 def q_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +154,7 @@ def q_singletons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.singleton_ratio(_vocab(spark, sf_dir))
 
 
-SQL_SINGLE = f"with {PAIRS}, v as (select d, count(*) as n from raw where d is not null group by d) select count(*)::bigint as n_distinct, count(*) filter (n = 1)::bigint as n_singletons, round(count(*) filter (n = 1) / count(*), 6) as ratio from v"
+SQL_SINGLE = f"with {_SQL_VOCAB}, c as (select d, count(*) as n from v group by d) select count(*)::bigint as n_distinct, count(*) filter (n = 1)::bigint as n_singletons, round(count(*) filter (n = 1) / count(*), 6) as ratio from c"
 
 
 def q_suffix_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:

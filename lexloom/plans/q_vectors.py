@@ -11,8 +11,8 @@ from lexloom.operators import neighbors as nn
 from lexloom.plans.components import connected_components
 from lexloom.plans.q_text import table
 
-#: The schema is made of the first vectors.
-SCHEMA_IDS = 50
+#: Of so many vectors one belongs to the schema, by its id: the schema is a share of the table.
+SCHEMA_SHARE = 10
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,16 +62,16 @@ SQL_DROPPED = SQL_UNIQUE.replace(">= 0.5", "< 0.5")
 
 
 def _schema(v: DataFrame) -> DataFrame:
-    return v.where(F.col("vec_id") < SCHEMA_IDS)
+    return v.where(F.col("vec_id") % SCHEMA_SHARE == 0)
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
-    return harmonize.candidates(nn.blocks(v.where(F.col("vec_id") >= SCHEMA_IDS), "vec_id", "embedding"), nn.blocks(_schema(v), "vec_id", "embedding"), 10, 0.5)
+    return harmonize.candidates(nn.blocks(v.where(F.col("vec_id") % SCHEMA_SHARE != 0), "vec_id", "embedding"), nn.blocks(_schema(v), "vec_id", "embedding"), 10, 0.5)
 
 
 _SQL_SCHEMA = f"""v as (select vec_id, cast(embedding as double[]) as e from embeddings),
-s as (select a.vec_id as id, b.vec_id as neighbor, round(list_cosine_similarity(a.e, b.e), 9) as score from v a join v b on a.vec_id >= {SCHEMA_IDS} and b.vec_id < {SCHEMA_IDS}),
+s as (select a.vec_id as id, b.vec_id as neighbor, round(list_cosine_similarity(a.e, b.e), 9) as score from v a join v b on a.vec_id % {SCHEMA_SHARE} <> 0 and b.vec_id % {SCHEMA_SHARE} = 0),
 nn as (select * from (select *, row_number() over (partition by id order by score desc, neighbor) as rank from s) where rank <= 10 and (score >= 0.5 or rank = 1))"""
 
 
@@ -87,7 +87,7 @@ def q_harmonized_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors as descriptors of documents of five: each takes the schema name of its choice above a threshold, in order."""
     chosen = harmonize.choose_by_score(_candidates(spark, sf_dir), 0.2)
     v = _vectors(spark, sf_dir)
-    owners = v.where(F.col("vec_id") >= SCHEMA_IDS).select(F.floor(F.col("vec_id") / 5).alias("doc_id"), (F.col("vec_id") % 5).alias("pos"), F.col("vec_id").alias("id"))
+    owners = v.where(F.col("vec_id") % SCHEMA_SHARE != 0).select(F.floor(F.col("vec_id") / 5).alias("doc_id"), (F.col("vec_id") % 5).alias("pos"), F.col("vec_id").alias("id"))
     names = _schema(v).select(F.col("vec_id").alias("id"), F.concat(F.lit("label "), F.col("label").cast("string")).alias("descriptor"), F.lit("").alias("explainer"))
     docs = harmonize.harmonized_documents(owners, chosen, names)
     return docs.select("doc_id", F.array_join("harmonized", "|").alias("harmonized"), F.size("harmonized").cast("bigint").alias("n"))
@@ -95,7 +95,7 @@ def q_harmonized_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL_HARMONIZED = f"""with {_SQL_SCHEMA}, c as (select id, neighbor from nn where rank = 1 and score > 0.2),
 n as (select v.vec_id as id, v.vec_id // 5 as doc_id, v.vec_id % 5 as pos, 'label ' || e.label as t from v join c on c.id = v.vec_id join embeddings e on e.vec_id = c.neighbor),
-f as (select doc_id, t, min(pos) as pos from n group by doc_id, t), d as (select distinct vec_id // 5 as doc_id from v where vec_id >= {SCHEMA_IDS})
+f as (select doc_id, t, min(pos) as pos from n group by doc_id, t), d as (select distinct vec_id // 5 as doc_id from v where vec_id % {SCHEMA_SHARE} <> 0)
 select d.doc_id as doc_id, coalesce(string_agg(t, '|' order by pos), '') as harmonized, count(t)::bigint as n from d left join f using (doc_id) group by d.doc_id"""
 
 
@@ -110,14 +110,14 @@ select id, s1 > 0.2 as is_synonym, case when s1 > 0.2 then n1 end as chosen_id,
 
 
 def q_radius_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbours of the schema vectors within a squared distance, as a vector search returns them."""
+    """Neighbours within a squared distance, as a vector search returns them; every id divisible by 50 asks."""
     v = _vectors(spark, sf_dir)
-    found = nn.radius_search(nn.blocks(_schema(v), "vec_id", "embedding", "l2"), nn.blocks(v, "vec_id", "embedding", "l2"), 10, 1.0)
+    found = nn.radius_search(nn.blocks(v.where("vec_id % 50 = 0"), "vec_id", "embedding", "l2"), nn.blocks(v, "vec_id", "embedding", "l2"), 10, 1.0)
     return found.select("id", "neighbor", F.round("score", 6).alias("distance"))
 
 
 SQL_RADIUS = f"""with v as (select vec_id, cast(embedding as double[]) as e from embeddings),
-s as (select a.vec_id as id, b.vec_id as neighbor, round(list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9) as d from v a join v b on a.vec_id < {SCHEMA_IDS}),
+s as (select a.vec_id as id, b.vec_id as neighbor, round(list_sum(list_transform(list_zip(a.e, b.e), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 9) as d from v a join v b on a.vec_id % 50 = 0),
 r as (select *, row_number() over (partition by id order by d, neighbor) as rank from s) select id, neighbor, round(d, 6) as distance from r where d <= 1.0 and rank <= 5120"""
 
 
@@ -155,6 +155,12 @@ def q_greedy_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merging.greedy_matching(nn.unique_candidates(_near(spark, sf_dir, 3))).withColumn("score", F.round("score", 6))
 
 
+SQL_GREEDY = f"""with recursive {_sql_near(3)}, c as (select least(id, neighbor) as a, greatest(id, neighbor) as b, max(score) as score from nn group by 1, 2),
+e as (select row_number() over (order by score desc, a, b) as k, a, b, score from c), w(k, used, a, b, score, won) as (select 0::bigint, []::bigint[], 0::bigint, 0::bigint, 0::double, false
+union all select e.k, case when list_contains(used, e.a) or list_contains(used, e.b) then used else list_concat(used, [e.a, e.b]) end, e.a, e.b, e.score, not (list_contains(used, e.a) or list_contains(used, e.b)) from w join e on e.k = w.k + 1)
+select a, b, round(score, 6) as score from w where won"""
+
+
 def q_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = nn.unique_candidates(_near(spark, sf_dir, 1)).where("score >= 0.3")
     return connected_components(pairs)
@@ -252,7 +258,7 @@ def q_ivf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "q_knn_self": (q_knn_self, SQL_KNN), "q_mutual_pairs": (q_mutual_pairs, SQL_MUTUAL), "q_unique_candidates": (q_unique_candidates, SQL_UNIQUE), "q_dropped_candidates": (q_dropped_candidates, SQL_DROPPED),
     "q_knn_schema": (q_knn_schema, SQL_SCHEMA), "q_harmonized_docs": (q_harmonized_docs, SQL_HARMONIZED), "q_decision_log": (q_decision_log, SQL_LOG), "q_radius_search": (q_radius_search, SQL_RADIUS),
-    "q_synonym_round": (q_synonym_round, SQL_SYNONYM), "q_synonym_fixpoint": (q_synonym_fixpoint, None), "q_greedy_matching": (q_greedy_matching, None), "q_components": (q_components, SQL_COMPONENTS),
+    "q_synonym_round": (q_synonym_round, SQL_SYNONYM), "q_synonym_fixpoint": (q_synonym_fixpoint, None), "q_greedy_matching": (q_greedy_matching, SQL_GREEDY), "q_components": (q_components, SQL_COMPONENTS),
     "q_force_merge": (q_force_merge, SQL_FORCE), "q_force_merge_lineage": (q_force_merge_lineage, SQL_FORCE_LINEAGE), "q_score_stats": (q_score_stats, SQL_SCORES), "q_similarity_histogram": (q_similarity_histogram, SQL_HIST),
     "q_difference_histogram": (q_difference_histogram, SQL_DIFF), "q_decile_acceptance": (q_decile_acceptance, SQL_DECILE), "q_pairwise_cosine": (q_pairwise_cosine, SQL_PAIRWISE), "q_ivf_search": (q_ivf_search, None),
 }
