@@ -99,14 +99,21 @@ def replicated_curves(df: DataFrame, group: str, run: str, batch: str, value: st
     return kept.groupBy(group, batch).agg(F.count("*").alias("n"), F.round(F.avg(value), 6).alias("mean"), F.round(F.stddev_pop(value), 6).alias("std"))
 
 
-def merge_markers(df: DataFrame, value: str, marker: str = "|M|") -> DataFrame:
-    """One row: values without a marker, with equal parts only, with differing ones; largest and mean number of parts."""
+def dummies(df: DataFrame, key: str, items: str, kinds: list[str]) -> DataFrame:
+    """(key, a count for each kind, empty): how often each kind is among the items (an array) of a key's rows, and how many
+    of its rows have none."""
+    each = df.select(key, F.explode(F.when(F.size(items) > 0, F.col(items)).otherwise(F.array(F.lit("empty")))).alias("kind"))
+    return each.groupBy(key).pivot("kind", [*kinds, "empty"]).count().na.fill(0)
+
+
+def merge_markers(df: DataFrame, value: str, *keys: str, marker: str = "|M|") -> DataFrame:
+    """One row, or one for each iteration or other keys: values without a marker, with equal parts only, with differing ones; largest and mean number of parts."""
     from re import escape
 
     parts = F.split(F.col(value), escape(marker))
     kind = F.when(F.size(parts) == 1, "unmerged").when(F.size(F.array_distinct(parts)) == 1, "same").otherwise("differing")
-    rows = df.select(kind.alias("kind"), F.size(parts).alias("size"))
-    return rows.agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("unmerged", "same", "differing")], F.max("size").alias("largest"), F.round(F.avg("size"), 6).alias("mean"))
+    rows = df.select(*keys, kind.alias("kind"), F.size(parts).alias("size"))
+    return rows.groupBy(*keys).agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("unmerged", "same", "differing")], F.max("size").alias("largest"), F.round(F.avg("size"), 6).alias("mean"))
 
 
 def energy(lines: DataFrame, value: str = "value") -> DataFrame:

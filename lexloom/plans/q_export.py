@@ -26,12 +26,12 @@ select l.label as label, coalesce(n, 0)::bigint as n, round(100.0 * coalesce(n,
 def q_label_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judge answers made from conversation turns, parsed back to labels."""
     c = table(spark, sf_dir, "conversations")
-    said = F.element_at(F.array(F.lit("Sure.\nANSWER: **Mostly accurate**."), F.lit("answer: Accurate"), F.lit("Inaccurate, I think"), F.lit("Accuratest"), F.lit("Answer:")), (F.length("text") % 5 + 1))
-    label = tx.answer_label(said, ["accurate", "mostly accurate", "inaccurate"])
+    said = F.element_at(F.array(F.lit("Sure.\nANSWER: **Mostly accurate**."), F.lit("answer: Accurate"), F.lit("Inaccurate, I think"), F.lit("Accuratest"), F.lit("Answer:"), F.concat(F.lit("well, "), F.substring("text", 1, 9), F.lit(" ... **Answer: YES** ")), F.lit('ANSWER: "no".')), (F.length("text") % 7 + 1))
+    label = tx.answer_label(said, ["accurate", "mostly accurate", "inaccurate", "yes", "no"])
     return c.groupBy(label.alias("label"), tx.verdict_yes(said).alias("yes")).agg(F.count("*").alias("n"))
 
 
-SQL_PARSE = "select list_extract(['mostly accurate', 'accurate', 'inaccurate', 'invalid', 'invalid'], length(text) % 5 + 1) as label, false as yes, count(*)::bigint as n from conversations group by 1"
+SQL_PARSE = "select list_extract(['mostly accurate', 'accurate', 'inaccurate', 'invalid', 'invalid', 'yes', 'no'], length(text) % 7 + 1) as label, length(text) % 7 = 5 as yes, count(*)::bigint as n from conversations group by all"
 
 
 def q_inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,12 +104,12 @@ SQL_TRAIN = f"select case when u < 0.1 then 'test' when u < 0.15 then 'validatio
 
 
 def q_dummies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Event types per user as columns."""
-    kinds = ["click", "view", "purchase", "signup", "error"]
-    return table(spark, sf_dir, "events").groupBy("user_id").pivot("event_type", kinds).count().na.fill(0)
+    """Event types per user as columns; errors count as rows without a type."""
+    kinds = F.when(F.col("event_type") != "error", F.array("event_type")).otherwise(F.array().cast("array<string>"))
+    return evaluate.dummies(table(spark, sf_dir, "events").select("user_id", kinds.alias("kinds")), "user_id", "kinds", ["click", "view", "purchase", "signup"])
 
 
-SQL_DUMMIES = "select user_id, " + ", ".join(f"count(*) filter (event_type = '{k}')::bigint as {k}" for k in ("click", "view", "purchase", "signup", "error")) + " from events group by user_id"
+SQL_DUMMIES = "select user_id, " + ", ".join(f"count(*) filter (event_type = '{k}')::bigint as {k}" for k in ("click", "view", "purchase", "signup")) + ", count(*) filter (event_type = 'error')::bigint as empty from events group by user_id"
 
 
 def q_compression(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,11 +124,11 @@ SQL_COMPRESSION = "select lang, count(*)::bigint as n, round(sum(round((1 - leng
 
 def q_merge_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.when(F.col("p_partkey") % 3 == 0, F.concat("p_type", F.lit("|M|"), "p_type")).when(F.col("p_partkey") % 3 == 1, F.concat("p_type", F.lit("|M|"), "p_name", F.lit("|M|"), "p_type")).otherwise(F.col("p_type"))
-    return evaluate.merge_markers(table(spark, sf_dir, "part").select(v.alias("v")), "v")
+    return evaluate.merge_markers(table(spark, sf_dir, "part").select((F.col("p_size") % 4).cast("bigint").alias("iteration"), v.alias("v")), "v", "iteration")
 
 
-SQL_MARKERS = """select count(*) filter (p_partkey % 3 = 2)::bigint as unmerged, count(*) filter (p_partkey % 3 = 0)::bigint as same, count(*) filter (p_partkey % 3 = 1)::bigint as differing,
-3 as largest, round(avg(case p_partkey % 3 when 0 then 2 when 1 then 3 else 1 end), 6) as mean from part"""
+SQL_MARKERS = """select (p_size % 4)::bigint as iteration, count(*) filter (p_partkey % 3 = 2)::bigint as unmerged, count(*) filter (p_partkey % 3 = 0)::bigint as same, count(*) filter (p_partkey % 3 = 1)::bigint as differing,
+max(case p_partkey % 3 when 0 then 2 when 1 then 3 else 1 end)::bigint as largest, round(avg(case p_partkey % 3 when 0 then 2 when 1 then 3 else 1 end), 6) as mean from part group by 1"""
 
 
 def q_energy(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -113,14 +113,16 @@ select grp, vec_id as medoid, round(t, 6) as total from (select *, row_number()
 
 
 def q_embedded_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Part names embedded by the deterministic model; equal names are mutual neighbours at similarity 1."""
-    p = table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("id"))
-    vectors = models.embed_texts(p, "id", "p_name")
-    packed = nn.blocks(vectors, "id", "vec")
-    return nn.top_k(packed, packed, 1).select("id", "neighbor", F.round("score", 4).alias("score"))
+    """Part types with a number, embedded by the deterministic model, against the types that share it: equal texts meet at
+    similarity 1, the smallest id first, others stay below a half."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat("p_type", F.lit(" "), (F.col("p_partkey") % 97).cast("string")).alias("text"))
+    vectors = models.embed_texts(p, "id", "text")
+    near = nn.top_k(nn.blocks(vectors.where("id % 2 = 1"), "id", "vec"), nn.blocks(vectors.where("id % 2 = 0"), "id", "vec"), 1, radius=0.5)
+    return near.select("id", "neighbor", F.round("score", 4).alias("score"))
 
 
-SQL_EMBEDDED = "select min(p_partkey) as id, min(p_partkey) as neighbor, 1.0::double as score from part group by p_name"
+SQL_EMBEDDED = """with p as (select p_partkey as id, p_type || ' ' || (p_partkey % 97) as t from part)
+select a.id, min(b.id) as neighbor, 1.0::double as score from p a join p b using (t) where a.id % 2 = 1 and b.id % 2 = 0 group by a.id"""
 
 
 def q_generated_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -176,15 +176,17 @@ SQL_KEYWORD = r"select lang, count(*)::bigint as n from documents where len(list
 
 
 def q_json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Model answers in a fence around the events' JSON, parsed back."""
-    events = table(spark, sf_dir, "events")
-    said = F.concat(F.lit("```json\n"), "props", F.lit("\n```"))
-    parsed = tx.parse_model_json(said, "k int, k2 int")
-    plain = F.get_json_object("props", "$.k").cast("int")
-    return events.select("event_type", parsed.isNotNull().alias("ok"), plain.alias("k")).groupBy("event_type").agg(F.count_if("ok").alias("n_ok"), F.sum("k").alias("total"))
+    """Model answers around the numbers of orders: in a fence, with single quotes, with a trailing comma, with text around,
+    and without JSON."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey").cast("string")
+    forms = [F.concat(F.lit('```json\n{"k": '), k, F.lit("}\n```")), F.concat(F.lit("{'k': "), k, F.lit("}")), F.concat(F.lit('{"k": '), k, F.lit(", }")), F.concat(F.lit('Here: {"x": {"y": 1}, "k": '), k, F.lit("} - done")), F.concat(F.lit("none of "), k)]
+    said = F.element_at(F.array(*forms), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    parsed = o.select("o_orderstatus", tx.parse_model_json(said, "k bigint").alias("j"))
+    return parsed.groupBy("o_orderstatus").agg(F.count("j").alias("n_ok"), F.sum("j.k").alias("total"))
 
 
-SQL_JSON = "select event_type, count(*) filter (json_valid(props))::bigint as n_ok, sum(try_cast(json_extract_string(props, '$.k') as int))::bigint as total from events group by event_type"
+SQL_JSON = "select o_orderstatus, count(*) filter (o_orderkey % 5 <> 4)::bigint as n_ok, sum(o_orderkey) filter (o_orderkey % 5 <> 4)::bigint as total from orders group by 1"
 
 
 def q_normalizers(spark: SparkSession, sf_dir: str) -> DataFrame:

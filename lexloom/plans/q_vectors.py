@@ -54,11 +54,13 @@ SQL_UNIQUE = f"with {_sql_near(3)} select least(id, neighbor) as a, greatest(id,
 
 
 def q_dropped_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, dropped = nn.threshold_split(nn.unique_candidates(_near(spark, sf_dir, 3)), 0.5)
-    return dropped.withColumn("score", F.round("score", 6))
+    """Candidates below the threshold, and those whose score is no number, here every seventh."""
+    found = nn.unique_candidates(_near(spark, sf_dir, 3)).withColumn("score", F.when(F.col("a") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("score")))
+    _, dropped = nn.threshold_split(found, 0.5)
+    return dropped.withColumn("score", F.round(F.nanvl("score", F.lit(-2.0)), 6))
 
 
-SQL_DROPPED = SQL_UNIQUE.replace(">= 0.5", "< 0.5")
+SQL_DROPPED = f"with {_sql_near(3)}, c as (select least(id, neighbor) as a, greatest(id, neighbor) as b, max(score) as s from nn group by 1, 2) select a, b, case when a % 7 = 0 then -2.0::double else round(s, 6) end as score from c where a % 7 = 0 or s < 0.5"
 
 
 def _schema(v: DataFrame) -> DataFrame:
@@ -249,10 +251,10 @@ select grp, count(*)::bigint as n_pairs, round(min(s), 6) as low, round(avg(s),
 
 
 def q_ivf_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cell-partitioned index against every query whose id is divisible by 50."""
+    """The cell-partitioned index against every query whose id is divisible by 50: 12 of 16 cells, for a recall of 0.9."""
     v = _vectors(spark, sf_dir)
     index = search.VectorIndex(v, "vec_id", "embedding", "IndexIVFFlat", 16)
-    return index.search(v.where("vec_id % 50 = 0"), "vec_id", "embedding", 10, 8).select("id", "neighbor", F.round("score", 6).alias("distance"))
+    return index.search(v.where("vec_id % 50 = 0"), "vec_id", "embedding", 10, 12).select("id", "neighbor", F.round("score", 6).alias("distance"))
 
 
 QUERIES = {

@@ -34,12 +34,6 @@ def test_query_equals_sql(spark, db, name):
     assert rows_of(df.columns, df.collect(), order) == rows_of(result.columns, result.fetchall(), order)
 
 
-@pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
-def test_query_without_sql_runs(spark, name):
-    df = catalog.queries()[name](spark, SF)
-    assert df.columns and df.count() >= 0
-
-
 def test_entry(spark):
     import __spark_entry__
 
