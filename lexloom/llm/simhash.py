@@ -31,24 +31,31 @@ def _signed(x: int) -> int:
     return x - (1 << BITS) if x >> (BITS - 1) else x
 
 
-def fingerprints(df: DataFrame) -> DataFrame:
-    """(id, fp) of each id of (id, text): terms are lower-cased words, weighted by frequency and by length up to 16.
+def text_key(text: Column) -> Column:
+    """Tells the texts of rows that share an id apart."""
+    return F.xxhash64(text)
+
+
+def fingerprints(df: DataFrame, *keys: str) -> DataFrame:
+    """(keys, fp) of each different row of the keys of (keys, text), which are to tell texts apart: terms are lower-cased
+    words, weighted by frequency and by length up to 16.
 
     Longer words are rarer, so length stands in for a corpus statistic and fingerprints do not depend on other rows.
-    A bit is set if terms with more than half of the weight set it; a text without terms gives 0. Rows that share an
-    id vote together.
+    A bit is set if terms with more than half of the weight set it; a text without terms gives 0. Sums of 32 bits hold
+    the weight of some 16 million words in one text; a heavier text fails the job.
     """
-    terms = df.select("id", F.explode(F.split(F.lower(F.col("text")), r"[\s]+")).alias("term"))
+    terms = df.select(*keys, F.explode(F.split(F.lower(F.col("text")), r"[\s]+")).alias("term"))
     length = F.least(F.length("term"), F.lit(16)).cast("bigint")
-    votes = terms.select("id", F.xxhash64("term").alias("h"), (length * length).alias("w"))
+    votes = terms.select(*keys, F.xxhash64("term").alias("h"), (length * length).alias("w"))
     halves = F.lit((1 << 32) | 1)
     sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(halves) * F.col("w")).alias(f"v{j}") for j in range(32)]
-    counted = votes.groupBy("id").agg(F.sum("w").alias("w"), *sums)
+    counted = votes.groupBy(*keys).agg(F.sum("w").alias("w"), *sums)
+    counted = counted.withColumn("w", F.when(F.col("w") < 1 << 32, F.col("w")).otherwise(F.raise_error(F.lit("a text is too long for its votes")).cast("bigint")))
     # one small loop per document, rather than 64 branches in compiled code
     mask = F.lit((1 << 32) - 1)
     bit = lambda votes, at: F.when(votes * 2 > F.col("w"), F.call_function("shiftleft", F.lit(1).cast("bigint"), at)).otherwise(F.lit(0).cast("bigint"))
     bits = F.transform(F.array(*[f"v{j}" for j in range(32)]), lambda v, j: bit(v.bitwiseAND(mask), j).bitwiseOR(bit(F.shiftrightunsigned(v, 32), j + 32)))
-    return counted.select("id", F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(x)).alias("fp"))
+    return counted.select(*keys, F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(x)).alias("fp"))
 
 
 def as_hex(fp: Column) -> Column:
@@ -95,7 +102,8 @@ def next_lower(keys: DataFrame) -> DataFrame:
 
 
 def with_next(df: DataFrame) -> DataFrame:
-    """(id, text, next_id, next_text): the next row in descending id; after the last comes the first.
+    """(id, text, next_id, next_text, bucket, at): the next row in descending id; after the last comes the first. bucket and
+    at tell rows apart.
 
     Rows are dealt to buckets of neighbouring ids; the first row of each bucket is also sent to the bucket before it.
     """
@@ -108,7 +116,7 @@ def with_next(df: DataFrame) -> DataFrame:
     places = F.concat(F.array(F.struct(bucket.alias("bucket"), F.lit(0).alias("guest"))), F.coalesce(F.transform("hosts", lambda h: F.struct(h.alias("bucket"), F.lit(1).alias("guest"))), F.array().cast("array<struct<bucket:bigint,guest:int>>")))
     rows = hosted.select("id", "text", F.explode(places).alias("at")).select("id", "text", "at.bucket", "at.guest")
     w = Window.partitionBy("bucket").orderBy("guest", F.desc("id"), "text")
-    return rows.select("id", "text", "guest", F.lead("id").over(w).alias("next_id"), F.lead("text").over(w).alias("next_text")).where("guest = 0").drop("guest")
+    return rows.select("id", "text", "guest", "bucket", F.row_number().over(w).alias("at"), F.lead("id").over(w).alias("next_id"), F.lead("text").over(w).alias("next_text")).where("guest = 0").drop("guest")
 
 
 def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", every: int = 50, radius: int = RADIUS) -> DataFrame:
@@ -119,22 +127,23 @@ def fingerprint_report(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     divisible by ``every``, the number of other documents within ``radius`` of its fingerprint; null for other ids.
 
     Null texts count as empty; rows without an id are left out; ids are expected to be unique: rows that repeat one
-    share one fingerprint, of all their texts. An empty table gives no rows; other columns are ignored.
+    are each paired with one of the rows of the next id. An empty table gives no rows; other columns are ignored.
     """
     base = id_text(docs, id_col, text_col).where("id is not null").select(F.col("id").cast("bigint").alias("id"), "text")
     if base.isEmpty():
         return base.sparkSession.createDataFrame([], "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_near bigint")
-    own = stored(fingerprints(base), "prints")
+    own = stored(fingerprints(base.withColumn("tid", text_key(F.col("text"))), "id", "tid"), "prints")
     half = F.floor(F.length("text") / 2).cast("int")
-    edited = with_next(base).select("id", "next_id", F.length("text").cast("bigint").alias("n_chars"), F.concat(F.substr("text", F.lit(1), F.length("text") - half), F.substr("next_text", F.lit(1), half)).alias("text"))
-    meta = edited.select("id", "next_id", "n_chars", F.sha2("text", 256).alias("edited_sha256"))
-    changed = fingerprints(edited).withColumnRenamed("fp", "efp")
+    both = with_next(base).select("bucket", "at", "id", text_key(F.col("text")).alias("tid"), "next_id", text_key(F.col("next_text")).alias("ntid"), F.length("text").cast("bigint").alias("n_chars"), F.concat(F.substr("text", F.lit(1), F.length("text") - half), F.substr("next_text", F.lit(1), half)).alias("text"))
+    edited = both.select("bucket", "at", "id", "tid", "next_id", "ntid", "n_chars", F.sha2("text", 256).alias("edited_sha256"), "text")
+    # what is told of the edited text groups its votes, so that it is made once
+    changed = fingerprints(edited, "bucket", "at", "id", "tid", "next_id", "ntid", "n_chars", "edited_sha256").withColumnRenamed("fp", "efp")
     sizes = stored(own.groupBy("fp").agg(F.count("*").alias("n")), "sizes")
     queries = own.where(F.col("id") % every == 0)
     pairs = within_radius(queries, sizes, radius).join(sizes, "fp").groupBy(F.col("query").alias("fp")).agg(F.sum("n").alias("others"))
     counts = sizes.join(queries.select("fp").distinct(), "fp", "left_semi").join(pairs, "fp", "left").select("fp", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_near"))
-    searched = queries.join(counts, "fp").select("id", "n_near")
-    every_one = meta.join(own, "id").join(changed, "id").join(own.select(F.col("id").alias("next_id"), F.col("fp").alias("nfp")), "next_id").join(searched, "id", "left")
+    searched = queries.join(counts, "fp").select("id", "tid", "n_near")
+    every_one = changed.join(own, ["id", "tid"]).join(own.select(F.col("id").alias("next_id"), F.col("tid").alias("ntid"), F.col("fp").alias("nfp")), ["next_id", "ntid"]).join(searched, ["id", "tid"], "left")
     return every_one.select(
         F.col("id").alias("doc_id"), "n_chars", "edited_sha256", as_hex(F.col("fp")).alias("fingerprint"), as_hex(F.col("efp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("nfp")).alias("near_next"), "n_near",
@@ -149,7 +158,7 @@ def near_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near class. Edge cases are those of ``fingerprint_report``.
     """
     base = id_text(docs, id_col, text_col).where("id is not null").select(F.col("id").cast("bigint").alias("id"), "text")
-    own = stored(fingerprints(base), "prints")
+    own = stored(fingerprints(base.withColumn("tid", text_key(F.col("text"))), "id", "tid"), "prints")
     classes = stored(own.groupBy("fp").agg(F.min("id").alias("class_id")), "classes")
     found = within_radius(own.where(F.col("id") % every == 0), classes, radius)
     named = found.join(classes.withColumnRenamed("class_id", "near_class"), "fp").select(F.col("query").alias("fp"), "near_class", "distance").join(classes, "fp")

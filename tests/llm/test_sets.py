@@ -122,6 +122,15 @@ def test_fingerprint_edges(spark):
     assert simhash.fingerprint_report(df.where("doc_id = 3")).first().near_next == 1.0
 
 
+def test_equal_texts_have_equal_fingerprints_whatever_their_ids(spark):
+    base = documents(spark, {1: "a b c dd eee", 2: "x y z"})
+    more = documents(spark, {1: "quite other words here", 3: "a b c dd eee"})
+    rows = simhash.fingerprint_report(base.union(more).union(base).union(base)).collect()
+    assert len(rows) == 8 and sorted(r.doc_id for r in rows) == [1, 1, 1, 1, 2, 2, 2, 3]
+    value = {r.doc_id: r.fingerprint for r in rows if r.doc_id != 1}
+    assert sum(r.fingerprint == value[3] for r in rows) == 4 and len({r.fingerprint for r in rows}) == 3
+
+
 def test_next_lower_over_many_buckets(spark, monkeypatch):
     monkeypatch.setattr(simhash, "ORDERED", 5)
     keys = sorted(random.Random(3).sample(range(-(10**7), 10**7), 60))
