@@ -7,7 +7,7 @@ Exact at any size, in steps that lose no link:
    H + 1 parts and a few more, so some part that is not empty agrees as a whole. A set goes on only if one of its parts,
    hashed, equals that of another set. Common passages do not pass by themselves.
 3. Order. The survivors' shingles are counted; those found once are dropped (they still count in sizes and places), the
-   others are put in one global order, rare first.
+   others are put in one global order, rare first, those that are frequent in a sample of sets last.
 4. Candidates share a shingle in their prefixes, within the length and place bounds. Per shingle, the set with the
    fewest unshared shingles is the pivot, and the others are only compared with it: a group of copies around an
    original costs as many pairs as it has members. Then only shingles whose sets are still in different components
@@ -39,6 +39,9 @@ SHINGLE_WORDS = 4
 NUM, DEN = 85, 100
 #: Sets with one shingle that meet each other in one task; of more, blocks of them meet in tasks of their own.
 BLOCK_SETS = 256
+#: Sets by whose shingles frequent ones are known, those with the smallest hash of their id, and how many of them a frequent
+#: shingle is in. What is frequent only decides on the order of shingles and on how they are dealt out, not on results.
+SAMPLE_SETS, HOT_SETS = 20_000, 100
 #: Shingles in one verification group, besides those of the set that traverses it.
 GROUP_SHINGLES = 200_000
 
@@ -83,41 +86,42 @@ def signatures(found: np.ndarray, classes: Classes) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
-_SETS = "id bigint, n bigint, d1 bigint, d2 bigint, shared boolean, sigs array<bigint>"
+def _sets(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = Hashes()
+        for batch in portions(batches):
+            rows = []
+            for text in batch.column("text").cast(pa.binary()):
+                found = shingle_hashes(text.as_py(), k, hashes)
+                rows.append((len(found), *np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, pa.int64()) for c in zip(*rows))], names=["id", "n", "d1", "d2"])
+
+    return run
+
 
+def _posts(k: int, num: int, den: int):
+    """(d1, sig) of the sets' signatures. Of the sets of a portion that share one only the first hands it on; for each of
+    these sets two rows with a signature of its own and different digests say that it is shared."""
 
-def _sets(k: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, hashes = Classes(num, den), Hashes()
         for batch in portions(batches):
-            sizes, first, second, sigs = [], [], [], []
+            digests, sigs = [], []
             for text in batch.column("text").cast(pa.binary()):
                 found = shingle_hashes(text.as_py(), k, hashes)
-                a, b = np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64)
-                sizes.append(len(found))
-                first.append(a)
-                second.append(b)
-                sigs.append(signatures(found, classes) if len(found) else np.empty(0, np.int64))
-            # within the batch only the first set with a signature hands it on; all with it are known to share it
-            counts = np.array([len(s) for s in sigs], np.int64)
-            every, row = np.concatenate([*sigs, np.empty(0, np.int64)]), np.repeat(np.arange(len(sigs)), counts)
-            order = np.lexsort((row, every))
-            every, row = every[order], row[order]
-            new = np.ones(len(every), bool)
-            new[1:] = every[1:] != every[:-1]
-            group = np.cumsum(new) - 1
-            digest = np.array(first, np.int64)[row]
-            starts = np.flatnonzero(new)
-            mixed = (np.minimum.reduceat(digest, starts) != np.maximum.reduceat(digest, starts))[group] if len(every) else new
-            shared = np.zeros(len(sigs), bool)
-            shared[row[mixed]] = True
-            kept, owner = every[new], row[new]
-            order = np.argsort(owner, kind="stable")
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sigs)))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(sizes, pa.int64()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(shared), pa.ListArray.from_arrays(pa.array(offsets), pa.array(kept[order]))],
-                names=["id", "n", "d1", "d2", "shared", "sigs"],
-            )
+                if len(found):
+                    digests.append(np.frombuffer(xxhash.xxh3_128_digest(found.tobytes()), np.int64)[0])
+                    sigs.append(signatures(found, classes))
+            if not sigs:
+                continue
+            every, digest = np.concatenate(sigs), np.repeat(np.array(digests, np.int64), [len(s) for s in sigs])
+            order = np.argsort(every, kind="stable")
+            every, digest = every[order], digest[order]
+            starts = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+            mixed = np.minimum.reduceat(digest, starts) != np.maximum.reduceat(digest, starts)
+            shared = np.unique(digest[np.repeat(mixed, np.diff(np.append(starts, len(every))))])
+            own = mix(shared.view(np.uint64) ^ np.uint64(0x5348415245)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([digest[starts], shared, shared ^ 1])), pa.array(np.concatenate([every[starts], own, own]))], names=["d1", "sig"])
 
     return run
 
@@ -193,23 +197,30 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     empty table gives no rows.
     """
     base = id_text(docs, id_col, text_col).where("id is not null").select(F.col("id").cast("bigint").alias("id"), "text")
-    sets = stored(base.mapInArrow(_sets(k, num, den), _SETS), "sets")
+    sets = stored(base.mapInArrow(_sets(k), "id bigint, n bigint, d1 bigint, d2 bigint"), "sets")
     reps = stored(sets.where("n > 0").groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "reps")
 
-    posts = sets.where("n > 0").select("d1", F.explode("sigs").alias("sig"))
+    # signatures and shingles are made on their way into a shuffle: as tables they would take as much disk as the texts
     w = Window.partitionBy("sig")
-    met = posts.select("d1", F.min("d1").over(w).alias("low"), F.max("d1").over(w).alias("high")).where("low <> high").select("d1")
-    passed = met.union(sets.where("shared").select("d1")).distinct()
-    close = stored(reps.join(passed, "d1", "left_semi").select(F.col("rep").alias("id"), "n"), "close")
+    met = base.mapInArrow(_posts(k, num, den), "d1 bigint, sig bigint").select("d1", F.min("d1").over(w).alias("low"), F.max("d1").over(w).alias("high")).where("low <> high").select("d1")
+    close = stored(reps.join(met.distinct(), "d1", "left_semi").select(F.col("rep").alias("id"), "n"), "close")
 
     texts = base.join(small(close.select("id")), "id", "left_semi")
+    shingled = lambda df: df.mapInArrow(_shingles(k), "id bigint, tokens array<bigint>")
     # only rows that repeat an id are shuffled to find one of each
-    repeated = small(stored(sets.groupBy("id").count().where("count > 1").select("id"), "repeated"))
-    once, again = (texts.join(repeated, "id", how).mapInArrow(_shingles(k), "id bigint, tokens array<bigint>") for how in ("left_anti", "left_semi"))
-    tokens = stored(once.union(again.dropDuplicates(["id"])), "tokens")
-    each = tokens.select("id", F.explode("tokens").alias("token"))
-    counted = each.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    ordered = each.join(counted, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    repeated = stored(sets.groupBy("id").count().where("count > 1").select("id"), "repeated")
+    tokens = shingled(texts)
+    if not repeated.isEmpty():
+        once, again = (shingled(texts.join(small(repeated), "id", how)) for how in ("left_anti", "left_semi"))
+        tokens = once.union(again.dropDuplicates(["id"]))
+    sample = close.select("id").orderBy(F.xxhash64("id"), "id").limit(SAMPLE_SETS)
+    sampled = shingled(texts.join(F.broadcast(sample), "id", "left_semi")).select(F.explode(F.array_distinct("tokens")).alias("token"))
+    hot = stored(sampled.groupBy("token").count().where(F.col("count") >= HOT_SETS).select("token", F.lit(1).alias("hot")), "hot")
+    # at most SAMPLE_SETS / HOT_SETS times the shingles of a set; these come last in the order, uncounted and spread
+    each = tokens.select("id", F.explode("tokens").alias("token")).join(small(hot), "token", "left")
+    spread = F.when(F.col("hot") == 1, F.pmod(F.xxhash64("id"), F.lit(1024))).otherwise(F.lit(0))
+    counted = each.withColumn("salt", spread).withColumn("df", F.count("*").over(Window.partitionBy("token", "salt")))
+    ordered = counted.where("hot = 1 or df > 1").groupBy("id").agg(F.array_sort(F.collect_list(F.struct(F.when(F.col("hot") == 1, F.lit(1 << 60)).otherwise(F.col("df")).alias("df"), "token"))).alias("t"))
     shared = stored(ordered.join(close, "id").select("id", "n", F.col("t.token").alias("tokens"), (F.col("n") - F.size("t")).alias("rare")), "shared")
 
     ceil_of = lambda x, d: F.floor((x + (d - 1)) / d).cast("bigint")

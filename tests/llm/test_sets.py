@@ -64,11 +64,19 @@ def brute_components(texts, k=4, num=85, den=100):
 def test_jaccard_components(spark, seed, rule, monkeypatch):
     monkeypatch.setattr(jaccard, "GROUP_SHINGLES", 300)  # salted verification groups
     monkeypatch.setattr(jaccard, "BLOCK_SETS", 2)
+    monkeypatch.setattr(jaccard, "HOT_SETS", (100, 4, 2)[seed])
     texts = copies(seed)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(documents(spark, texts), "doc_id", "text", *rule).collect()}
     assert got == brute_components(texts, *rule)
 
 
+def test_jaccard_of_repeated_rows(spark):
+    df = documents(spark, {5: "a b c d e f g h i j k l m n o p q r s t u v w x y z", 9: "A b c d e f g h i j k l m n o p q r s t u v w x y z", 7: "one", 8: None})
+    rows = jaccard.jaccard_components(df.union(df).union(documents(spark, {7: "x"}).selectExpr("cast(null as long) as doc_id", "text", "id", "n", "tokens"))).collect()
+    assert sorted(map(tuple, rows)) == sorted([(5, 23, 5), (9, 23, 5), (7, 1, 7), (8, 0, 8)] * 2)
+    assert jaccard.jaccard_components(df.limit(0)).count() == 0
+
+
 def test_signatures_lose_no_pair():
     rng = np.random.default_rng(4)
     classes = jaccard.Classes(85, 100)
