@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions import text as tx
 from lexloom.operators import evaluate, export, search
 from lexloom.plans.q_text import LINES, first_words, lines, table
-from lexloom.plans.shared import shared_dir
+from lexloom.plans.shared import scratch
 from lexloom.streaming import vocabulary as sv
 
 
@@ -162,9 +160,9 @@ def q_stream_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vocabulary of the documents as a stream of micro-batches; equal to the batch result."""
     docs = spark.readStream.schema("doc_id bigint, text string, lang string, source string, n_chars bigint").option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/documents.parquet*")
     rows = docs.select(F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "").select(first_words().alias("descriptor"))
-    name = f"vocabulary_{uuid.uuid4().hex}"
-    sv.start_vocabulary(rows, name, f"{shared_dir(spark)}/lexloom/{name}").awaitTermination()
-    return spark.table(name)
+    path = scratch(spark, "vocabulary")
+    sv.start_vocabulary(rows, f"{path}/table", f"{path}/state").awaitTermination()
+    return sv.vocabulary_so_far(spark, f"{path}/table")
 
 
 SQL_STREAM = f"with {LINES} select array_to_string(list_slice(regexp_split_to_array(trim(line), ' +'), 1, 3), ' ') as descriptor, count(*)::bigint as n from lines group by 1"

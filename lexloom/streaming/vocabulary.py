@@ -20,9 +20,20 @@ def running_vocabulary(stream: DataFrame, descriptor: str = "descriptor") -> Dat
     return stream.select(vocab_descriptor(descriptor).alias("descriptor")).groupBy("descriptor").agg(F.count("*").alias("n"))
 
 
-def start_vocabulary(stream: DataFrame, name: str, checkpoint: str, descriptor: str = "descriptor"):
-    """The running vocabulary into a memory table of that name, over all files that are there."""
-    return running_vocabulary(stream, descriptor).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def start_vocabulary(stream: DataFrame, path: str, checkpoint: str, descriptor: str = "descriptor"):
+    """The running vocabulary over all files that are there: per micro-batch the descriptors whose counts changed, as a table
+    (descriptor, n) in a folder of its own, which a batch that is run again overwrites. Nothing is held on the driver."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return running_vocabulary(stream, descriptor).writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def vocabulary_so_far(spark: SparkSession, path: str) -> DataFrame:
+    """(descriptor, n): of each descriptor the count that the latest batch gave it."""
+    rows = spark.read.schema("descriptor string, n bigint, batch bigint").parquet(path)
+    return rows.groupBy("descriptor").agg(F.max_by("n", "batch").alias("n"))
 
 
 def start_growth(stream: DataFrame, path: str, checkpoint: str, descriptor: str = "descriptor"):

@@ -81,7 +81,7 @@ def test_stream_equals_batch(spark, tmp_path):
     for k in range(2):
         spark.createDataFrame(rows[2 * k : 2 * k + 2], "descriptor string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = lambda: vocabulary.document_stream(spark, str(tmp_path / "in"), "descriptor string")
-    vocabulary.start_vocabulary(stream(), "vocab_test", str(tmp_path / "c1")).awaitTermination()
-    assert dict(map(tuple, spark.table("vocab_test").collect())) == {"a": 2, "b": 1, "c": 1}
+    vocabulary.start_vocabulary(stream(), str(tmp_path / "v"), str(tmp_path / "c1")).awaitTermination()
+    assert dict(map(tuple, vocabulary.vocabulary_so_far(spark, str(tmp_path / "v")).collect())) == {"a": 2, "b": 1, "c": 1}
     vocabulary.start_growth(stream(), str(tmp_path / "g"), str(tmp_path / "c2")).awaitTermination()
     assert sorted(r.descriptor for r in spark.read.parquet(str(tmp_path / "g")).collect()) == ["a", "b", "c"]
