@@ -101,6 +101,15 @@ def test_scores_of_edge_tables(spark):
     assert [(r.doc_id, r.held_out, r.n_known) for r in lm.score_texts(null).collect()] == [(None, False, 2)]
 
 
+def test_scores_of_long_texts(spark):
+    """One word of a million characters, a text of one word a hundred thousand times, and one without any."""
+    texts = {1: "x" * 1_000_000, 2: "word " * 100_000, 3: " \t" * 100_000, 4: "word"}
+    got = {r.doc_id: r for r in lm.score_texts(documents(spark, texts)).collect()}
+    assert [got[i].n_tokens for i in (1, 2, 3, 4)] == [2, 100_001, 1, 2]
+    want = brute_scores(texts)
+    assert all(got[i].score == pytest.approx(want[i][5]) and got[i].base_score == pytest.approx(want[i][4]) for i in texts)
+
+
 def test_held_out_scores_beat_the_base(spark):
     rows = [r for r in queries.op8_lm(spark, "/root/testdata/sf0.01").collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
@@ -265,6 +274,14 @@ def test_matrices_are_multiplied_up_a_tree(spark, model, library):
             assert r.ids == library.encode(texts[r.doc_id])
 
 
+def test_a_word_without_a_quick_path(own, library):
+    """Words in which the longest piece is often wrong: the search steps back."""
+    rng = random.Random(31)
+    for _ in range(400):
+        word = "".join(rng.choice(["a", "aa", "an", "the", "ing", "tion", "st", "er"]) for _ in range(rng.randrange(1, 40)))
+        assert own.flat(own.whole(pieces.SPACE + word)) == library.encode(word)
+
+
 def test_pieces_query_round_trips(spark):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = queries.op10_pieces(spark, SF).collect()
