@@ -240,7 +240,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     placed = stored(prefix.join(part, "id", "left").withColumn("component", F.coalesce("component", "id")), "placed")
     split = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks")).where("low <> high")
-    rest = placed.join(stored(split.select("token", "blocks"), "split"), "token")
+    rest = placed.join(small(stored(split.select("token", "blocks"), "split")), "token")
     index = F.col("a.n") - ceil_of(F.col("a.n") * 2 * num, num + den) + 1
     smaller = (F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.id") < F.col("b.id")))
     block, every = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
