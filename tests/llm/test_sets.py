@@ -10,6 +10,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from lexloom.llm import decontam, jaccard, queries, simhash, spans
@@ -121,6 +122,19 @@ def test_fingerprints(spark):
     assert edited_.mean() > next_.mean() + 0.1
 
 
+def test_votes_equal_brute_force(spark):
+    rng = random.Random(14)
+    texts = {i: " ".join(rng.choice(["A", "bb", "Ccc", "word" * 9, "é", "😀x", "tail\n"]) + rng.choice(["", str(rng.randrange(9))]) for _ in range(rng.randrange(1, 80))) for i in range(60)}
+    texts |= {100: "", 101: "   ", 102: "same " * 5000}
+    for r in simhash.fingerprint_report(documents(spark, texts)).collect():
+        votes, total = [0] * 64, 0
+        for term in re.split("[ \\t\\n\\x0b\\f\\r]+", texts[r.doc_id].lower()):
+            weight, value = min(len(term), 16) ** 2, xxhash.xxh64_intdigest(term.encode(), 42)
+            total += weight
+            votes = [v + weight * (value >> k & 1) for k, v in enumerate(votes)]
+        assert int(r.fingerprint, 16) == sum(1 << k for k, v in enumerate(votes) if 2 * v > total)
+
+
 def test_fingerprint_edges(spark):
     df = documents(spark, {5: None, 10_000: "a b", 3: "", 2**40: "a b", -7: "😀"})
     rows = {r.doc_id: r for r in simhash.fingerprint_report(df).collect()}
