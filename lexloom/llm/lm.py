@@ -39,7 +39,7 @@ from lexloom.llm.words import Hashes, mix, split_words
 from lexloom.plans.shared import stored
 
 #: Bytes of text after which a chunk is closed.
-CHUNK_BYTES = 14 << 20
+CHUNK_BYTES = 10 << 20
 #: Hash ranges into which a chunk's n-grams are cut, and groups whose sums meet in the next round.
 RANGES = 256
 #: Bytes of text in a group of chunks; one range of a group is one task's.
