@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lexloom.llm.columns import id_text
-from lexloom.llm.words import Hashes, mix, portions, shingle_hashes
+from lexloom.llm.words import Hashes, mix, portions, shingle_hashes, tidy
 from lexloom.plans.components import connected_components
 from lexloom.plans.shared import small, stored
 
@@ -87,6 +87,7 @@ def signatures(found: np.ndarray, classes: Classes) -> np.ndarray:
 
 
 def _sets(k: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in portions(batches):
@@ -103,6 +104,7 @@ def _posts(k: int, num: int, den: int):
     """(d1, sig) of the sets' signatures. Of the sets of a portion that share one only the first hands it on; for each of
     these sets two rows with a signature of its own and different digests say that it is shared."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, hashes = Classes(num, den), Hashes()
         for batch in portions(batches):
@@ -127,6 +129,7 @@ def _posts(k: int, num: int, den: int):
 
 
 def _shingles(k: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in portions(batches):

@@ -26,12 +26,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.columns import id_text
-from lexloom.llm.words import portions
+from lexloom.llm.words import portions, tidy
 from lexloom.plans.shared import stored
 
 TOKENIZER_DIR = "/opt/tokenizers"
 MODEL = "piece_bpe_32k.model"
 CHUNK_CHARS = 32_768
+#: Bytes of chunks that are worked on at once: their rows and ids as Python objects take many times their bytes.
+CHUNK_BYTES = 1 << 20
 #: Words, none longer than KEPT_CHARS, and pairs of pieces that a task keeps.
 KEPT_WORDS, KEPT_CHARS = 300_000, 64
 KEPT_PAIRS = 300_000
@@ -284,6 +286,7 @@ def product(a: dict, b: dict) -> dict:
 
 
 def _encoded(model: bytes, back: bool):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Pieces(model)
         for batch in portions(batches):
@@ -297,6 +300,7 @@ def _encoded(model: bytes, back: bool):
 def _cut(chunk: int, around: int):
     names = ["uid", "id", "no", "last", "left", "body", "right"]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
             for uid, i, text in zip(batch.column("uid").to_pylist(), batch.column("id").to_pylist(), batch.column("text")):
@@ -332,9 +336,10 @@ def _matrix(row: list[dict]) -> dict:
 
 
 def _matrices(model: bytes):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Pieces(model)
-        for batch in batches:
+        for batch in portions(batches, "body", CHUNK_BYTES):
             found = [_row(own.transfer(r["left"], r["body"], r["right"], r["no"] == 0, r["no"] == r["last"])) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("no"), pa.array(found, _ARROW_MATRIX)], names=["uid", "no", "matrix"])
 
@@ -375,12 +380,13 @@ def _states(matrices: DataFrame, block: int) -> DataFrame:
 
 
 def _traced(model: bytes, back: bool):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Pieces(model)
-        for batch in batches:
-            rows = [own.backtrace(r["left"], r["body"], r["right"], _state(r["entry"]), _state(r["exit"])) for r in batch.to_pylist()]
+        for batch in portions(batches, "body", CHUNK_BYTES):
+            rows = [np.array(own.backtrace(r["left"], r["body"], r["right"], _state(r["entry"]), _state(r["exit"])), np.int32) for r in batch.to_pylist()]
             # a chunk's ids are whole characters, so it is decoded by itself; only the first has the space before the text
-            texts = pa.array([own.decode(np.array(r, np.int32), no == 0) if back else None for r, no in zip(rows, batch.column("no").to_pylist())], pa.string())
+            texts = pa.array([own.decode(r, no == 0) if back else None for r, no in zip(rows, batch.column("no").to_pylist())], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("uid"), batch.column("id"), batch.column("no"), pa.array(rows, pa.list_(pa.int32())), texts], names=["uid", "id", "no", "part", "text"])
 
     return run
@@ -423,6 +429,7 @@ def decode(encoded: DataFrame, model: bytes, id_col: str = "doc_id", ids_col: st
     """(doc_id, ids, text) for each input row; null ids and empty lists give an empty text. Inverse of ``encode`` for
     every text without the character U+2581, which the model takes for a space."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Pieces(model)
         for batch in batches:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.columns import id_text
-from lexloom.llm.words import Hashes, mix, portions
+from lexloom.llm.words import Hashes, mix, portions, tidy
 from lexloom.plans.shared import stored
 
 #: Buckets in each of the two tables.
@@ -66,6 +66,7 @@ def places(found: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _counted(buckets: int):
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target, hashes = np.zeros(2 * buckets + 1, np.int64), np.zeros(2 * buckets + 1, np.int64), Hashes()
         for batch in portions(batches):
@@ -85,6 +86,7 @@ def _weighed(own: np.ndarray, others: np.ndarray):
         one, two = (ratios[at] for at in places(features(text, hashes), len(ratios) // 2))
         return float(np.where(np.abs(one) < np.abs(two), one, two).sum())
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = Hashes()
         for batch in portions(batches):

@@ -8,12 +8,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lexloom.llm import jaccard, lm, pieces, queries, quality
+from lexloom.llm import jaccard, lm, pieces, queries, quality, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -274,6 +275,37 @@ def test_matrices_are_multiplied_up_a_tree(spark, model, library):
             assert r.ids == library.encode(texts[r.doc_id])
 
 
+def test_chunks_are_worked_on_in_portions(model, own, library, monkeypatch):
+    """However many chunks a batch has, only a few are opened at once; ids and texts stay whole."""
+    text, size, begin = "the thing 日本 " * 900, 512, pieces._pair(pieces.BEGIN)
+    cut = next(pieces._cut(size, 2 * own.longest)(iter([pa.record_batch({"uid": [7], "id": [1], "text": [text]})])))
+    monkeypatch.setattr(pieces, "CHUNK_BYTES", 2000)
+    found = list(pieces._matrices(model)(iter([cut])))
+    assert len(found) > 5 and max(b.num_rows for b in found) < 5
+    path = pieces.settle([pieces._matrix(r["matrix"]) for b in found for r in b.to_pylist()])
+    ends = [pa.array([pieces._pair(p[k]) for p in path], pieces._ARROW_STATE) for k in (0, 1)]
+    assert ends[0][0].as_py() == ends[1][-1].as_py() == begin
+    whole = pa.RecordBatch.from_arrays([*cut.columns, *ends], names=[*cut.schema.names, "entry", "exit"])
+    parts = list(pieces._traced(model, True)(iter([whole])))
+    assert len(parts) > 5 and max(b.num_rows for b in parts) < 5
+    rows = [r for b in parts for r in b.to_pylist()]
+    assert [r["no"] for r in rows] == list(range(cut.num_rows))
+    assert [i for r in rows for i in r["part"]] == library.encode(text) and "".join(r["text"] for r in rows) == text
+
+
+def test_memory_is_given_back_when_a_task_ends(monkeypatch):
+    given = []
+    monkeypatch.setattr(words, "give_back", lambda: given.append(1))
+    run = words.tidy(lambda batches: (b + 1 for b in batches))
+    assert list(run(iter([1, 2]))) == [2, 3] and given == [1]
+    stopped = run(iter([1, 2]))
+    assert next(stopped) == 2 and given == [1]
+    stopped.close()
+    assert given == [1, 1]
+    tasks = [quality._counted(8), jaccard._sets(4), jaccard._posts(4, 85, 100), jaccard._shingles(4), pieces._encoded(pieces.load_model(), True)]
+    assert [list(task(iter([]))) is not None for task in tasks] and len(given) == 2 + len(tasks)
+
+
 def test_a_word_without_a_quick_path(own, library):
     """Words in which the longest piece is often wrong: the search steps back."""
     rng = random.Random(31)
