@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.columns import id_text
-from lexloom.llm.words import Hashes, mix, split_words
+from lexloom.llm.words import Hashes, give_back, mix, split_words, tidy
 from lexloom.plans.shared import stored
 
 #: Bytes of text after which a chunk is closed.
@@ -78,6 +78,18 @@ def _keys(data: bytes) -> np.ndarray:
     return np.cumsum(_unpack(data), dtype=np.uint64)
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct values, where each comes first, and each value's index among them: np.unique in half its memory."""
+    order = np.argsort(values, kind="stable").astype(np.int32)
+    values = values[order]
+    new = np.append(True, values[1:] != values[:-1])[: len(values)]
+    keys, first = values[new], order[new]
+    del values
+    at = np.empty(len(order), np.int32)
+    at[order] = np.cumsum(new, dtype=np.int32) - np.int32(1)
+    return keys, first, at
+
+
 class Chunk:
     """Some texts as hashed tokens: each text's words and then END. ``at[k]`` has, for each token, the index of the n-gram
     of k + 1 tokens that ends there among the sorted distinct ones ``keys[k]``; -1 for the third order at a text's start.
@@ -90,23 +102,27 @@ class Chunk:
         self.lengths = np.array([len(r) + 1 for r in rows[::2]], np.int64)
         self.starts = np.concatenate([[0], np.cumsum(self.lengths)[:-1]]).astype(np.int64)
         tokens = np.concatenate(rows)
-        del rows
+        del rows, hashes
         before = np.roll(tokens, 1)
         before[self.starts] = START
         pairs = mix(before * FACTOR + tokens)
-        triples = mix(np.roll(before, 1) * FACTOR + pairs)
-        inner = np.ones(len(tokens), bool)
-        inner[self.starts] = False
         self.keys, self.first, self.at = [], [], []
-        for values, some in ((tokens, None), (pairs, None), (triples, inner)):
-            keys, first, at = np.unique(values if some is None else values[some], return_index=True, return_inverse=True)
-            if some is not None:
-                every = np.full(len(tokens), -1, np.int32)
-                every[some] = at
-                first, at = np.flatnonzero(some)[first], every
-            self.keys.append(keys)
-            self.first.append(first.astype(np.int32))
-            self.at.append(at.astype(np.int32))
+        self._add(tokens)
+        del tokens
+        inner = np.ones(len(pairs), bool)
+        inner[self.starts] = False
+        triples = mix(np.roll(before, 1)[inner] * FACTOR + pairs[inner])
+        del before
+        self._add(pairs)
+        del pairs
+        self._add(triples)
+        every = np.full(len(inner), -1, np.int32)
+        every[inner] = self.at[2]
+        self.at[2], self.first[2] = every, np.flatnonzero(inner)[self.first[2]].astype(np.int32)
+
+    def _add(self, values: np.ndarray) -> None:
+        for own, found in zip((self.keys, self.first, self.at), _distinct(values)):
+            own.append(found)
 
     def counts(self, train: np.ndarray) -> list[np.ndarray]:
         """How often each n-gram occurs in the texts that train."""
@@ -121,6 +137,7 @@ def _cut(keys: np.ndarray, parts: int, low: int = 0, high: int | None = None) ->
     return ((low + p, a, b) for p, (a, b) in enumerate(zip(edge, edge[1:])) if b > a)
 
 
+@tidy
 def _stored_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def close() -> pa.RecordBatch:
         # what is carried on is the tokens: words in lower case, single spaces
@@ -162,9 +179,13 @@ def _pieces(ranges: int):
                 found = []
                 for kind, (keys, counts) in enumerate(zip(chunk.keys, chunk.counts(train))):
                     found += [(kind, p, row["chunk"], _delta(keys[a:b]), _pack(counts[a:b])) for p, a, b in _cut(keys, ranges)]
-                yield pa.RecordBatch.from_arrays(_rows(found), schema=_SCHEMA)
+                del chunk, texts, keys, counts
+                out = pa.RecordBatch.from_arrays(_rows(found), schema=_SCHEMA)
+                del found
+                yield out
+                del out
 
-    return run
+    return tidy(run)
 
 
 def _merged(rows: list[dict]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -235,7 +256,17 @@ def backoff_mass(contexts: list[tuple[int, int]], once: int) -> float:
     return high
 
 
-def traverse(exists: list[np.ndarray], arcs: list[np.ndarray], fails: list[np.ndarray], starts: np.ndarray, lengths: np.ndarray) -> list[float]:
+class Gathered:
+    """``values[at]``, made slice by slice: for all tokens of a chunk such arrays would take most of a task's memory."""
+
+    def __init__(self, values: np.ndarray, at: np.ndarray) -> None:
+        self.values, self.at = values, at
+
+    def __getitem__(self, here: slice) -> np.ndarray:
+        return self.values[self.at[here]]
+
+
+def traverse(exists: list[Gathered], arcs: list[Gathered], fails: list[Gathered], starts: np.ndarray, lengths: np.ndarray) -> list[float]:
     """The log-probability of each text, read from left to right.
 
     For each token and order k: whether the arc of the context of k words exists, its weight, and the weight of that
@@ -269,18 +300,22 @@ _SCORES = "id bigint, n_tokens bigint, n_known bigint, base_score double, score
 
 
 def _scored(n: int, v: int, masses: tuple[float, float]):
-    def run(table: pa.Table) -> pa.Table:
+    def scored(table: pa.Table) -> pa.Table:
         rows = sorted(table.to_pylist(), key=lambda r: (r["kind"], r["part"]))
         ids, _, texts = _opened(rows.pop())
         chunk = Chunk(texts)
+        del texts
         words, pairs, triples = (np.concatenate([np.empty(0, np.uint64), *(_unpack(r["counts"]) for r in rows if r["kind"] == k)]).astype(np.float64) for k in (UNIGRAM, BIGRAM, TRIGRAM))
+        del rows
         if [len(words), len(pairs), len(triples)] != [len(k) for k in chunk.keys]:
             raise RuntimeError("a chunk's counts are incomplete")
+        ends = words[np.searchsorted(chunk.keys[0], END)]
+        del chunk.keys
         word_at, pair_at, triple_at = chunk.at
         # by n-gram: the lower order's probability, and the count of the context
         first = chunk.first[1]
         starts = np.isin(first, chunk.starts)
-        context = np.where(starts, words[np.searchsorted(chunk.keys[0], END)], words[word_at[first - 1]])  # as many texts end as begin
+        context = np.where(starts, ends, words[word_at[first - 1]])  # as many texts end as begin
         single = (words + 1) / (n + v + 1)
         double = (pairs + masses[0] * single[word_at[first]]) / (context + masses[0])
         first = chunk.first[2]
@@ -288,17 +323,26 @@ def _scored(n: int, v: int, masses: tuple[float, float]):
         triple = (triples + masses[1] * double[pair_at[first]]) / (both + masses[1])
         # a last entry stands for the missing third order at a text's start
         log = lambda x: np.log10(np.append(x, 1.0)).astype(np.float64)
-        known = words[word_at] > 0
-        exists = [known, pairs[pair_at] > 0, np.append(triples, 0)[triple_at] > 0]
+        known = words > 0
+        exists = [Gathered(known, word_at), Gathered(pairs > 0, pair_at), Gathered(np.append(triples, 0) > 0, triple_at)]
         base = np.log10(single)
-        arcs = [base[word_at], np.log10(double)[pair_at], log(triple)[triple_at]]
-        fails = [np.log10(masses[0] / (context + masses[0]))[pair_at], log(masses[1] / (both + masses[1]))[triple_at]]
+        del first, starts, words, pairs, triples, single
+        arcs = [Gathered(base, word_at), Gathered(np.log10(double), pair_at), Gathered(log(triple), triple_at)]
+        del double, triple
+        fails = [Gathered(np.log10(masses[0] / (context + masses[0])), pair_at), Gathered(log(masses[1] / (both + masses[1])), triple_at)]
+        del context, both
         total = lambda x: np.add.reduceat(x, chunk.starts)
         return pa.table({
-            "id": pa.array(ids, pa.int64()), "n_tokens": pa.array(chunk.lengths), "n_known": pa.array(total(known.astype(np.int64))),
-            "base_score": pa.array(total(arcs[0])), "score": pa.array(traverse(exists, arcs, fails, chunk.starts, chunk.lengths)),
+            "id": pa.array(ids, pa.int64()), "n_tokens": pa.array(chunk.lengths), "n_known": pa.array(total(known[word_at].astype(np.int64))),
+            "base_score": pa.array(total(base[word_at])), "score": pa.array(traverse(exists, arcs, fails, chunk.starts, chunk.lengths)),
         })
 
+    def run(table: pa.Table) -> pa.Table:
+        try:
+            return scored(table)
+        finally:
+            give_back()
+
     return run
 
 

@@ -46,7 +46,6 @@ def portions(batches: Iterator[pa.RecordBatch], column: str = "text", most: int
 def give_back() -> None:
     """Hand memory that is free back to the system. The allocators keep it otherwise, and workers that Spark reuses hold on
     to the most that their tasks have needed."""
-    gc.collect()
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's alone
     if trim is not None:
@@ -61,6 +60,7 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from run(batches)
         finally:
+            gc.collect()
             give_back()
 
     return tidied

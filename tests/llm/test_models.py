@@ -5,12 +5,15 @@ import hashlib
 import math
 import random
 import re
+import struct
+import tracemalloc
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 import sentencepiece
+import zstandard
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -111,6 +114,38 @@ def test_scores_of_long_texts(spark):
     assert all(got[i].score == pytest.approx(want[i][5]) and got[i].base_score == pytest.approx(want[i][4]) for i in texts)
 
 
+def test_memory_of_a_chunk_is_bounded(monkeypatch):
+    """Bytes for each token that a chunk takes at most, and what is left when its group is done."""
+    given = []
+    monkeypatch.setattr(lm, "give_back", lambda: given.append(1))
+    rng = np.random.default_rng(8)
+    texts = [b" ".join(b"w%d" % w for w in rng.integers(0, 2000, 20_000)) for _ in range(10)]
+    tokens = sum(len(t.split()) + 1 for t in texts)
+    tracemalloc.start()
+    chunk = lm.Chunk(iter(texts))
+    peak = tracemalloc.get_traced_memory()[1]
+    assert peak < 80 * tokens
+    for keys, at, first in zip(chunk.keys, chunk.at, chunk.first):
+        assert (np.diff(keys) > 0).all() and (at[first] == np.arange(len(keys))).all()
+    counts = [(kind, 0, 1, None, lm._pack(c)) for kind, c in enumerate(chunk.counts(np.ones(len(texts), bool)))]
+    del chunk, keys, at, first
+    heads = struct.pack("<20q", *range(10), *map(len, texts)) + bytes(10)
+    table = pa.Table.from_arrays(lm._rows([*counts, (lm.TEXTS, 10, 1, heads, zstandard.compress(b"".join(texts)))]), schema=lm._SCHEMA)
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    scored = lm._scored(tokens, 2001, (1.0, 1.0))(table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak - before < 110 * tokens and given == [1]
+    assert scored.num_rows == 10 and sum(scored.column("n_tokens").to_pylist()) == tokens
+
+
+def test_distinct_values_equal_those_of_numpy():
+    for values in (np.array([5, 3, 5, 5, 1, 3], np.uint64), np.empty(0, np.uint64), np.array([2**64 - 1, 0], np.uint64), np.random.default_rng(2).integers(0, 50, 999).astype(np.uint64)):
+        for got, want in zip(lm._distinct(values), np.unique(values, return_index=True, return_inverse=True)):
+            assert got.tolist() == want.tolist()
+
+
 def test_held_out_scores_beat_the_base(spark):
     rows = [r for r in queries.op8_lm(spark, "/root/testdata/sf0.01").collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
