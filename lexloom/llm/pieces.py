@@ -32,7 +32,7 @@ from lexloom.plans.shared import stored
 TOKENIZER_DIR = "/opt/tokenizers"
 MODEL = "piece_bpe_32k.model"
 CHUNK_CHARS = 32_768
-#: Bytes of chunks that are worked on at once: their rows and ids as Python objects take many times their bytes.
+#: Bytes of texts or chunks that are worked on at once: their rows and ids as Python objects take many times their bytes.
 CHUNK_BYTES = 1 << 20
 #: Words, none longer than KEPT_CHARS, and pairs of pieces that a task keeps.
 KEPT_WORDS, KEPT_CHARS = 300_000, 64
@@ -289,7 +289,7 @@ def _encoded(model: bytes, back: bool):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Pieces(model)
-        for batch in portions(batches):
+        for batch in portions(batches, "text", CHUNK_BYTES):
             rows = [own.encode(t.as_py()) for t in batch.column("text")]
             texts = pa.array([own.decode(r) if back else None for r in rows], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, pa.list_(pa.int32())), texts], names=["id", "ids", "decoded"])

@@ -326,6 +326,8 @@ def test_chunks_are_worked_on_in_portions(model, own, library, monkeypatch):
     rows = [r for b in parts for r in b.to_pylist()]
     assert [r["no"] for r in rows] == list(range(cut.num_rows))
     assert [i for r in rows for i in r["part"]] == library.encode(text) and "".join(r["text"] for r in rows) == text
+    whole = list(pieces._encoded(model, True)(iter([pa.record_batch({"id": range(20), "text": ["the thing " * 50] * 20})])))
+    assert len(whole) > 4 and [r["decoded"] for b in whole for r in b.to_pylist()] == ["the thing " * 50] * 20
 
 
 def test_memory_is_given_back_when_a_task_ends(monkeypatch):
