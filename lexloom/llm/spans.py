@@ -3,9 +3,9 @@ run that is not its first occurrence are removed.
 
 From each sentence on, the run is the shortest one of at least two sentences and ``least_words`` words, so a repeated
 passage holds a run that lies within it wherever it begins and ends; a sentence of ``long_words`` words is a run by
-itself. Runs are rows of two 64-bit hashes, a document id and a place; they are written once to the shared folder. The
-first occurrence of a run is a minimum with map-side partials, so a run found in very many documents is not gathered,
-and the join that marks the others has each hash once on its small side.
+itself. A run is two 64-bit hashes, a document id and a place: 28 bytes, packed, dealt out by its hash. What repeats within
+a portion of texts is known there at once, so a run found in very many documents comes once from each portion, and
+no table is stored. What repeats is dealt out again by document.
 
 ``drop_repeats`` is the rule of the SQL. ``drop_passages`` also removes repeated passages of fifty words wherever their
 sentences begin and end.
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.words import Hashes, mix, portions, split_words
+from lexloom.llm.words import Hashes, mix, portions, split_words, tidy
 from lexloom.plans.shared import stored
 
 #: Sizes of a run of two or more sentences, and of a single one. A size is words or, where words are long or there are
@@ -30,11 +30,16 @@ from lexloom.plans.shared import stored
 LEAST_WORDS, LONG_WORDS, WORD_CHARS = 20, 50, 8
 #: Words of a passage that counts whatever its sentences, and of the runs in it that its anchor is chosen from.
 PASSAGE_WORDS, ANCHOR_WORDS = 50, 16
+#: Buckets that runs and marks are dealt out to, at least; as many as shuffle partitions where these are more.
+BUCKETS = 256
 #: A sentence ends with marks before white space, with full-width marks, or with a line.
 BOUNDARY = re.compile(r"""[.!?]+["')\]]*[ \t\n\r\f]+|[。！？]+[ \t\n\r\f]*|\n[ \t\n\r\f]*""")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _STEPS = np.array([[0x9E3779B97F4A7C15], [0xC2B2AE3D27D4EB4F]], np.uint64)
 _BACK = np.array([[pow(int(s[0]), -1, 1 << 64)] for s in _STEPS], np.uint64)
+#: A run; one that is known not to be the first has no hashes and the complement of its place. A sentence at which such a run begins.
+_RUN, _MARK = np.dtype([("h1", "<u8"), ("h2", "<u8"), ("id", "<i8"), ("pos", "<i4")]), np.dtype([("id", "<i8"), ("pos", "<i4")])
+_PACKED = "bucket int, packed binary"
 
 
 def sentence_ends(text: str) -> list[int]:
@@ -72,23 +77,70 @@ def _run_hashes(plain: list[str], last: np.ndarray) -> tuple[np.ndarray, np.ndar
     return starts, mix((sums[:, last[starts] + 1] - sums[:, starts]) * back[:, starts] + mix(length))
 
 
-def _hashed(least_words: int, long_words: int):
+def _dealt(rows: np.ndarray, by: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """(bucket, packed): the rows of each bucket, which a number of each row gives."""
+    bucket = (by % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(bucket, kind="stable")
+    found, begins = np.unique(bucket[order], return_index=True)
+    ends = (np.append(begins, len(rows)) * rows.itemsize).astype(np.int32)
+    packed = pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(ends), pa.py_buffer(rows[order].tobytes())])
+    return pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), packed], names=["bucket", "packed"])
+
+
+def _unpacked(table: pa.Table, kind: np.dtype) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("packed").to_pylist()), kind)
+
+
+def _firsts(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each run the first, by document and place, and all that come after a first."""
+    runs = runs[np.lexsort((runs["pos"], runs["id"], runs["h2"], runs["h1"]))]
+    new = np.ones(len(runs), bool)
+    new[1:] = (runs["h1"][1:] != runs["h1"][:-1]) | (runs["h2"][1:] != runs["h2"][:-1])
+    first = runs[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    return runs[new], runs[(runs["id"] != first["id"]) | (runs["pos"] != first["pos"])]
+
+
+def _hashed(least_words: int, long_words: int, buckets: int):
+    def runs_of(batch: pa.RecordBatch) -> np.ndarray:
+        found = [np.empty(0, _RUN)]
+        for i, text in zip(batch.column("id").to_pylist(), batch.column("text")):
+            _, plain, last = _runs_of(text.as_py(), least_words, long_words)
+            starts, (h1, h2) = _run_hashes(plain, last)
+            own = np.empty(len(starts), _RUN)
+            own["h1"], own["h2"], own["id"], own["pos"] = h1, h2, i, starts
+            found.append(own)
+        return np.concatenate(found)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches):
-            ids, at, hashes = [], [], []
-            for i, text in zip(batch.column("id").to_pylist(), batch.column("text")):
-                _, plain, last = _runs_of(text.as_py(), least_words, long_words)
-                starts, found = _run_hashes(plain, last)
-                ids.append(np.full(len(starts), i, np.int64))
-                at.append(starts.astype(np.int32))
-                hashes.append(found.view(np.int64))
-            h1, h2 = np.concatenate(hashes, 1) if hashes else np.empty((2, 0), np.int64)
-            columns = [np.concatenate([np.empty(0, np.int64), *ids]), np.concatenate([np.empty(0, np.int32), *at]), h1, h2]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["id", "pos", "h1", "h2"])
+            firsts, after = _firsts(runs_of(batch))
+            after["h1"], after["h2"], after["pos"] = 0, 0, ~after["pos"]
+            yield _dealt(np.concatenate([firsts, after]), np.concatenate([firsts["h1"], mix(after["id"].view(np.uint64))]), buckets)
+
+    return tidy(run)
+
+
+def _matched(buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        runs = _unpacked(table, _RUN)
+        known, after = runs[runs["pos"] < 0], _firsts(runs[runs["pos"] >= 0])[1]
+        marks = np.empty(len(known) + len(after), _MARK)
+        marks["id"] = np.concatenate([known["id"], after["id"]])
+        marks["pos"] = np.concatenate([~known["pos"], after["pos"]])
+        return pa.Table.from_batches([_dealt(marks, mix(marks["id"].astype(np.uint64)), buckets)])
 
     return run
 
 
+def _by_document(table: pa.Table) -> pa.Table:
+    marks = _unpacked(table, _MARK)
+    marks = marks[np.lexsort((marks["pos"], marks["id"]))]
+    marks = marks[np.append(True, marks[1:] != marks[:-1])]
+    ids, begins = np.unique(marks["id"], return_index=True)
+    starts = pa.ListArray.from_arrays(pa.array(np.append(begins, len(marks)).astype(np.int32)), pa.array(marks["pos"].copy()))
+    return pa.table([pa.array(ids), starts], names=["id", "starts"])
+
+
 def _base(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
@@ -107,7 +159,10 @@ def _starts(runs: DataFrame, apart: int = 1) -> DataFrame:
 def repeated_runs(docs: DataFrame, id_col: str, text_col: str, least_words: int = LEAST_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
     """(id, starts): the sentences at which runs begin that are not the first of their kind, of documents that have some."""
     base = _base(docs, id_col, text_col).where("id is not null")
-    return _starts(stored(base.mapInArrow(_hashed(least_words, long_words), "id bigint, pos int, h1 bigint, h2 bigint"), "runs"))
+    buckets = max(BUCKETS, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    runs = base.mapInArrow(_hashed(least_words, long_words, buckets), _PACKED)
+    marks = runs.groupBy("bucket").applyInArrow(_matched(buckets), _PACKED)
+    return marks.groupBy("bucket").applyInArrow(_by_document, "id bigint, starts array<int>")
 
 
 def _covered(text: str, starts: list[int], least_words: int, long_words: int) -> tuple[list[tuple[int, int]], int, int]:
@@ -137,7 +192,7 @@ def _removed(least_words: int, long_words: int):
                 gone.append(k)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array(gone, pa.int64())], names=["doc_id", "text", "n_sentences", "n_removed"])
 
-    return run
+    return tidy(run)
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_words: int = LEAST_WORDS, long_words: int = LONG_WORDS) -> DataFrame:

@@ -9,11 +9,13 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from lexloom.llm import decontam, jaccard, queries, simhash, spans
+from lexloom.llm import decontam, jaccard, queries, simhash, spans, words
+from lexloom.plans import shared
 
 SF = "/root/testdata/sf0.001"
 
@@ -269,6 +271,29 @@ def test_spans_equal_brute_force(spark):
     assert len({tuple(r) for r in spans.drop_repeats(twice).collect()}) == 1
 
 
+def test_repeated_runs_store_no_tables(spark):
+    """Nothing is written to the shared folder, and repeats are found across partitions as within them."""
+    rng = random.Random(21)
+    pool = [" ".join(f"q{rng.randrange(30)}" for _ in range(rng.choice([3, 12, 25]))) + ". " for _ in range(25)]
+    texts = {i: "".join([*pool[(at := rng.randrange(20)) : at + 5], "Same words in each text, twelve of them, to make a run, here. And nine more that follow them to be enough. "]) for i in range(-30, 30)}
+    listed = lambda: set(glob.glob(shared._own_tables(spark).removeprefix("file:") + "/*"))
+    before = listed()
+    got = spans.drop_repeats(documents(spark, texts).repartition(7)).collect()
+    assert {r.doc_id: (r.text, r.n_sentences, r.n_removed) for r in got} == brute_repeats(texts)
+    assert listed() == before
+
+
+def test_a_frequent_run_comes_once_from_a_portion(monkeypatch):
+    given = []
+    monkeypatch.setattr(words, "give_back", lambda: given.append(1))
+    batch = pa.record_batch({"id": pa.array(range(2000), pa.int64()), "text": ["One two three four five six seven eight nine ten. Eleven more words follow here so that it is a run. End."] * 2000})
+    dealt = pa.Table.from_batches(spans._hashed(20, 50, 8)(iter([batch])))
+    runs = spans._unpacked(dealt, spans._RUN)
+    assert (runs["pos"] >= 0).sum() == len(np.unique(runs[["h1", "h2"]][runs["pos"] >= 0])) and set(runs["id"][runs["pos"] >= 0]) == {0}
+    assert dealt.num_rows <= 8 and set(runs["id"][runs["pos"] < 0]) == {*range(1, 2000)}
+    assert given == [1] and not list(spans._removed(20, 50)(iter([]))) and given == [1, 1]
+
+
 def test_passages_whatever_their_sentences(spark):
     rng = random.Random(8)
     word = lambda: f"w{rng.randrange(10**6)}"
