@@ -52,19 +52,26 @@ class EchoModel:
         return [f"{' '.join(x.split()[:3]).lower()}; {x}" for x in last]
 
 
+#: Texts whose vectors are made at once.
+EMBEDDED_ROWS = 512
+
+
 @cache
 def _loaded(factory: Callable[[], object]) -> object:
     return factory()
 
 
 def embed_texts(df: DataFrame, id_col: str, text_col: str, factory: Callable[[], Embedder] = RandomEmbedder) -> DataFrame:
-    """(id, vec) of each row's text; null counts as empty."""
+    """(id, vec) of each row's text; null counts as empty. A text that rows share should come here once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _loaded(factory)
         for batch in batches:
-            data = model.embed(batch.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(data.astype(np.float32)), pa.list_(pa.float32()))], names=["id", "vec"])
+            for at in range(0, batch.num_rows, EMBEDDED_ROWS):
+                part = batch.slice(at, EMBEDDED_ROWS)
+                data = model.embed(part.column("text").to_pylist()).astype(np.float32)
+                ends = pa.array(np.arange(len(data) + 1) * data.shape[1], pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("id"), pa.ListArray.from_arrays(ends, pa.array(data.ravel()))], names=["id", "vec"])
 
     base = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return base.mapInArrow(run, f"id {dict(base.dtypes)['id']}, vec array<float>")

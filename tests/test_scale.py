@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from lexloom.operators import models
 from lexloom.operators import neighbors as nn
 
 
@@ -60,3 +61,13 @@ def test_groups_of_blocks_meet_once(spark):
     assert len(pairs) == len(set(pairs)) == n * n
     sizes = [sum(r[0] == task and not r[1] for r in rows) for task in {r[0] for r in rows}]
     assert max(sizes) <= 4 and len(sizes) >= 12
+
+
+def test_wide_vectors_make_small_blocks(spark):
+    """A block's bytes, not only its rows, are bounded; texts come back under their ids, in more than one portion."""
+    texts = spark.range(1200).selectExpr("id", "concat('t', id % 700) as text")
+    made = models.embed_texts(texts.coalesce(1), "id", "text")
+    sizes = [len(r.data) for r in nn.blocks(made, "id", "vec").collect()]
+    assert sum(sizes) == 1200 * 1024 * 8 and max(sizes) < 1.5 * nn.BLOCK_BYTES
+    rows = {r.id: r.vec for r in made.collect()}
+    assert rows[0] == rows[700] and rows[1] == pytest.approx(models.RandomEmbedder().embed(["t1"])[0].tolist()) and len(rows) == 1200
