@@ -5,8 +5,9 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from lexloom.operators import models
+from lexloom.operators import merging, models
 from lexloom.operators import neighbors as nn
 
 
@@ -71,3 +72,47 @@ def test_wide_vectors_make_small_blocks(spark):
     assert sum(sizes) == 1200 * 1024 * 8 and max(sizes) < 1.5 * nn.BLOCK_BYTES
     rows = {r.id: r.vec for r in made.collect()}
     assert rows[0] == rows[700] and rows[1] == pytest.approx(models.RandomEmbedder().embed(["t1"])[0].tolist()) and len(rows) == 1200
+
+
+def test_lists_run_out(spark, monkeypatch):
+    """Merge rounds from kept lists of neighbours, short ones that run out, equal those that search for all rows again; and
+    all rows are searched for once."""
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.standard_normal((120, 6)))]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    decide = lambda p: p.where("(a + b) % 3 <> 0").select("a", "b", "score", F.col("a").alias("keep"), F.col("b").alias("drop"))
+    monkeypatch.setattr(merging, "LISTED", 2)
+    asked, search = [], nn.top_k
+    monkeypatch.setattr(nn, "top_k", lambda q, *a, **b: asked.append(sum(len(r.ids) // 8 for r in q.collect())) or search(q, *a, **b))
+    kept, log = merging.merge_synonyms(df, decide, k=2, strategy="unique", least=0.2, max_iters=12)
+    data = np.array([v for _, v in rows])
+    sims = data / np.linalg.norm(data, axis=1, keepdims=True)
+    sims, left, want = np.round(sims @ sims.T, 9), list(range(120)), []
+    np.fill_diagonal(sims, -np.inf)
+    for n in range(12):
+        pairs = {(min(i, j), max(i, j)): sims[i, j] for i in left for j in sorted(set(left) - {i}, key=lambda j: (-sims[i, j], j))[:2]}
+        used, gone = set(), []
+        for s, a, b in sorted((-s, a, b) for (a, b), s in pairs.items() if s >= 0.2 and (a + b) % 3):
+            if not {a, b} & used:
+                used |= {a, b}
+                gone.append((n, a, b))
+        want += gone
+        if not gone:
+            break
+        left = [i for i in left if i not in {b for _, _, b in gone}]
+    assert sorted((r.iteration, r.keep, r["drop"]) for r in log.collect()) == sorted(want)
+    assert sorted(r.id for r in kept.collect()) == left and len(left) < 60
+    assert asked[0] == 120 and len(asked) > 1 and max(asked[1:]) < 90
+
+
+@pytest.mark.parametrize("rounds, scan", [(30, 0), (1, 0), (30, 20), (30, 10_000)])
+def test_matching_in_rounds_and_in_one_scan(spark, rounds, scan):
+    rng = np.random.default_rng(5)
+    edges = sorted({(int(a), int(b)): float(s) for a, b, s in zip(rng.integers(0, 30, 90), rng.integers(30, 60, 90), rng.integers(0, 9, 90) / 8)}.items(), key=lambda e: (-e[1], e[0]))
+    used, want = set(), []
+    for (a, b), s in edges:
+        if not {a, b} & used:
+            used |= {a, b}
+            want.append((a, b, s))
+    df = spark.createDataFrame([(a, b, s) for (a, b), s in edges], "a long, b long, score double")
+    assert sorted(map(tuple, merging.greedy_matching(df, rounds, scan).collect())) == sorted(want)
