@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.functions.text import fingerprint
 
+#: Batches that the first job of a sink in batches writes, and the tasks of a job.
+FIRST_BATCHES, BATCH_TASKS = 256, 200
+
 
 def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite", compression: str = "none") -> None:
     """JSON lines with nulls written out and non-ASCII characters as they are. zstd cannot be written here; gzip can."""
@@ -49,21 +54,47 @@ def concatenate(spark: SparkSession, paths: list[str], path: str) -> None:
         spark.read.text(shard).write.mode("append" if k else "overwrite").text(path)
 
 
+def _batches_there(spark: SparkSession, path: str) -> set[int]:
+    """Batches whose folders are there and not left by a write that was ended; names come from the JVM as one string."""
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    files = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def found(pattern: str) -> set[int]:
+        listed = files.globStatus(jvm.org.apache.hadoop.fs.Path(top, pattern))
+        text = "" if listed is None else jvm.org.apache.commons.lang3.ArrayUtils.toString(jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(listed))
+        return {int(x) for x in re.findall(r"/batch=(\d+)(?=[,/}])", text)}
+
+    return found("batch=*") - (found("batch=*/_temporary") - found("batch=*/_SUCCESS"))
+
+
 def append_batches(df: DataFrame, path: str, key: str, size: int, upto: int | None = None) -> int:
     """Append rows, in batches of ``size`` keys, as JSON lines in a folder a batch; returns how many batches were written.
 
     ``key`` numbers the rows from 0 without gaps. Batches that are there are not written again, so a run that was ended
-    takes up its work; a batch is there when Spark's marker of success is. ``upto`` ends a run early.
+    takes up its work; a batch's one file is made by one task and its folder moved in whole. ``upto`` ends a run early.
+    Each job writes twice as many batches as the one before, so there are few passes over the rows, and a run that ends
+    keeps what its jobs before the last have written.
     """
-    from lexloom.sources.readers import exists
-
-    spark, written = df.sparkSession, 0
+    if "batch" in df.columns:
+        raise ValueError("the column batch names the folders")
+    spark = df.sparkSession
     n = df.agg(F.max(key)).first()[0]
-    for batch in range(0 if n is None else min(n // size + 1, upto or n + 1)):
-        if not exists(spark, f"{path}/batch={batch}/_SUCCESS"):
-            write_jsonl(df.where(F.col(key).between(batch * size, (batch + 1) * size - 1)), f"{path}/batch={batch}")
-            written += 1
-    return written
+    there = _batches_there(spark, path)
+    missing = [x for x in range(0 if n is None else min(n // size + 1, upto or n + 1)) if x not in there]
+    at, many = 0, FIRST_BATCHES
+    while at < len(missing):
+        group = missing[at : at + many]
+        rows = df.where(F.col(key).between(group[0] * size, (group[-1] + 1) * size - 1)).withColumn("batch", F.floor(F.col(key) / size))
+        if len(group) <= group[-1] - group[0]:
+            rows = rows.where(F.col("batch").isin(group))
+        dealt = rows.repartition(min(len(group), BATCH_TASKS), "batch")
+        dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("ignoreNullFields", "false").partitionBy("batch").json(path)
+        for empty in set(group) - _batches_there(spark, path):  # only where keys have gaps
+            folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={empty}")
+            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(folder)
+        at, many = at + len(group), many * 2
+    return len(missing)
 
 
 def write_key_values(df: DataFrame, path: str, key: str, value) -> None:

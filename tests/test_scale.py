@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom.operators import merging, models
 from lexloom.operators import neighbors as nn
+from lexloom.sources import sinks
 
 
 def told(found):
@@ -116,3 +117,19 @@ def test_matching_in_rounds_and_in_one_scan(spark, rounds, scan):
             want.append((a, b, s))
     df = spark.createDataFrame([(a, b, s) for (a, b), s in edges], "a long, b long, score double")
     assert sorted(map(tuple, merging.greedy_matching(df, rounds, scan).collect())) == sorted(want)
+
+
+def test_batches_in_few_jobs(spark, tmp_path):
+    """As many batches as there are keys in a few jobs; those that are there stay, ended, absent and empty ones are written once."""
+    path, df = str(tmp_path / "out"), spark.range(600).where("id not between 330 and 334").selectExpr("id", "if(id = 7, null, concat('t', id)) as t")
+    ran = lambda: spark._jsc.sc().dagScheduler().nextJobId()
+    assert sinks.append_batches(df, path, "id", 3, upto=2) == 2
+    (tmp_path / "out/batch=0/part-x.json").write_text('{"id":-1,"t":"kept"}\n')
+    (tmp_path / "out/batch=5/_temporary").mkdir(parents=True)
+    (tmp_path / "out/batch=5/part-half.json").write_text('{"id":15,"t":"t15"}\n')
+    before = ran()
+    assert sinks.append_batches(df, path, "id", 3) == 198 and ran() - before < 30
+    assert sinks.append_batches(df, path, "id", 3) == 0
+    got = spark.read.schema("id bigint, t string, batch int").json(path)
+    assert got.where("id < 0").count() == 1 and sorted(map(tuple, got.where("id >= 0").collect())) == [(i, None if i == 7 else f"t{i}", i // 3) for i in range(600) if not 330 <= i <= 334]
+    assert all(len(list(tmp_path.glob(f"out/batch={b}/part-*.json"))) == 1 for b in (1, 5, 99))
