@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.operators import merging, models
+from lexloom.operators import audit, merging, models
 from lexloom.operators import neighbors as nn
 from lexloom.sources import sinks
 
@@ -133,3 +133,15 @@ def test_batches_in_few_jobs(spark, tmp_path):
     got = spark.read.schema("id bigint, t string, batch int").json(path)
     assert got.where("id < 0").count() == 1 and sorted(map(tuple, got.where("id >= 0").collect())) == [(i, None if i == 7 else f"t{i}", i // 3) for i in range(600) if not 330 <= i <= 334]
     assert all(len(list(tmp_path.glob(f"out/batch={b}/part-*.json"))) == 1 for b in (1, 5, 99))
+
+
+def test_rows_are_compared_in_bounded_tasks(spark, monkeypatch):
+    """However few the tasks of a side are, its rows are dealt out before they are counted; nulls, NaN and zeros are values."""
+    monkeypatch.setattr(audit, "COUNTED_ROWS", 1000)
+    a = spark.range(6000).selectExpr("id % 2500 as k", "if(id % 7 = 0, null, id % 3) as v", "if(id % 5 = 0, double('NaN'), if(id % 2 = 0, 0D, -0D)) as `x.y`")
+    seen, deal = [], type(a).repartition
+    monkeypatch.setattr(type(a), "repartition", lambda self, n, *cols: seen.append(n) or deal(self, n, *cols))
+    assert audit.same_multiset(a, a.orderBy("v").coalesce(1)) and seen == [12]
+    assert not audit.same_multiset(a, a.union(a.limit(1))) and not audit.same_multiset(a.where("k = 1 or v = 1"), a.where("k = 1 or v = 2"))
+    twice = spark.createDataFrame([(1,), (1,), (2,)], "k int")
+    assert not audit.same_multiset(twice, spark.createDataFrame([(1,), (2,), (2,)], "k int")) and audit.same_multiset(twice.limit(0), twice.limit(0))
