@@ -54,6 +54,10 @@ class EchoModel:
 
 #: Texts whose vectors are made at once.
 EMBEDDED_ROWS = 512
+#: Texts whose vectors a task keeps.
+KEPT_TEXTS = 4096
+#: Rows of a small table that a task should take through a model.
+ROWS_A_TASK = 20_000
 
 
 @cache
@@ -90,30 +94,50 @@ def generate(df: DataFrame, prompt: str, factory: Callable[[], TextModel] = Echo
     return df.mapInArrow(run, schema)
 
 
+class _Embedded:
+    """Vectors of texts, each made once while at most KEPT_TEXTS of a task are kept."""
+
+    def __init__(self, model: Embedder) -> None:
+        self.model, self.kept = model, {}
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        keys = [hashlib.sha256(t.encode()).digest() for t in texts]  # texts may be long
+        new = {k: t for k, t in zip(keys, texts) if k not in self.kept}
+        if len(self.kept) + len(new) > KEPT_TEXTS:
+            self.kept, new = {}, dict(zip(keys, texts))
+        if new:
+            self.kept.update(zip(new, self.model.embed(list(new.values()))))
+        return np.array([self.kept[k] for k in keys])
+
+
 def annotate_documents(docs: DataFrame, text: str, rounds: int, factory: Callable[[], TextModel] = EchoModel, embedder: Callable[[], Embedder] = RandomEmbedder) -> DataFrame:
     """The rows with descriptors, rewrite and similarity: ``rounds`` of describing and rewriting, each from the last rewrite.
 
-    With no rounds there is one description and no similarity.
+    With no rounds there is one description and no similarity. Rows go through in portions of EMBEDDED_ROWS.
     """
 
+    def annotated(batch: pa.RecordBatch, model: TextModel, vectors: _Embedded) -> pa.RecordBatch:
+        texts = [t or "" for t in batch.column(text).to_pylist()]
+        own, cur = vectors.embed(texts) if rounds else None, texts
+        descriptors, rewrites, sims = [[] for _ in texts], [[] for _ in texts], [[] for _ in texts]
+        for _ in range(max(1, rounds)):
+            said = model.generate(cur)
+            for d, x in zip(descriptors, said):
+                d.append([x])
+            if not rounds:
+                break
+            cur = [x.split(";", 1)[-1].strip() for x in said]
+            for r, s, x, v in zip(rewrites, sims, cur, (vectors.embed(cur) * own).sum(1)):
+                r.append(x)
+                s.append(round(float(v), 4))
+        made = [pa.array(descriptors, pa.list_(pa.list_(pa.string()))), pa.array(rewrites, pa.list_(pa.string())), pa.array(sims, pa.list_(pa.float64()))]
+        return pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "descriptors", "rewrite", "similarity"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, vectors = _loaded(factory), _loaded(embedder)
+        model, vectors = _loaded(factory), _Embedded(_loaded(embedder))
         for batch in batches:
-            texts = [t or "" for t in batch.column(text).to_pylist()]
-            own, cur = vectors.embed(texts), texts
-            descriptors, rewrites, sims = [[] for _ in texts], [[] for _ in texts], [[] for _ in texts]
-            for _ in range(max(1, rounds)):
-                said = model.generate(cur)
-                for d, x in zip(descriptors, said):
-                    d.append([x])
-                if not rounds:
-                    break
-                cur = [x.split(";", 1)[-1].strip() for x in said]
-                for r, s, x, v in zip(rewrites, sims, cur, (vectors.embed(cur) * own).sum(1)):
-                    r.append(x)
-                    s.append(round(float(v), 4))
-            made = [pa.array(descriptors, pa.list_(pa.list_(pa.string()))), pa.array(rewrites, pa.list_(pa.string())), pa.array(sims, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, "descriptors", "rewrite", "similarity"])
+            for at in range(0, batch.num_rows, EMBEDDED_ROWS):
+                yield annotated(batch.slice(at, EMBEDDED_ROWS), model, vectors)
 
     schema = docs.withColumns({"descriptors": F.lit(None).cast("array<array<string>>"), "rewrite": F.lit(None).cast("array<string>"), "similarity": F.lit(None).cast("array<double>")}).schema
     return docs.mapInArrow(run, schema)

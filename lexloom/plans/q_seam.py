@@ -199,7 +199,10 @@ SQL_FEEDBACK = "select (c_custkey % 3)::bigint as batch, lower(array_to_string(l
 
 def q_generated_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two rounds of description and rewriting by the stand-in model: its first labels, and that similarities are there."""
-    made = models.annotate_documents(table(spark, sf_dir, "part").select("p_partkey", F.concat("p_type", F.lit("\n"), "p_name", F.lit(" of a kind ")).alias("text")), "text", 2)
+    p = table(spark, sf_dir, "part")
+    # rows of a small file are few tasks to Spark, but much work to a model
+    dealt = p.repartition(-(-max(1, p.count()) // models.ROWS_A_TASK), "p_partkey")
+    made = models.annotate_documents(dealt.select("p_partkey", F.concat("p_type", F.lit("\n"), "p_name", F.lit(" of a kind ")).alias("text")), "text", 2)
     return made.select("p_partkey", F.size("descriptors").cast("bigint").alias("rounds"), F.get(F.get("descriptors", F.lit(0)), F.lit(0)).alias("first"), F.get("rewrite", F.lit(1)).alias("rewrite"), F.size("similarity").cast("bigint").alias("n_scores"))
 
 

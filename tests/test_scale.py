@@ -145,3 +145,18 @@ def test_rows_are_compared_in_bounded_tasks(spark, monkeypatch):
     assert not audit.same_multiset(a, a.union(a.limit(1))) and not audit.same_multiset(a.where("k = 1 or v = 1"), a.where("k = 1 or v = 2"))
     twice = spark.createDataFrame([(1,), (1,), (2,)], "k int")
     assert not audit.same_multiset(twice, spark.createDataFrame([(1,), (2,), (2,)], "k int")) and audit.same_multiset(twice.limit(0), twice.limit(0))
+
+
+def test_texts_are_embedded_once_in_portions(monkeypatch):
+    calls = []
+
+    class Counted(models.RandomEmbedder):
+        def embed(self, texts):
+            calls.append(len(texts))
+            return super().embed(texts)
+
+    monkeypatch.setattr(models, "KEPT_TEXTS", 40)
+    kept, plain = models._Embedded(Counted(16)), models.RandomEmbedder(16)
+    for texts in (["a", "b", "a"], [f"t{i % 30}" for i in range(300)], ["b", "a", "a"], [f"u{i}" for i in range(100)], ["a"]):
+        assert (kept.embed(texts) == plain.embed(texts)).all()
+    assert calls == [2, 30, 100, 1] and len(kept.kept) == 1
