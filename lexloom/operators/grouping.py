@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from lexloom.functions.text import lexical_overlap, merged_id, normalize_tracer, split_strict, split_tracer, stable_id, strip
 from lexloom.operators.annotate import best_round
 from lexloom.plans.ranks import ranked_within
-from lexloom.plans.shared import stored
+from lexloom.plans.shared import small, stored
 
 
 def extract_pairs(rows: DataFrame, pair: str = "pair", compat: bool = True) -> DataFrame:
@@ -140,6 +140,21 @@ def cluster_by_first_word(members: DataFrame) -> DataFrame:
     return with_word.select("chunk", F.col("grp").cast("bigint").alias("grp"), "pos", "id", F.min("explainer").over(Window.partitionBy("chunk", "grp")).alias("text"))
 
 
+def _settled(cur: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of a frontier that are alone in their parent group under their descriptor, and the others.
+
+    Most are alone, and they are not moved: hashes of the other groups' keys, where they are few enough to broadcast,
+    choose the rows that are joined with the keys themselves.
+    """
+    keys = ["parent", "descriptor"]
+    many = stored(cur.groupBy(*keys).agg(F.count("*").alias("size")).where("size > 1").drop("size"), "many")
+    hashed = small(stored(many.select(F.xxhash64(*keys).alias("_h")).distinct(), "hashes"))
+    marked = cur.withColumn("_h", F.xxhash64(*keys))
+    chosen = marked.join(hashed, "_h", "left_semi").drop("_h")
+    alone = marked.join(hashed, "_h", "left_anti").drop("_h").union(chosen.join(many, keys, "left_anti").select(cur.columns))
+    return alone, stored(chosen.join(many, keys).select(cur.columns), "more", "zstd")
+
+
 def disambiguate(pairs: DataFrame, grouper: Callable[[DataFrame], DataFrame] = cluster_by_first_word, max_passes: int = 20, chunk_size: int = 20) -> tuple[DataFrame, DataFrame]:
     """Take groups apart until each descriptor of a parent group has one explainer: (finals, lineage).
 
@@ -148,13 +163,11 @@ def disambiguate(pairs: DataFrame, grouper: Callable[[DataFrame], DataFrame] = c
     descriptor within their parent group only; the whole frontier is one pass. Lineage has (pass, id, source_id).
     Raises RuntimeError if groups are left after ``max_passes``.
     """
-    cur = stored(pairs.select("descriptor", "explainer", "id", F.sha1("descriptor").alias("parent")), "frontier")
+    cur = stored(pairs.select("descriptor", "explainer", "id", F.sha1("descriptor").alias("parent")), "frontier", "zstd")
     finals, lineage = [], []
     for n in range(max_passes):
-        sizes = cur.groupBy("parent", "descriptor").agg(F.count("*").alias("size"))
-        sized = stored(cur.join(sizes, ["parent", "descriptor"]), "sized")
-        finals.append(sized.where("size = 1").select("descriptor", "explainer", "id"))
-        more = sized.where("size > 1")
+        alone, more = _settled(cur)
+        finals.append(alone.select("descriptor", "explainer", "id"))
         if more.isEmpty():
             break
         placed = chunked(more, ["parent", "descriptor"], "id", chunk_size)

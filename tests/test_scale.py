@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexloom.operators import audit, merging, models
+from lexloom.operators import audit, grouping, merging, models
 from lexloom.operators import neighbors as nn
 from lexloom.sources import sinks
 
@@ -160,3 +160,14 @@ def test_texts_are_embedded_once_in_portions(monkeypatch):
     for texts in (["a", "b", "a"], [f"t{i % 30}" for i in range(300)], ["b", "a", "a"], [f"u{i}" for i in range(100)], ["a"]):
         assert (kept.embed(texts) == plain.embed(texts)).all()
     assert calls == [2, 30, 100, 1] and len(kept.kept) == 1
+
+
+def test_settled_groups_stay_where_they_are(spark, monkeypatch):
+    """Of a frontier only the rows of groups that go on are written again."""
+    rows = [(f"d{i}", f"e {i}", f"s{i}") for i in range(2000)] + [(f"g{i % 10}", f"{'xyz'[i % 3]} {i}", f"m{i}") for i in range(60)]
+    written, store = {}, grouping.stored
+    monkeypatch.setattr(grouping, "stored", lambda df, label, *a: [found := store(df, label, *a), written.setdefault(label, []).append(found.count())][0])
+    finals, _ = grouping.disambiguate(spark.createDataFrame(rows, "descriptor string, explainer string, id string"))
+    got = finals.collect()
+    assert sorted(r.descriptor for r in got) == sorted([f"d{i}" for i in range(2000)] + [f"g{i} / {c}" for i in range(10) for c in "xyz"])
+    assert written["frontier"][0] == 2060 and sum(n for label, counts in written.items() for n in counts) - 2060 < 300
