@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lexloom.operators import audit, grouping, merging, models
 from lexloom.operators import neighbors as nn
+from lexloom.plans import catalog
 from lexloom.sources import sinks
 
 
@@ -171,3 +172,8 @@ def test_settled_groups_stay_where_they_are(spark, monkeypatch):
     got = finals.collect()
     assert sorted(r.descriptor for r in got) == sorted([f"d{i}" for i in range(2000)] + [f"g{i} / {c}" for i in range(10) for c in "xyz"])
     assert written["frontier"][0] == 2060 and sum(n for label, counts in written.items() for n in counts) - 2060 < 300
+
+
+def test_a_decision_log_searches_once(spark):
+    plan = catalog.queries()["q_decision_log"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan
