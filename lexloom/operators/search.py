@@ -50,7 +50,7 @@ def _cells(vectors: DataFrame, id_col: str, vec: str, centers: np.ndarray, probe
         import pyarrow as pa
 
         for batch in batches:
-            data = np.array(batch.column("vec").to_pylist()).reshape(batch.num_rows, -1)
+            data = nn._numbers(pa.chunked_array([batch.column("vec")]))
             far = (data**2).sum(1)[:, None] - 2 * data @ centers.T + (centers**2).sum(1) if batch.num_rows else np.empty((0, len(centers)))
             near = np.argsort(far, axis=1, kind="stable")[:, :probes]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("vec"), pa.array(near.tolist(), pa.list_(pa.int32()))], names=["id", "vec", "cells"])
